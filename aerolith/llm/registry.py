@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from aerolith.llm import chat, quality
+from aerolith.llm import bpe, chat, quality, toxicity
 
 
 def queries() -> dict:
-    return {"op3_quality_rules": quality.query, "op9_chat_format": chat.query}
+    return {
+        "op1_toxicity": toxicity.query,
+        "op3_quality_rules": quality.query,
+        "op6_byte_bpe": bpe.query,
+        "op9_chat_format": chat.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
