@@ -21,9 +21,11 @@ class Shape:
     slots: int = 1 << 16
     dim: int = 12
     widths: tuple[int, ...] = (1, 2, 3)
-    filters: int = 16
+    filters: int = 8
     #: A word's vector is the sum of the vectors of itself and of its first so many bytes.
     prefixes: tuple[int, ...] = (4, 5, 6)
+    #: A slot that fewer training texts have keeps a zero vector, as has any that none has.
+    least_texts: int = 4
 
 
 class Words:
@@ -76,7 +78,7 @@ class Net:
     def new(cls, shape: Shape, seed: int) -> Net:
         rng = np.random.default_rng(seed)
         draw = lambda *n, by=1.0: (rng.standard_normal(n) * by).astype(np.float32)
-        embed = draw(shape.slots, shape.dim, by=0.3)
+        embed = draw(shape.slots, shape.dim, by=0.02)  # small: words that training has not moved stay quiet under the maximum
         embed[0] = 0
         n = len(shape.widths) * shape.filters
         return cls(shape, embed, [draw(k, shape.dim, shape.filters, by=(k * shape.dim) ** -0.5) for k in shape.widths], np.zeros(n, np.float32), draw(n, by=n**-0.5))
@@ -104,7 +106,7 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(self.logits(x, starts).astype(np.float64), -30, 30)))
 
 
-def fit(rows: list[tuple[str, int, str]], shape: Shape = Shape(), epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Net:
+def fit(rows: list[tuple[str, int, str]], shape: Shape = Shape(), epochs: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Net:
     """rows: text, label, language. A fifth is held back to calibrate the cut at 0.5 and the thresholds of languages."""
     net, words, rng = Net.new(shape, seed), Words(shape, 1 << 60), np.random.default_rng(seed)
     order = rng.permutation(len(rows))
@@ -113,6 +115,10 @@ def fit(rows: list[tuple[str, int, str]], shape: Shape = Shape(), epochs: int =
     label = np.array([y for _, y, _ in rows], np.float32)
     weight = np.where(label == 1, 0.5 / max(label.mean(), 1e-6), 0.5 / max(1 - label.mean(), 1e-6))
     moments: dict = {}
+    seen = np.bincount(np.concatenate([np.unique(words.slots[np.unique(coded[i])]) for i in train]), minlength=shape.slots) if len(train) else 0
+    common = (seen >= shape.least_texts)[:, None]
+    common[0] = False
+    net.embed *= common
 
     def step(name: str, p: np.ndarray, g: np.ndarray, rows_of: np.ndarray | slice = slice(None)) -> None:
         m, v = moments.setdefault(name, (np.zeros_like(p), np.zeros_like(p)))
@@ -145,10 +151,9 @@ def fit(rows: list[tuple[str, int, str]], shape: Shape = Shape(), epochs: int =
                 step(f"w{k}", w, dw)
             slots = words.slots[flat[np.concatenate(touched)]]
             slot, inverse = np.unique(slots, return_inverse=True)
-            sums = np.zeros((len(slot), shape.dim), np.float32)
-            np.add.at(sums, inverse.reshape(slots.shape), np.concatenate(grads)[:, None, :])
-            step("embed", net.embed, sums, slot)
-            net.embed[0] = 0
+            g = np.repeat(np.concatenate(grads), slots.shape[1], axis=0)
+            sums = np.stack([np.bincount(inverse.ravel(), g[:, e], len(slot)) for e in range(shape.dim)], 1).astype(np.float32)
+            step("embed", net.embed, sums * common[slot], slot)
             net.shift -= rate * float(d.sum())
     if len(back):
         flat, starts = np.concatenate([coded[i] for i in back]), np.cumsum([0, *(len(coded[i]) for i in back[:-1])])
@@ -175,7 +180,7 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = 2000, most_chars: int = 200_000) -> list[tuple[str, int, str]]:
+def sample(docs: DataFrame, labels: DataFrame, most: int = 1600, most_chars: int = 200_000) -> list[tuple[str, int, str]]:
     """Labelled training rows outside the held-out fold: most rows of each label by hash of the id, texts of most_chars at most."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     marked = marked.where(fold("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
