@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from aerolith.llm import bpe, chat, quality, toxicity
+from aerolith.llm import bpe, chat, neardup, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.query,
         "op3_quality_rules": quality.query,
+        "op4_near_duplicates": neardup.query,
         "op6_byte_bpe": bpe.query,
         "op9_chat_format": chat.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.oracle(), "op9_chat_format": chat.oracle()}
+    return {"op3_quality_rules": quality.oracle(), "op4_near_duplicates": neardup.oracle(), "op9_chat_format": chat.oracle()}
