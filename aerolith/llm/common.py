@@ -74,3 +74,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def parts(batch, column: int, limit: int):
+    """Slices of an Arrow batch of at most limit bytes in the column, or of one row."""
+    sizes = [len(x.as_buffer() or b"") if x.is_valid else 0 for x in batch.column(column)]
+    at = 0
+    while at < len(sizes):
+        n, size = 1, sizes[at]
+        while at + n < len(sizes) and size + sizes[at + n] <= limit:
+            size += sizes[at + n]
+            n += 1
+        yield batch.slice(at, n)
+        at += n
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id and z: the text as zstd bytes, for shuffles that carry whole texts."""
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        code = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([code.compress(t.as_buffer() or b"") for t in batch.column(1)], pa.binary())], ["doc_id", "z"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")

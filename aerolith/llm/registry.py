@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from aerolith.llm import bpe, chat, neardup, quality, toxicity
+from aerolith.llm import bpe, chat, neardup, quality, substring, suffix, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.query,
+        "op2_suffix_dedup": suffix.query,
         "op3_quality_rules": quality.query,
         "op4_near_duplicates": neardup.query,
+        "op5_substring_dedup": substring.query,
         "op6_byte_bpe": bpe.query,
         "op9_chat_format": chat.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.oracle(), "op4_near_duplicates": neardup.oracle(), "op9_chat_format": chat.oracle()}
+    return {"op3_quality_rules": quality.oracle(), "op4_near_duplicates": neardup.oracle(), "op5_substring_dedup": substring.oracle(), "op9_chat_format": chat.oracle()}
