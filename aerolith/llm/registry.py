@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aerolith.llm import bpe, chat, neardup, quality, store, substring, suffix, toxicity
+from aerolith.llm import bpe, chat, decontam, neardup, quality, store, substring, suffix, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_near_duplicates": neardup.query,
         "op5_substring_dedup": substring.query,
         "op6_byte_bpe": bpe.query,
+        "op7_decontaminate": decontam.query,
         "op9_chat_format": chat.query,
         "op10_token_store": store.query,
     }
