@@ -44,6 +44,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fold(doc_id: str, folds: int) -> Column:
+    """CRC-32 of the id as text, modulo folds; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
 def scratch(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir; a temporary one only for a local master without that setting."""
     context = spark.sparkContext

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aerolith.llm import bpe, chat, decontam, neardup, quality, store, substring, suffix, toxicity
+from aerolith.llm import bpe, chat, decontam, lm, neardup, quality, store, substring, suffix, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_substring_dedup": substring.query,
         "op6_byte_bpe": bpe.query,
         "op7_decontaminate": decontam.query,
+        "op8_language_model": lm.query,
         "op9_chat_format": chat.query,
         "op10_token_store": store.query,
     }

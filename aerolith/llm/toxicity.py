@@ -8,10 +8,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import table, texts
+from aerolith.llm.common import fold, table, texts
 
 MARKS = b".,;:!?\"'()[]{}|#*$%&<>-_"
 
@@ -176,10 +176,6 @@ def _cut(z: np.ndarray, label: np.ndarray, other: float = 0.0) -> float:
     return float((z[order[k]] + z[order[min(k + 1, len(z) - 1)]]) / 2)
 
 
-def fold(doc_id: str, folds: int) -> Column:
-    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
-
-
 def sample(docs: DataFrame, labels: DataFrame, most: int = 1600, most_chars: int = 200_000) -> list[tuple[str, int, str]]:
     """Labelled training rows outside the held-out fold: most rows of each label by hash of the id, texts of most_chars at most."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
