@@ -222,10 +222,12 @@ def decode(coded: DataFrame, ranks_path: str) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """n_tokens, the digest of the ids and the digest of what they decode to, for each row of docs."""
+def digests(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False) -> DataFrame:
+    """n_tokens, the digest of the ids and the digest of what they decode to, for each row of docs; the ids too if asked for."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    row = lambda ids, encoder: (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest())
+    row = lambda coded, encoder: (len(coded) // 4, hashlib.sha256(coded).hexdigest(), hashlib.sha256(encoder.decode(coded)).hexdigest(), coded)
+    if ids:
+        schema.add("ids", T.BinaryType())
     return _per_text(docs, ranks_path, pattern, schema, row)
 
 

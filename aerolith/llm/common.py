@@ -30,9 +30,9 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """texts() with a doc_id that can be joined on: a null becomes NO_ID; unkeyed() turns it back."""
-    return texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    return texts(docs, *more).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
 
 
 def unkeyed(name: str = "doc_id") -> Column:
@@ -94,15 +94,20 @@ def parts(batch, column: int, limit: int):
         at += n
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id and z: the text as zstd bytes, for shuffles that carry whole texts."""
+def packed(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id and z: the text as zstd bytes, for shuffles that carry whole texts; other columns only if named."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    rows = docs.select("doc_id", "text", *more)
+    schema = T.StructType([rows.schema[0], T.StructField("z", T.BinaryType()), *rows.schema[2:]])
 
     def run(batches):
-        import pyarrow as pa
         import zstandard
 
         code = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([code.compress(t.as_buffer() or b"") for t in batch.column(1)], pa.binary())], ["doc_id", "z"])
+            z = pa.array([code.compress(t.as_buffer() or b"") for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), z, *batch.columns[2:]], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
+    return rows.mapInArrow(run, schema)

@@ -240,76 +240,93 @@ def _candidates(size: Size, flat: np.ndarray, starts: np.ndarray) -> Iterator[tu
         yield int(at), int(item)
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """doc_id, item_id, edits, item_bytes, start (byte in the text, lower-cased and with single spaces): the best match of each pair.
-
-    A pair matches if some stretch of the document is within plan.percent of the item's bytes in edits. Cutting
-    an item into more pieces than it may have edits leaves some pieces whole in any copy, so places without them, in the
-    right order of distances, drop out at no loss. The windows that are left are embedded and looked up, and what is found
-    is aligned exactly. Items of fewer than plan.least bytes, null ones included, are left out. Null and empty
-    texts match nothing; repeated rows and rows that share a doc_id give one row for each pair; a null item_id or doc_id
-    stays null. Other columns are not read. Items go to the tasks in blocks of plan.block bytes, documents pass once for
-    each block, and nothing is shuffled but the matches.
-    """
-    spark = documents.sparkSession
+def _blocks(benchmark: DataFrame, plan: Plan) -> Iterator:
+    """Broadcast tables of the items, plan.block bytes at a time."""
+    spark = benchmark.sparkSession
     listed = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND text <> ''")
     total = listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // plan.block))
     if blocks > 1:
         listed = staged(listed, "items")
-    docs, out = keyed(documents), None
     for b in range(blocks):
-        some = listed.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()  # about plan.block bytes
+        some = listed.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
         sizes = index([(r.item_id, plain(r.text)) for r in sorted(some, key=lambda r: (r.text, r.item_id or 0))], plan)
-        shared = spark.sparkContext.broadcast((sizes, pieces(sizes, plan)))
-        found = docs.mapInArrow(_scan(shared, plan), "doc_id long, item_id long, edits int, item_bytes int, start long")
+        yield spark.sparkContext.broadcast((sizes, pieces(sizes, plan)))
+
+
+def _found(texts: list[str], sizes: list[Size], cut: list[Pieces], plan: Plan) -> list[tuple[int, int | None, int, int, int]]:
+    """(number of the text, item_id, edits, item bytes, start) of the copies in texts."""
+    pad = max(s.steps for s in sizes) + 2
+    strings = [plain(t) for t in texts]
+    flat = np.frombuffer(b"\0".join(strings) + b"\0" * pad, np.uint8)
+    begin = np.cumsum([0, *(len(s) + 1 for s in strings[:-1])])
+    starts = np.r_[0, np.flatnonzero((flat[:-1] == 32) | (flat[:-1] == 0)) + 1]
+    by_q = {c.q: c for c in cut}
+    ranges = np.concatenate([by_q[q].near(coded, plan) for q, coded in grams(flat, list(by_q))])
+    rows = []
+    for n, size in enumerate(sizes):
+        mine = ranges[ranges[:, 0] == n]
+        near = {(int(at), int(k)) for _, k, lo, hi in mine for at in starts[np.searchsorted(starts, lo) : np.searchsorted(starts, hi)] if at < len(flat) - pad}
+        some, done, tried = np.unique(np.array([at for at, _ in near], np.int64)), {}, {}
+        for at, k in _candidates(size, flat, some):
+            d = int(np.searchsorted(begin, at, "right")) - 1
+            item_id, item = size.items[k]
+            edits = len(item) * plan.percent // 100
+            if (at, k) not in near or at < done.get((d, k), -1) or at <= tried.get((d, k), -len(item)) + edits // 2:
+                continue  # no whole pieces, inside a copy that was found, or seen with the start before
+            tried[d, k] = at
+            local = at - int(begin[d])
+            a, b = max(0, local - 2 * edits - 8), local + len(item) + 2 * edits + 8
+            if best := distance(item, strings[d][a:b], edits):
+                rows.append((d, item_id, best[0], len(item), max(0, a + best[1] - len(item))))
+                done[d, k] = int(begin[d]) + a + best[1]
+    return rows
+
+
+def matches(documents: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) -> DataFrame:
+    """doc_id, item_id, edits, item_bytes, start (byte in the text, lower-cased and with single spaces): the best match of each pair.
+
+    A pair matches if some stretch of the document is within plan.percent of the item's bytes in edits. Cutting an item
+    into more pieces than it may have edits leaves some pieces whole in any copy, so places without them, in the right
+    order of distances, drop out at no loss. The windows that are left are embedded and looked up, and what is found is
+    aligned exactly. Items of fewer than plan.least bytes, null ones included, are left out. Null and empty texts match
+    nothing; repeated rows and rows that share a doc_id give one row for each pair; a null item_id or doc_id stays null.
+    Other columns are not read. Items go to the tasks in blocks of plan.block bytes, documents pass once for each block,
+    and nothing is shuffled but the matches.
+    """
+    docs, out = keyed(documents), None
+    for shared in _blocks(benchmark, plan):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sizes, cut = shared.value
+            for batch in batches:
+                for part in parts(batch, 1, 1 << 20) if sizes else ():
+                    rows = _found(part.column(1).to_pylist(), sizes, cut, plan)
+                    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                    who = part.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([who, *(pa.array([r[j + 1] for r in rows], t) for j, t in enumerate(types))], ["doc_id", "item_id", "edits", "item_bytes", "start"])
+
+        found = docs.mapInArrow(run, "doc_id long, item_id long, edits int, item_bytes int, start long")
         out = found if out is None else out.unionAll(found)
     best = F.min(F.struct("edits", "start", "item_bytes")).alias("m")
     return out.groupBy("doc_id", "item_id").agg(best).select(unkeyed(), "item_id", "m.edits", "m.item_bytes", "m.start")
 
 
-def _scan(shared, plan: Plan):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, cut = shared.value
-        pad = max((s.steps for s in sizes), default=0) + 2
-        for batch in batches:
-            for part in parts(batch, 1, 1 << 20) if sizes else ():
-                strings = [plain(t) for t in part.column(1).to_pylist()]
-                ids = part.column(0).to_pylist()
-                flat = np.frombuffer(b"\0".join(strings) + b"\0" * pad, np.uint8)
-                begin = np.cumsum([0, *(len(s) + 1 for s in strings[:-1])])
-                starts = np.r_[0, np.flatnonzero((flat[:-1] == 32) | (flat[:-1] == 0)) + 1]
-                rows = []
-                by_q = {c.q: c for c in cut}
-                ranges = np.concatenate([by_q[q].near(coded, plan) for q, coded in grams(flat, list(by_q))])
-                for n, size in enumerate(sizes):
-                    mine = ranges[ranges[:, 0] == n]
-                    near = {(int(at), int(k)) for _, k, lo, hi in mine for at in starts[np.searchsorted(starts, lo) : np.searchsorted(starts, hi)] if at < len(flat) - pad}
-                    some, done, tried = np.unique(np.array([at for at, _ in near], np.int64)), {}, {}
-                    for at, k in _candidates(size, flat, some):
-                        d = int(np.searchsorted(begin, at, "right")) - 1
-                        item_id, item = size.items[k]
-                        edits = len(item) * plan.percent // 100
-                        if (at, k) not in near or at < done.get((d, k), -1) or at <= tried.get((d, k), -9) + edits // 2:
-                            continue  # no whole pieces, inside a copy that was found, or seen with the start before
-                        tried[d, k] = at
-                        local = at - int(begin[d])
-                        a = max(0, local - 2 * edits - 8)
-                        b = local + len(item) + 2 * edits + 8
-                        if best := distance(item, strings[d][a:b], edits):
-                            rows.append((ids[d], item_id, best[0], len(item), max(0, a + best[1] - len(item))))
-                            done[d, k] = int(begin[d]) + a + best[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["doc_id", "item_id", "edits", "item_bytes", "start"]
-                )
-
-    return run
-
-
 def clean(documents: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """The rows of documents that match no item, all columns as they are."""
-    bad = matches(documents, benchmark, plan).select("doc_id").distinct()
-    return documents.join(bad, documents["doc_id"].cast("long").eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows of documents that match no item, all columns as they are. Each row is judged by its own text: no shuffle."""
+    at = documents.columns.index("text")
+    for shared in _blocks(benchmark, plan):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sizes, cut = shared.value
+            for batch in batches:
+                for part in parts(batch, at, 1 << 20) if sizes else [batch]:
+                    texts = [t or "" for t in part.column(at).to_pylist()]
+                    bad = {r[0] for r in _found(texts, sizes, cut, plan)} if sizes else set()
+                    yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents
 
 
 def query(spark, sf_dir: str) -> DataFrame:

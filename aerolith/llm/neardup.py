@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import keyed, staged, table, unkeyed
+from aerolith.llm.common import NO_ID, keyed, staged, table, unkeyed
 from aerolith.llm.components import components
 from aerolith.llm.hashing import STEP, U64, WordHashes, mix, powers, signed
 
@@ -177,6 +177,13 @@ def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     return out.select(unkeyed(), F.col("n").alias("n_shingles"), unkeyed("top").alias("component_id"), (F.col("doc_id") == F.col("top")).alias("kept"))
 
 
+def one_of_each(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
+    """The rows of documents that near_duplicates() keeps, one for each doc_id, with all their columns."""
+    kept = near_duplicates(documents, plan).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__kept"))
+    rows = documents.withColumn("__kept", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    return rows.join(kept, "__kept", "left_semi").dropDuplicates(["__kept"]).drop("__kept")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

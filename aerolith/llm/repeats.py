@@ -15,6 +15,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from aerolith.llm.common import packed, parts, staged
 from aerolith.llm.hashing import BASE, U64, WordHashes, mix, powers, signed
@@ -260,13 +263,13 @@ def covered(spans, window: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[np.r_[np.flatnonzero(new)[1:] - 1, len(hi) - 1]]
 
 
-def stripped(docs: DataFrame, cut: Cut, later: bool, row, schema: str) -> DataFrame:
-    """row(units, run starts, run ends) as columns after doc_id, for each row of docs."""
-    from pyspark.sql.types import _parse_datatype_string
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+def stripped(docs: DataFrame, cut: Cut, later: bool, row, schema: str, *more: str) -> DataFrame:
+    """row(units, run starts, run ends) as the columns of schema after doc_id, for each row of docs; then other columns if named."""
     spans = repeated(docs, cut, later)
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    texts = packed(docs, *more).join(spans, "doc_id", "left").select("doc_id", "z", "spans", *more)
+    own = _parse_datatype_string(schema)
+    whole = T.StructType([texts.schema[0], *own, *texts.schema[3:]])
+    types = [f.type for f in to_arrow_schema(own)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,6 +278,7 @@ def stripped(docs: DataFrame, cut: Cut, later: bool, row, schema: str) -> DataFr
                 for text, found in zip(_open(part, 1), part.column(2).to_pylist(), strict=True):
                     units = cut.units(text)
                     rows.append(row(units, *covered(found, cut.window, len(units))))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(arrow)[1:]))], schema=arrow)
+                made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made, *part.columns[3:]], whole.names)
 
-    return packed(docs).join(spans, "doc_id", "left").select("doc_id", "z", "spans").mapInArrow(run, schema)
+    return texts.mapInArrow(run, whole)

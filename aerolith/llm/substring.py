@@ -36,7 +36,7 @@ def dedup(documents: DataFrame, length: int = 35) -> DataFrame:
     def row(units, lo, hi):
         return _left(units, lo, hi).decode("utf-8", "replace"), len(units), int((hi - lo).sum())
 
-    out = stripped(keyed(documents), _cut(length), False, row, "doc_id long, text string, n_words long, n_removed long")
+    out = stripped(keyed(documents), _cut(length), False, row, "text string, n_words long, n_removed long")
     return out.withColumn("doc_id", unkeyed())
 
 
@@ -46,7 +46,7 @@ def digests(documents: DataFrame, length: int = 35) -> DataFrame:
     def row(units, lo, hi):
         return len(units), int((hi - lo).sum()), hashlib.sha256(_left(units, lo, hi)).hexdigest()
 
-    out = stripped(keyed(documents), _cut(length), False, row, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    out = stripped(keyed(documents), _cut(length), False, row, "n_words long, n_removed long, kept_sha256 string")
     return out.withColumn("doc_id", unkeyed())
 
 

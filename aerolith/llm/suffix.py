@@ -20,8 +20,8 @@ def _cut(length: int) -> Cut:
     return Cut(length, max(1, min(24, length // 2)), False)
 
 
-def dedup(documents: DataFrame, length: int = 100) -> DataFrame:
-    """doc_id, text without each byte covered by a string of length bytes that also starts earlier, n_bytes, n_removed.
+def dedup(documents: DataFrame, length: int = 100, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text without each byte covered by a string of length bytes that also starts earlier, n_bytes, n_removed, more.
 
     Prefix-free parsing: rolling-hash triggers cut each text into phrases that overlap by length - 1 bytes. No phrase is
     a proper prefix of what another needs at depth length, so the order of the corpus' suffixes at that depth follows
@@ -29,16 +29,16 @@ def dedup(documents: DataFrame, length: int = 100) -> DataFrame:
     its occurrences in order of doc_id and start). An equal string's first occurrence is the smallest over the
     dictionary suffixes in its class. Copies of a phrase are settled in the parse and never sorted.
 
-    Cutting UTF-8 between bytes may leave broken characters; they become U+FFFD in text. A null or empty text stays
+    Cutting UTF-8 between bytes may leave parts of characters; they are left out of text. A null or empty text stays
     empty; a null doc_id comes before all others. Rows that repeat a doc_id count as one document: repeated rows are
-    treated alike and neither is earlier than the other. Other columns are not read.
+    treated alike and neither is earlier than the other. Other columns are carried if named in more, else not read.
     """
 
     def row(units, lo, hi):
         left = _kept(units, lo, hi)
-        return left.decode("utf-8", "replace"), len(units), len(units) - len(left)
+        return left.decode("utf-8", "ignore"), len(units), len(units) - len(left)
 
-    out = stripped(keyed(documents), _cut(length), True, row, "doc_id long, text string, n_bytes long, n_removed long")
+    out = stripped(keyed(documents, *more), _cut(length), True, row, "text string, n_bytes long, n_removed long", *more)
     return out.withColumn("doc_id", unkeyed())
 
 
@@ -49,7 +49,7 @@ def digests(documents: DataFrame, length: int = 100) -> DataFrame:
         left = _kept(units, lo, hi)
         return len(units), len(units) - len(left), len(lo), hashlib.sha256(left).hexdigest()
 
-    out = stripped(keyed(documents), _cut(length), True, row, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = stripped(keyed(documents), _cut(length), True, row, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn("doc_id", unkeyed())
 
 
