@@ -25,7 +25,7 @@ class Plan:
     bands: int = 32
     rows: int = 4
     #: Bits of an odd sketch, a multiple of 64.
-    bits: int = 256
+    bits: int = 1024
     #: How far below the expectation, in deviations, a sketch may lie before its pair is dropped.
     slack: float = 5.0
 
@@ -38,12 +38,14 @@ class Plan:
         """Bits in which the sketches of a pair at the threshold differ, at most.
 
         Of k samples k * (1 - s) differ, give or take a binomial deviation, and each puts two elements into the
-        symmetric difference; d elements leave bits * (1 - (1 - 2 / bits) ** d) / 2 bits set, d * (1 - d / bits) at worst.
+        symmetric difference; d elements leave bits * (1 - (1 - 2 / bits) ** d) / 2 bits set, less two for each of the
+        d * (d - 1) / (2 * bits) meetings that chance adds.
         """
-        k, s = self.samples, self.percent / 100
-        differing = k * (1 - s) + self.slack * math.sqrt(k * s * (1 - s))
-        expected = self.bits * (1 - (1 - 2 / self.bits) ** (2 * min(k, differing))) / 2
-        return math.ceil(expected + self.slack * math.sqrt(self.bits) / 4)
+        k, s, n = self.samples, self.percent / 100, self.bits
+        d = 2 * k * (1 - s)
+        expected, slope = n * (1 - (1 - 2 / n) ** d) / 2, 2 * (1 - 2 / n) ** d
+        spread = slope**2 * k * s * (1 - s) + 4 * d * max(d - 1, 0) / (2 * n)
+        return math.ceil(expected + self.slack * math.sqrt(spread))
 
 
 def shingles(text: str, n: int, hashes: WordHashes) -> np.ndarray:
@@ -134,11 +136,12 @@ def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept, for each row of documents.
 
     1. Documents of equal sets form a class; its smallest doc_id stands for it.
-    2. In each band's bucket every class is paired with the smallest one (a star, not all pairs). Sketches thin the
-       pairs out, full sets confirm them, and the links give components.
-    3. Buckets that still hold several components are looked through again: classes outside the component of the
-       smallest one are compared, by sketch, with the members of other components there. So a link is never lost
-       because a hub stood between its ends, and a bucket of copies costs no more than its size.
+    2. In each band's bucket every class is paired with its hub (a star, not all pairs): the class that shares most
+       buckets with most others, so that copies of one original meet at the original. Sketches thin the pairs out, full
+       sets confirm them, and the links give components.
+    3. Buckets that still hold several components are looked through again: classes outside the component of the hub
+       are compared, by sketch, with the members of other components there. So a link is never lost because a hub stood
+       between its ends, and a bucket of copies costs no more than its size.
 
     A null or empty text has no shingles and no links; a null doc_id is a document whose id is below all others and
     whose component_id is null. Repeated rows give repeated results; rows that share a doc_id but not the text count
@@ -152,11 +155,15 @@ def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     reps = member.where("n > 0 AND doc_id = rep").select("doc_id").distinct()
     stand = staged(sets.join(reps, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "representatives")
     rows = stand.select("doc_id", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    shared = staged(rows.join(buckets, "key"), "buckets")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    sized = staged(rows.join(buckets, "key"), "buckets")
+    known = sized.groupBy("doc_id").agg(F.sum("size").alias("weight"))
+    weighed = sized.join(known, "doc_id")
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", F.bitwise_not("doc_id").alias("hub"))).alias("m")).select("key", F.bitwise_not(F.col("m.hub")).alias("hub"))
+    shared = staged(sized.join(hubs, "key"), "hubs")
     sketch = lambda x: stand.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
 
-    stars = shared.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = shared.where("doc_id <> hub").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     near = stars.join(sketch("b"), "b").join(sketch("a"), "a").where(_close("sketch_a", "sketch_b", plan)).select("a", "b")
     links = staged(confirmed(near, docs, plan), "links")
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
