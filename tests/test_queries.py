@@ -2,10 +2,10 @@ import __spark_entry__ as entry
 import pytest
 from compare import of_duck, of_spark
 
-from aerolith.plans import fields, soundings
+from aerolith.plans import evaluation, fields, soundings
 
-OWN = soundings.Q | fields.Q
-SQL = soundings.SQL | fields.SQL
+OWN = soundings.Q | evaluation.Q | fields.Q
+SQL = soundings.SQL | evaluation.SQL | fields.SQL
 
 
 @pytest.mark.parametrize("name", sorted(OWN))
