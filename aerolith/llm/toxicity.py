@@ -107,15 +107,21 @@ class Net:
 
 
 def fit(rows: list[tuple[str, int, str]], shape: Shape = Shape(), epochs: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Net:
-    """rows: text, label, language. A fifth is held back to calibrate the cut at 0.5 and the thresholds of languages."""
+    """rows: text, label, language. A fifth is held back to calibrate the cut at 0.5 and the thresholds of languages.
+
+    Without rows the net gives every text the same score.
+    """
     net, words, rng = Net.new(shape, seed), Words(shape, 1 << 60), np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     back, train = order[: len(rows) // 5], order[len(rows) // 5 :]
     coded = [words.numbers([text])[0] for text, _, _ in rows]
     label = np.array([y for _, y, _ in rows], np.float32)
+    if not len(rows):
+        net.embed *= 0
+        return net
     weight = np.where(label == 1, 0.5 / max(label.mean(), 1e-6), 0.5 / max(1 - label.mean(), 1e-6))
     moments: dict = {}
-    seen = np.bincount(np.concatenate([np.unique(words.slots[np.unique(coded[i])]) for i in train]), minlength=shape.slots) if len(train) else 0
+    seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *(np.unique(words.slots[np.unique(coded[i])]) for i in train)]), minlength=shape.slots)
     common = (seen >= shape.least_texts)[:, None]
     common[0] = False
     net.embed *= common

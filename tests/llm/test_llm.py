@@ -260,7 +260,7 @@ def test_store(spark, rows, tmp_path):
     from tokenizers import Tokenizer
 
     path = public.path("word_bpe_49k.json")
-    more = [*rows, (200, "It's 10,000.5!? <|endoftext|> <|ENDOFTEXT|> don't é .x ...y a.b")]
+    more = [*rows, (201, "a\x0bb\x0cc\x1cd e\u00a0f  \u0301g"), (202, "STRASSE ÉTÉ İ ǅ x\u0301"), (200, "It's 10,000.5!? <|endoftext|> <|ENDOFTEXT|> don't é .x ...y a.b")]
     store.write(table(spark, more), str(tmp_path / "s"), path)
     whole = Tokenizer.from_file(path)
     want = {}
@@ -300,3 +300,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     held = [(r.predicted, dict(labels)[r.doc_id]) for r in got if r.doc_id in dict(labels) and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert sum(p == y for p, y in held) >= 0.95 * len(held)
+
+
+def test_empty_tables(spark, tmp_path):
+    empty, some = table(spark, []), table(spark, [(1, "a b c"), (2, None)])
+    net = toxicity.fit(toxicity.sample(empty, spark.createDataFrame([], "doc_id long, toxic int")))
+    assert toxicity.score(some, net).count() == 2 and toxicity.score(empty, net).count() == 0
+    model, counts = lm.fit(empty.select("doc_id", "text"))
+    assert {(r.n_known, r.score <= 0) for r in lm.score(some, model, counts).collect()} == {(0, True)}
+    store.write(empty, str(tmp_path / "s"), public.path("word_bpe_49k.json"))
+    assert store.read(spark, str(tmp_path / "s")).count() == 0
+    assert bpe.digests(empty, public.path("byte_bpe_50k.tiktoken"), public.PATTERN).count() == 0
