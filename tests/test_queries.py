@@ -2,10 +2,10 @@ import __spark_entry__ as entry
 import pytest
 from compare import of_duck, of_spark
 
-from aerolith.plans import evaluation, fields, scans, soundings
+from aerolith.plans import evaluation, fields, scans, soundings, tables
 
-OWN = soundings.Q | evaluation.Q | fields.Q | scans.Q
-SQL = soundings.SQL | evaluation.SQL | fields.SQL | scans.SQL
+OWN = soundings.Q | evaluation.Q | fields.Q | scans.Q | tables.Q
+SQL = soundings.SQL | evaluation.SQL | fields.SQL | scans.SQL | tables.SQL
 
 
 @pytest.mark.parametrize("name", sorted(OWN))
