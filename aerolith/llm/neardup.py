@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import NO_ID, keyed, staged, table, unkeyed
+from aerolith.llm.common import NO_ID, keyed, packed, parts, staged, table, unkeyed
 from aerolith.llm.components import components
 from aerolith.llm.hashing import STEP, U64, WordHashes, mix, powers, signed
 
@@ -109,22 +110,28 @@ def _close(x: str, y: str, plan: Plan) -> Column:
     return odd <= plan.most_odd_bits
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; texts travel only for documents that some pair names."""
-    pairs = staged(pairs, "pairs")
-    named = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    held = staged(docs.join(named, "doc_id", "left_semi"), "texts")
-    side = lambda x: held.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+def _held(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """doc_id and z (packed text) of the named documents, as a table."""
+    return staged(packed(docs).join(named, "doc_id", "left_semi"), "texts")
+
+
+def _sets(batch: pa.RecordBatch, column: int, plan: Plan, hashes: WordHashes) -> Iterator[np.ndarray]:
+    code = zstandard.ZstdDecompressor()
+    return (shingles(code.decompress(z.as_buffer().to_pybytes()).decode("utf-8", "replace"), plan.words, hashes) for z in batch.column(column))
+
+
+def confirmed(pairs: DataFrame, held: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. held has the packed text of each document that a pair names."""
+    side = lambda x: held.select(F.col("doc_id").alias(x), F.col("z").alias(f"z_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "z_a", "z_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, known = WordHashes(), None, np.zeros(0, U64)
         for batch in batches:
             keep = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for k, (a, other) in enumerate(zip(batch.column(0).to_pylist(), _sets(batch, 3, plan, hashes), strict=True)):
                 if a != last:
-                    last, known = a, shingles(x.as_py(), plan.words, hashes)
-                other = shingles(y.as_py(), plan.words, hashes)
+                    last, known = a, next(_sets(batch.slice(k, 1), 2, plan, hashes))
                 same = len(np.intersect1d(known, other, assume_unique=True))
                 keep.append(100 * same >= plan.percent * (len(known) + len(other) - same) and same > 0)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -132,6 +139,61 @@ def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _counted(held: DataFrame, plan: Plan) -> DataFrame:
+    """h (a shingle), c (documents that have it)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for part in parts(batch, 1, 1 << 20):
+                h, c = np.unique(np.concatenate(list(_sets(part, 1, plan, hashes))), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(c.astype(np.int64))], ["h", "c"])
+
+    return held.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def _prefixes(held: DataFrame, common, plan: Plan) -> DataFrame:
+    """key, doc_id, n: the first shingles of each set, rare ones before common ones, as many as similar sets must share one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, (hot, often) = WordHashes(), common.value
+        for batch in batches:
+            for part in parts(batch, 1, 1 << 20):
+                keys, ids, sizes = [np.zeros(0, U64)], [], []
+                for doc, s in zip(part.column(0).to_pylist(), _sets(part, 1, plan, hashes), strict=True):
+                    at = np.minimum(np.searchsorted(hot, s), max(len(hot) - 1, 0))
+                    count = np.where(hot[at] == s, often[at], 0) if len(hot) else np.zeros(len(s))
+                    first = np.lexsort((s, count))[: len(s) + 1 + (-plan.percent * len(s)) // 100]
+                    keys.append(s[first])
+                    ids += [doc] * len(first)
+                    sizes += [len(s)] * len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["key", "doc_id", "n"])
+
+    return held.mapInArrow(run, "key long, doc_id long, n long")
+
+
+def _between(left: DataFrame, held: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b) of documents of left (doc_id, c) in different components c that may be linked: all that are, and few others.
+
+    Prefix filtering: under one order of all shingles, sets of the asked similarity share one of their first quarter. Where
+    many documents have a shingle it comes late in the order, so a passage that many share makes no pairs by itself. Such
+    shingles are a table of bounded size: those in a thousandth of the documents at least. In each key the members of the
+    largest component are paired with the others only.
+    """
+    spark = left.sparkSession
+    least = max(3, -(-left.count() // 1000))
+    hot = _counted(held, plan).where(F.col("c") >= least).toArrow()
+    h, c = hot.column(0).to_numpy().view(U64), hot.column(1).to_numpy()
+    order = np.argsort(h)
+    rows = staged(_prefixes(held, spark.sparkContext.broadcast((h[order], c[order])), plan).join(left, "doc_id"), "prefixes")
+    split = rows.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    rows = rows.join(split.select("key", F.col("m.c").alias("top")), "key")
+    x = rows.where("c <> top").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
+    y = rows.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), "top")
+    near = x.join(y, "key").where("cx <> cy AND (x < y OR cy = top)").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * plan.percent)
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept, for each row of documents.
 
@@ -139,9 +201,9 @@ def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     2. In each band's bucket every class is paired with its hub (a star, not all pairs): the class that shares most
        buckets with most others, so that copies of one original meet at the original. Sketches thin the pairs out, full
        sets confirm them, and the links give components.
-    3. Buckets that still hold several components are looked through again: classes outside the component of the hub
-       are compared, by sketch, with the members of other components there. So a link is never lost because a hub stood
-       between its ends, and a bucket of copies costs no more than its size.
+    3. Documents of buckets that still hold several components are joined again across components, exactly, by prefix
+       filtering. So a link is never lost because a hub stood between its ends, and neither a bucket of copies nor a
+       passage that many documents share is expanded into all pairs.
 
     A null or empty text has no shingles and no links; a null doc_id is a document whose id is below all others and
     whose component_id is null. Repeated rows give repeated results; rows that share a doc_id but not the text count
@@ -165,21 +227,21 @@ def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
     stars = shared.where("doc_id <> hub").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     near = stars.join(sketch("b"), "b").join(sketch("a"), "a").where(_close("sketch_a", "sketch_b", plan)).select("a", "b")
-    links = staged(confirmed(near, docs, plan), "links")
+    near = staged(near, "pairs")
+    named = near.select(F.col("a").alias("doc_id")).unionAll(near.select("b")).distinct()
+    links = staged(confirmed(near, _held(docs, named), plan), "links")
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     label = lambda x, as_: found.select(F.col("u").alias(x), F.col("component").alias(as_))
-    big = shared.where("size > 2").join(label("doc_id", "c"), "doc_id", "left").join(label("hub", "h"), "hub", "left")
-    big = big.select("key", "doc_id", "hub", F.coalesce("c", "doc_id").alias("c"), F.coalesce("h", "hub").alias("h"))
-    outside = big.where("c <> h").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"), "h")
-    mixed = outside.select("key").distinct()
-    inside = big.where("doc_id <> hub").join(mixed, "key", "left_semi").select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"))
-    outside, inside = outside.join(sketch("x"), "x"), inside.join(sketch("y"), "y")
-    rest = outside.join(inside, "key").where("cx <> cy AND (x < y OR cy = h)").where(_close("sketch_x", "sketch_y", plan))
-    more = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    late = staged(confirmed(more, docs, plan), "links")
-    if not late.isEmpty():
-        found = components(links.unionAll(late).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    big = shared.where("size > 2").join(label("doc_id", "c"), "doc_id", "left").select("key", "doc_id", F.coalesce("c", "doc_id").alias("c"))
+    mixed = big.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    left = staged(big.join(mixed, "key", "left_semi").select("doc_id", "c").distinct(), "left")
+    if not left.isEmpty():
+        held = _held(docs, left.select("doc_id"))
+        more = _between(left, held, plan).join(sketch("b"), "b").join(sketch("a"), "a").where(_close("sketch_a", "sketch_b", plan)).select("a", "b")
+        late = staged(confirmed(staged(more, "pairs"), held, plan), "links")
+        if not late.isEmpty():
+            found = components(links.unionAll(late).select(F.col("a").alias("u"), F.col("b").alias("v")))
     out = member.join(found.withColumnRenamed("u", "rep"), "rep", "left").withColumn("top", F.coalesce("component", "rep"))
     return out.select(unkeyed(), F.col("n").alias("n_shingles"), unkeyed("top").alias("component_id"), (F.col("doc_id") == F.col("top")).alias("kept"))
 
