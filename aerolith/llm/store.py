@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -18,28 +17,36 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.llm.common import keyed, new_path, parts, table, unkeyed
-from aerolith.llm.repeats import BLOCK
 
 DIGEST = 16
 #: Ids that a rolling hash covers; one position in MEAN is a cut; a longer chunk is cut at each MOST ids.
 ROLL, MEAN, MOST = 8, 512, 8192
 CACHE_WORDS = 600_000
+#: Bytes of text that are encoded together.
+BLOCK = 1 << 22
 #: Leaves below a Merkle node.
 FAN = 1024
 
 
+#: Schemas of the files; a store of no documents has no files to infer them from.
+BLOCKS = "digest binary, doc_id long, n long, body binary, copies long, kind int"
+RECIPES = "doc_id long, copy long, n_tokens long, root binary, chunks array<binary>, sizes array<long>, part int"
+MANIFEST = "part int, root string, n_tokens long, documents long, low long, high long"
+
+
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
-#: A space here changes no pre-token and makes words with and without a mark one word.
-BEFORE_MARK = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
+#: A letter or digit and a mark: a space between them changes no pre-token and makes words with and without a mark one word.
+BEFORE_MARK = r"([a-z0-9])([.,;:!?])"
 
 
 class WordEncoder:
@@ -52,22 +59,35 @@ class WordEncoder:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
 
-    @staticmethod
-    def words(text: str) -> list[bytes]:
-        raw = text.encode("utf-8", "replace")
-        if b"<|" not in raw:  # may be the start of a special token
-            raw = BEFORE_MARK.sub(b" ", raw.lower())
-        return raw.split()
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.words(t) for t in texts]
-        words = set().union(*split)
+    def _learn(self, words: list[str]) -> None:
+        """Lower-case ASCII letters are one pre-token as they are, so the model alone is asked; other words go the whole way."""
+        model, other = self.tokenizer.model, []
+        for w in words:
+            if w.isascii() and w.isalpha() and w.islower():
+                self.known[w] = array("I", [t.id for t in model.tokenize(w)]).tobytes()
+            else:
+                other.append(w)
+        coded = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        self.known.update(zip(other, (array("I", x.ids).tobytes() for x in coded), strict=True))
+
+    def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end_id after each, and where each text ends."""
+        marked = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=BEFORE_MARK, replacement=r"\1 \2")
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, marked))  # <| may start a special token
+        coded = lists.flatten().dictionary_encode()
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.known) > CACHE_WORDS:
             self.known = {w: self.known[w] for w in words if w in self.known}
-        new = [w for w in words if w not in self.known]
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update(zip(new, (array("I", x.ids).tobytes() for x in coded), strict=True))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), np.uint32) for ws in split]
+        self._learn([w for w in words if w not in self.known])
+        found = [self.known[w] for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, first = np.frombuffer(b"".join(found), np.uint32), np.cumsum(sizes) - sizes
+        n = sizes[index]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat(first[index] - (ends - n), n) + np.arange(n.sum())]
+        offsets = lists.offsets.to_numpy()
+        ends = np.r_[0, ends][offsets[1:] - offsets[0]]
+        return np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
 
 
 @lru_cache(maxsize=1)
@@ -76,20 +96,20 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def cuts(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks: where the hash of the last ROLL ids is a multiple of MEAN, after each MOST ids, and at the end."""
-    n = len(ids)
-    ends = np.zeros(0, np.int64)
-    if n >= ROLL:
+def cuts(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of texts that end at ends: where the hash of a text's last ROLL ids is a multiple of MEAN, after each MOST ids, and at the end."""
+    starts, at = np.r_[0, ends[:-1]], np.zeros(0, np.int64)
+    if len(ids) >= ROLL:
         h, k = ids * np.uint32(0x9E3779B1), 1
         while k < ROLL:  # of 1, 2, 4, 8 ids
             h, k = h[:-k] * np.uint32(pow(0x85EBCA6B, k, 1 << 32)) + h[k:], 2 * k
-        ends = np.flatnonzero((h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(10) & np.uint32(MEAN - 1) == 0) + ROLL
-    ends = np.unique(np.append(ends, n))
-    starts = np.r_[0, ends[:-1]]
-    if (ends - starts).max() > MOST:
-        ends = np.concatenate([np.append(np.arange(a + MOST, b, MOST), b) for a, b in zip(starts, ends, strict=True)])
-    return ends
+        at = np.flatnonzero((h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(10) & np.uint32(MEAN - 1) == 0)
+        at = at[at >= starts[np.searchsorted(ends, at + ROLL)]] + ROLL
+    out = np.unique(np.concatenate([at, ends]))
+    size = np.diff(np.r_[0, out])
+    for k in np.flatnonzero(size > MOST):
+        out = np.append(out, np.arange(out[k] - size[k] + MOST, out[k], MOST))
+    return np.sort(out)
 
 
 def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
@@ -106,19 +126,23 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> N
         encoder, code = _encoder(SparkFiles.get(name)), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part in parts(batch, 1, BLOCK):
+                ids, ends = encoder.ids(part.column(1), end_id)
+                out = cuts(ids, ends)
+                raw, small = ids.tobytes(), b"" if encoder.wide else ids.astype(np.uint16).tobytes()
                 rows: list[tuple] = []
-                stored = set()
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist()), strict=True):
-                    ids = np.append(ids, np.uint32(end_id))
-                    ends = cuts(ids)
-                    names, raw = [], ids.tobytes()
-                    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                stored, a, k = set(), 0, 0
+                out_list = out.tolist()
+                for doc, start, end in zip(part.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    names, sizes = [], []
+                    while a < end:
+                        b = out_list[k]
                         names.append(d := digest(raw[4 * a : 4 * b]))
+                        sizes.append(b - a)
                         if d not in stored:
                             stored.add(d)
-                            rows.append((1, d, 0, b - a, code.compress(raw[4 * a : 4 * b] if encoder.wide else ids[a:b].astype(np.uint16).tobytes())))
-                    sizes = np.diff(np.r_[0, ends]).astype(np.uint32).tobytes()
-                    rows.append((0, digest(b"".join(names)), doc, len(ids), b"".join(names) + sizes))
+                            rows.append((1, d, 0, b - a, code.compress(raw[4 * a : 4 * b] if encoder.wide else small[2 * a : 2 * b])))
+                        a, k = b, k + 1
+                    rows.append((0, digest(b"".join(names)), doc, end - start, b"".join(names) + array("I", sizes).tobytes()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], ["kind", "digest", "doc_id", "n", "body"]
                 )
@@ -127,7 +151,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> N
     once = rows.groupBy("kind", "digest", "doc_id").agg(F.first("n").alias("n"), F.first("body").alias("body"), F.count("*").alias("copies"))
     once.write.partitionBy("kind").option("compression", "none").parquet(f"{path}/blocks")
 
-    plain = spark.read.parquet(f"{path}/blocks").where("kind = 0")
+    plain = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where("kind = 0")
     k = F.expr(f"length(body) div {DIGEST + 4}")
     names = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.substr(F.col("body"), i * DIGEST + 1, F.lit(DIGEST)))
 
@@ -140,7 +164,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> N
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root", "copy").withColumn("part", F.spark_partition_id())
     ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
 
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
     by_row = _placed(recipes.select("part", "doc_id", "root", "copy", "n_tokens"))
     leaves = by_row.groupBy("part", ((F.col("row") - 1) / FAN).cast("long").alias("node"))
     nodes = leaves.agg(F.sort_array(F.collect_list(F.struct("row", "root"))).alias("x"), F.sum("n_tokens").alias("n_tokens"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("documents"))
@@ -162,13 +186,13 @@ def _placed(recipes: DataFrame) -> DataFrame:
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, root, chunks, sizes. The manifest has a row for each part, so offsets of parts are few."""
-    manifest = sorted(spark.read.parquet(f"{path}/manifest").select("part", "n_tokens").collect())
+    manifest = sorted(spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("part", "n_tokens").collect())
     starts, at = [], 0
     for part, n in manifest:
         starts.append((part, at))
         at += n
     offsets = F.broadcast(spark.createDataFrame(starts, "part int, offset long"))
-    placed = _placed(spark.read.parquet(f"{path}/recipes"))
+    placed = _placed(spark.read.schema(RECIPES).parquet(f"{path}/recipes"))
     return placed.join(offsets, "part").select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "root", "chunks", "sizes")
 
 
@@ -222,7 +246,7 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
                 crc.append(zlib.crc32(raw))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["digest", "n", "crc"])
 
-    return spark.read.parquet(f"{path}/blocks").where("kind = 1").select("digest", "n", "body").mapInArrow(run, "digest binary, n long, crc long")
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where("kind = 1").select("digest", "n", "body").mapInArrow(run, "digest binary, n long, crc long")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -260,7 +284,7 @@ def ids(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
 
     listed = recipes(spark, path).select("doc_id", "start", F.posexplode("chunks").alias("k", "digest"))
-    bodies = spark.read.parquet(f"{path}/blocks").where("kind = 1").select("digest", "n", "body")
+    bodies = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where("kind = 1").select("digest", "n", "body")
     whole = listed.join(bodies, "digest").groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("k", "n", "body"))).alias("cs"))
     return whole.mapInArrow(run, "doc_id long, start long, ids array<long>").withColumn("doc_id", unkeyed())
 
