@@ -140,16 +140,18 @@ def confirmed(pairs: DataFrame, held: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _counted(held: DataFrame, plan: Plan) -> DataFrame:
-    """h (a shingle), c (documents that have it)."""
+    """h (a shingle), c (documents that have it), doc_id (one of them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for part in parts(batch, 1, 1 << 20):
-                h, c = np.unique(np.concatenate(list(_sets(part, 1, plan, hashes))), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(c.astype(np.int64))], ["h", "c"])
+                sets = list(_sets(part, 1, plan, hashes))
+                owner = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
+                h, first, c = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(c.astype(np.int64)), pa.array(owner[first])], ["h", "c", "doc_id"])
 
-    return held.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return held.mapInArrow(run, "h long, c long, doc_id long").groupBy("h").agg(F.sum("c").alias("c"), F.min("doc_id").alias("doc_id"))
 
 
 def _prefixes(held: DataFrame, common, plan: Plan) -> DataFrame:
@@ -177,20 +179,26 @@ def _between(left: DataFrame, held: DataFrame, plan: Plan) -> DataFrame:
 
     Prefix filtering: under one order of all shingles, sets of the asked similarity share one of their first quarter. Where
     many documents have a shingle it comes late in the order, so a passage that many share makes no pairs by itself. Such
-    shingles are a table of bounded size: those in a thousandth of the documents at least. In each key the members of the
-    largest component are paired with the others only.
+    shingles are a table of bounded size: those in a thousandth of the documents at least. Shingles that one document alone
+    has can't be shared, so two sets must be similar enough without them. In each key the members of the largest component
+    are paired with the others only.
     """
     spark = left.sparkSession
     least = max(3, -(-left.count() // 1000))
-    hot = _counted(held, plan).where(F.col("c") >= least).toArrow()
+    counted = staged(_counted(held, plan), "shingles")
+    hot = counted.where(F.col("c") >= least).select("h", "c").toArrow()
     h, c = hot.column(0).to_numpy().view(U64), hot.column(1).to_numpy()
     order = np.argsort(h)
-    rows = staged(_prefixes(held, spark.sparkContext.broadcast((h[order], c[order])), plan).join(left, "doc_id"), "prefixes")
+    own = counted.where("c = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
+    shared = left.join(own, "doc_id", "left").select("doc_id", "c", F.coalesce("own", F.lit(0)).alias("own"))
+    rows = _prefixes(held, spark.sparkContext.broadcast((h[order], c[order])), plan).join(shared, "doc_id").withColumn("s", F.col("n") - F.col("own"))
+    rows = staged(rows.where(F.col("s") * 100 >= F.col("n") * plan.percent).select("key", "doc_id", "n", "s", "c"), "prefixes")
     split = rows.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
     rows = rows.join(split.select("key", F.col("m.c").alias("top")), "key")
-    x = rows.where("c <> top").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-    y = rows.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), "top")
-    near = x.join(y, "key").where("cx <> cy AND (x < y OR cy = top)").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * plan.percent)
+    x = rows.where("c <> top").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("s").alias("sx"))
+    y = rows.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("s").alias("sy"), "top")
+    enough = F.least("sx", "sy") * (100 + plan.percent) >= (F.col("nx") + F.col("ny")) * plan.percent
+    near = x.join(y, "key").where("cx <> cy AND (x < y OR cy = top)").where(enough)
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
