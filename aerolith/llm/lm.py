@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import fold, parts, staged, table, texts
-from aerolith.llm.hashing import U64, WordHashes, mix, signed
+from aerolith.llm.common import NO_ID, fold, parts, staged, table, texts
+from aerolith.llm.hashing import U64, WordHashes, signed
 
 #: Stands at the end of each text; no word has white space.
 END = b"\n"
@@ -25,16 +26,20 @@ BLOCK = 1 << 20
 class Plan:
     """Shares of all training tokens, so tables that are broadcast have at most one entry over the share, at any size.
 
-    listed: words whose counts every task has. paired: words that bigrams tell apart; all others are one class there,
-    within which a word has its share of the class' tokens. kept: bigrams that are kept; others count as not seen.
+    listed: words whose counts every task has. kept: bigrams of listed words whose counts every task has. Counts of all
+    other words and bigrams, down to one, are joined.
     """
 
     listed: float = 1e-6
-    paired: float = 1e-5
     kept: float = 1e-6
     rounds: int = 40
 
 
+class Tables(NamedTuple):
+    words: DataFrame  # code, c of the words that are not listed
+    pairs: DataFrame  # x, y, c, cx, cy of all bigrams
+
+
 @dataclass
 class Model:
     total: int
@@ -43,30 +48,24 @@ class Model:
     order: np.ndarray  # their ranks by count
     counts: np.ndarray  # by rank
     n_paired: int
-    pairs: np.ndarray  # kept bigrams: context << 20 | word, sorted
+    pairs: np.ndarray  # bigrams that every task has: context << 20 | word, sorted
     pair_counts: np.ndarray
-    contexts: np.ndarray  # tokens after each context
-    other: np.ndarray  # of these, tokens of the class of other words
+    contexts: np.ndarray  # tokens after each listed context
     weights: np.ndarray  # bucket x (bigram, unigram, uniform)
     listed: float  # a listed word's count, at least
 
-    @property
-    def class_total(self) -> int:
-        return self.total - int(self.counts[: self.n_paired].sum())
-
     @property
     def bucket(self) -> np.ndarray:
         return np.log2(np.maximum(self.contexts, 1)).astype(np.int64)
 
     def scales(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each context, p = a * count + u for a word of the class of other words."""
+        """For each listed context, p = a * count + u for a word that was not seen after it."""
         w = self.weights[self.bucket]
-        share = self.other / np.maximum(self.contexts, 1) / max(self.class_total, 1)
-        return w[:, 0] * share + w[:, 1] / max(self.total, 1), w[:, 2] / (self.distinct + 1)
+        return w[:, 1] / max(self.total, 1), w[:, 2] / (self.distinct + 1)
 
 
 class Ranks(dict):
-    """Rank of a word among the listed ones, by count; -1 for the rest."""
+    """Code of a word: its rank by count among the listed ones, for the rest its hash with the sign bit set."""
 
     def __init__(self, hashes: np.ndarray, order: np.ndarray):
         super().__init__()
@@ -75,11 +74,12 @@ class Ranks(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WordHashes.most:
             self.clear()
-        h = np.int64(np.uint64(xxhash.xxh3_64_intdigest(word)).astype(np.int64))
+        full = xxhash.xxh3_64_intdigest(word)
+        h = np.int64(np.uint64(full).astype(np.int64))
         at = int(np.searchsorted(self.hashes, h))
-        rank = int(self.order[at]) if at < len(self.hashes) and self.hashes[at] == h else -1
-        self[word] = rank
-        return rank
+        code = int(self.order[at]) if at < len(self.hashes) and self.hashes[at] == h else (full | 1 << 63) - (1 << 64)
+        self[word] = code
+        return code
 
 
 def _words(text: pa.Scalar) -> list[bytes]:
@@ -107,47 +107,55 @@ def unigrams(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _coded(batch: pa.RecordBatch, ranks: Ranks, n_paired: int):
-    """Blocks: slice, words, ends, ranks, contexts and words as bigrams know them."""
+def _coded(batch: pa.RecordBatch, ranks: Ranks):
+    """Blocks: slice, sizes, codes of contexts and words. A text's first word follows END, which so has as many successors as tokens."""
     for part in parts(batch, 1, BLOCK):
         lists = [_words(t) for t in part.column(1)]
         sizes = np.array([len(x) for x in lists])
-        words = [w for x in lists for w in x]
-        rank = np.fromiter(map(ranks.__getitem__, words), np.int64, len(words))
-        word = np.where((rank < 0) | (rank >= n_paired), n_paired, rank)
+        word = np.fromiter((ranks[w] for x in lists for w in x), np.int64, int(sizes.sum()))
         context = np.r_[0, word[:-1]]
-        context[np.cumsum(sizes) - sizes] = n_paired + 1  # the start of a text
-        yield part, words, sizes, rank, context, word
+        context[np.cumsum(sizes) - sizes] = ranks[END]
+        yield part, sizes, context, word
 
 
 def bigrams(docs: DataFrame, shared) -> DataFrame:
-    """pair (context << 20 | word), c."""
+    """x, y (codes of a context and the word after it), c: all of them."""
+    summed = lambda t: t.group_by(["x", "y"], use_threads=False).aggregate([("c", "sum")]).select(["x", "y", "c_sum"]).rename_columns(["x", "y", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        ranks, keys, counts = Ranks(model.hashes, model.order), [], []
+        ranks, held = Ranks(model.hashes, model.order), []
+        for batch in batches:
+            for _, _, context, word in _coded(batch, ranks):
+                held.append(pa.table({"x": context, "y": word, "c": np.ones(len(word), np.int64)}))
+                if sum(map(len, held)) > 2_000_000:
+                    held[:] = [summed(pa.concat_tables(held))]
+                    if len(held[0]) > 1_000_000:
+                        yield from held.pop().to_batches(1 << 19)
+        if held:
+            yield from summed(pa.concat_tables(held)).to_batches(1 << 19)
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            k, where = np.unique(np.concatenate(keys), return_inverse=True)
-            return k, np.bincount(where, np.concatenate(counts), len(k)).astype(np.int64)
+    return docs.mapInArrow(run, "x long, y long, c long").groupBy("x", "y").agg(F.sum("c").alias("c"))
 
-        for batch in batches:
-            for _, _, _, _, context, word in _coded(batch, ranks, model.n_paired):
-                k, c = np.unique(context << 20 | word, return_counts=True)
-                keys.append(k)
-                counts.append(c)
-                if sum(map(len, keys)) > 3_000_000:
-                    k, c = merged()
-                    if len(k) > 2_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["pair", "c"])
-                        k, c = k[:0], c[:0]
-                    keys[:], counts[:] = [k], [c]
-        if keys:
-            k, c = merged()
-            for a in range(0, len(k), 1 << 19):
-                yield pa.RecordBatch.from_arrays([pa.array(k[a : a + (1 << 19)]), pa.array(c[a : a + (1 << 19)])], ["pair", "c"])
-
-    return docs.mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+
+def _counted(rows: DataFrame, words: DataFrame, model: Model) -> DataFrame:
+    """rows (x, y and more) with the counts cx and cy of both words, 0 for a word that was not seen.
+
+    Listed words, of which there are 1 / plan.listed at most, are broadcast; the others, none of them hot, are joined.
+    Rows with a listed word are spread over that join by keys that no such word has.
+    """
+    spark = rows.sparkSession
+    listed = spark.createDataFrame(pa.table({"code": np.arange(len(model.counts)), "c": model.counts}), "code long, c long")
+    name = lambda t, s, c: t.select(F.col("code").alias(s), F.col("c").alias(c))
+    whole = rows.where("x >= 0 AND y >= 0")
+    some = rows.where("x < 0 OR y < 0")
+    for s in "xy":
+        whole = whole.join(F.broadcast(name(listed, s, f"c{s}")), s)
+        some = some.join(F.broadcast(name(listed, s, "__often")), s, "left")
+        some = some.withColumn("__key", F.when(F.col(s) < 0, F.col(s)).otherwise(F.xxhash64("x", "y").bitwiseAND((1 << 63) - 1)))
+        some = some.join(name(words, "__key", "__rare"), "__key", "left").withColumn(f"c{s}", F.coalesce("__often", "__rare", F.lit(0))).drop("__key", "__often", "__rare")
+    columns = [*rows.columns, "cx", "cy"]
+    return whole.select(*columns).unionAll(some.select(*columns))
 
 
 def _mixed(events: np.ndarray, rounds: int) -> np.ndarray:
@@ -165,120 +173,112 @@ def _mixed(events: np.ndarray, rounds: int) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, plan: Plan = Plan()) -> tuple[Model, DataFrame]:
-    """The model of docs (doc_id, text) and the table of all unigram counts.
+def fit(docs: DataFrame, plan: Plan = Plan()) -> tuple[Model, Tables]:
+    """The model of docs (doc_id, text) and the tables of counts that are not in it.
 
-    Held-out counts are the deleted kind: each token is predicted from the counts without itself. They are gathered in
-    cells (bucket of the context, estimates to a quarter of a power of two), which is all that reaches the driver
-    besides tables of bounded size.
+    Held-out counts are the deleted kind: each token is predicted from the counts without itself. They are gathered from
+    all bigrams in cells (bucket of the context, estimates to a quarter of a power of two), which is all that reaches the
+    driver besides tables of bounded size.
     """
     spark = docs.sparkSession
     words = staged(unigrams(docs), "unigrams")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    listed = words.where(F.col("c") >= max(1, plan.listed * (total or 0))).toArrow()  # at most 1 / plan.listed rows
+    least = max(1, plan.listed * total)
+    listed = words.where(F.col("c") >= least).toArrow()  # at most 1 / plan.listed rows
     h, c = listed.column(0).to_numpy(), listed.column(1).to_numpy()
     rank = np.lexsort((h, -c))
     order = np.argsort(h[rank])
-    n = int((c >= plan.paired * total).sum())
+    n = len(c)
     empty = np.zeros(0, np.int64)
-    model = Model(total, distinct, h[rank][order], order, c[rank], n, empty, empty, np.zeros(n + 2), np.zeros(n + 2), np.tile([0.0, 0.0, 1.0], (64, 1)), max(1, plan.listed * total))
-    if not total:
-        return model, words
+    model = Model(total, distinct, h[rank][order], order, c[rank], n, empty, empty, np.r_[c[rank], 0, 0].astype(float), np.tile([0.0, 0.0, 1.0], (64, 1)), least)
+    rare = words.where(F.col("c") < least).select(F.col("h").bitwiseOR(F.lit(NO_ID)).alias("code"), "c")
     pairs = staged(bigrams(docs, spark.sparkContext.broadcast(model)), "bigrams")
-    split = pairs.select(F.shiftright("pair", 20).cast("int").alias("x"), F.col("pair").bitwiseAND((1 << 20) - 1).cast("int").alias("y"), "c")
-    after = split.groupBy("x").agg(F.sum("c").alias("all"), F.sum(F.when(F.col("y") == n, F.col("c")).otherwise(0)).alias("other")).toArrow()  # at most n + 2 rows
-    x = after.column(0).to_numpy()
-    model.contexts[x], model.other[x] = after.column(1).to_numpy(), after.column(2).to_numpy()
-    least = max(1, plan.kept * total)
-    kept = pairs.where((F.col("c") >= least) & (F.col("pair").bitwiseAND((1 << 20) - 1) != n)).toArrow()  # at most 1 / plan.kept rows
+    pairs = staged(_counted(pairs, rare, model), "counted")
+    if not total:
+        return model, Tables(rare, pairs)
+    head = pairs.where((F.col("c") >= max(1, plan.kept * total)) & F.expr("x >= 0 AND y >= 0"))
+    kept = head.select(F.shiftleft("x", 20).bitwiseOR(F.col("y")), "c").toArrow()  # at most 1 / plan.kept rows
     k, kc = kept.column(0).to_numpy(), kept.column(1).to_numpy()
     by = np.argsort(k)
     model.pairs, model.pair_counts = k[by], kc[by]
 
-    known = spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.contexts)], "x int, cx double")
-    seen = spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.counts[:n])], "y int, cy double")
-    joined = split.where(F.col("y") < n).join(F.broadcast(known), "x").join(F.broadcast(seen), "y")
-    two = F.when((F.col("c") >= least) & (F.col("cx") > 1), (F.col("c") - 1) / (F.col("cx") - 1)).otherwise(F.lit(0.0))
+    two = F.when(F.col("cx") > 1, (F.col("c") - 1) / (F.col("cx") - 1)).otherwise(F.lit(0.0))
     one = (F.col("cy") - 1) / max(total - 1, 1)
     cell = lambda p: F.floor(4 * F.log2(F.greatest(p, F.lit(1e-30))))
-    cells = joined.select(F.floor(F.log2(F.greatest("cx", F.lit(1.0)))).alias("b"), F.col("c").cast("double").alias("c"), two.alias("two"), one.alias("one"))
+    cells = pairs.select(_bucket().alias("b"), F.col("c").cast("double").alias("c"), two.alias("two"), one.alias("one"))
     cells = cells.groupBy("b", cell(F.col("two")), cell(F.col("one"))).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("two")).alias("t"), F.sum(F.col("c") * F.col("one")).alias("o")).collect()
-    events = [(r.b, r.m, r.t / r.m, r.o / r.m, 1 / (distinct + 1)) for r in cells]
-    # words of the class: how their tokens spread over counts, and how many follow the contexts of a bucket
-    spread = words.where(F.col("c") < plan.paired * total).groupBy(F.floor(4 * F.log2("c"))).agg(F.sum("c").alias("m"), (F.sum(F.col("c") * (F.col("c") - 1)) / F.sum("c")).alias("c")).collect()
-    size = max(model.class_total, 1)
-    for b in np.unique(model.bucket[model.contexts > 0]):
-        mine = (model.bucket == b) & (model.contexts > 0)
-        share, mass = model.other[mine].sum() / model.contexts[mine].sum(), model.other[mine].sum()
-        events += [(b, mass * r.m / size, share * r.c / size, r.c / max(total - 1, 1), 1 / (distinct + 1)) for r in spread if mass]
-    model.weights = _mixed(np.array(events, float), plan.rounds)
-    return model, words
-
-
-def score(documents: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+    model.weights = _mixed(np.array([(r.b, r.m, r.t / r.m, r.o / r.m, 1 / (distinct + 1)) for r in cells], float), plan.rounds)
+    return model, Tables(rare, pairs)
+
+
+def _bucket():
+    return F.floor(F.log2(F.greatest(F.col("cx"), F.lit(1)).cast("double"))).cast("int")
+
+
+def score(documents: DataFrame, model: Model, tables: Tables) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score for each row of documents.
 
     A text's probability is the product over its tokens (lower-cased words, then one end) of
-    w2 * P(token | class before) + w1 * c / N + w0 / (V + 1), the weights by the bucket of the context's count. Tokens that
-    every task can look up are summed in place; the rest, each under plan.listed of all tokens and so never hot, are joined
-    with their counts. A null or empty text is its end alone. Repeated rows are scored alike, each on its own, also where
-    rows share a doc_id; other columns are not read.
+    w2 * c(context, token) / c(context) + w1 * c / N + w0 / (V + 1), the weights by the bucket of the context's count.
+    Tokens whose bigram every task can look up are summed in place; the rest are joined with all bigrams, and those that
+    were never seen with the counts of their words. A null or empty text is its end alone. Repeated rows are scored alike,
+    each on its own, also where rows share a doc_id; other columns are not read.
     """
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
     norm = model.total + model.distinct + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        ranks, hashes = Ranks(m.hashes, m.order), WordHashes()
+        ranks = Ranks(m.hashes, m.order)
         a, u = m.scales()
-        w, n = m.weights[m.bucket], m.n_paired
+        w = m.weights[m.bucket]
         row = TaskContext.get().partitionId() << 36
+        names = ["x", "y", "row", "n", "own"]
         for batch in batches:
-            for part, tokens, sizes, rank, context, word in _coded(batch, ranks, n):
-                here = rank >= 0
-                count = np.where(here, m.counts[np.maximum(rank, 0)] if len(m.counts) else 0, 0)
-                p = a[context] * count + u[context]
-                pair = context << 20 | word
+            for part, sizes, context, word in _coded(batch, ranks):
+                here = (context >= 0) & (word >= 0)
+                pair = np.where(here, context << 20 | word, -1)
                 at = np.minimum(np.searchsorted(m.pairs, pair), max(len(m.pairs) - 1, 0))
-                c2 = np.where(m.pairs[at] == pair, m.pair_counts[at], 0) if len(m.pairs) else np.zeros(len(pair))
-                direct = w[context, 0] * c2 / np.maximum(m.contexts[context], 1) + w[context, 1] * count / max(m.total, 1) + u[context]
-                p = np.where(here & (rank < n), direct, p)
-                starts = np.cumsum(sizes) - sizes
-                each = lambda x: np.add.reduceat(np.where(here, x, 0), starts)  # noqa: B023, E731
-                base, mine = each(np.log10((count + 1) / norm)), each(np.log10(np.maximum(p, 1e-300)))
-                known, ids = np.add.reduceat(here.astype(np.int64), starts), np.arange(len(sizes), dtype=np.int64) + row
-                rest = np.flatnonzero(~here)
-                owner = np.repeat(np.arange(len(sizes)), sizes)[rest]
-                h = signed(hashes.of([tokens[i] for i in rest]))
-                zero, docs = np.zeros(len(rest)), part.column(0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([docs, docs.take(pa.array(owner))]), pa.array(np.r_[ids, ids[owner]]), pa.array(np.r_[signed(mix(ids.view(U64))), h]),
-                        pa.array(np.r_[np.full(len(sizes), n), context[rest]].astype(np.int32)), pa.array(np.r_[zero[:0], np.zeros(len(sizes)), np.ones(len(rest))].astype(np.int32)),
-                        pa.array(np.r_[sizes, zero.astype(np.int64)]), pa.array(np.r_[known, zero.astype(np.int64)]), pa.array(np.r_[base, zero]), pa.array(np.r_[mine, zero]),
-                    ],
-                    ["doc_id", "row", "h", "context", "n", "n_tokens", "n_known", "base", "score"],
-                )
+                here = m.pairs[at] == pair if len(m.pairs) else np.zeros(len(pair), bool)
+                owner, ids = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(sizes), dtype=np.int64) + row
+                x, count, c2 = context[here], m.counts[word[here]], m.pair_counts[at[here]] if len(m.pairs) else at[here]
+                p = w[x, 0] * c2 / m.contexts[x] + a[x] * count + u[x]
+                each = lambda v: np.bincount(owner[here], v, len(sizes)).astype(float)  # noqa: B023, E731
+                base, mine, known = each(np.log10((count + 1) / norm)), each(np.log10(np.maximum(p, 1e-300))), np.bincount(owner[here], minlength=len(sizes))
+                fields = {"doc_id": part.column(0), "n_tokens": pa.array(sizes.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)), "base": pa.array(base), "score": pa.array(mine)}
+                own = pa.StructArray.from_arrays(list(fields.values()), list(fields))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), -1)), pa.array(ids), pa.array(np.zeros(len(ids), np.int64)), own], names)
+                rest = pa.table({"x": context[~here], "y": word[~here], "row": ids[owner[~here]]})
+                rest = rest.group_by(["x", "y", "row"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+                if len(rest):
+                    yield pa.RecordBatch.from_arrays([*(rest.column(k).chunk(0) for k in ("x", "y", "row", "count_all")), pa.nulls(len(rest), own.type)], names)
                 row += len(sizes)
 
-    out = texts(documents).mapInArrow(run, "doc_id long, row long, h long, context int, n int, n_tokens long, n_known long, base double, score double")
-    a, u = model.scales()
-    scales = F.broadcast(spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, u, strict=True))], "context int, a double, u double"))  # n + 2 rows
-    rare = words.where(F.col("c") < model.listed)
-    found = out.join(rare, "h", "left").join(scales, "context")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    sums = found.groupBy("row", "doc_id").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(F.col("n") > 0, F.log10((c + 1) / F.lit(float(norm)))).otherwise(0.0)).alias("base_score"),
-        F.sum(F.col("score") + F.when(F.col("n") > 0, F.log10(F.col("a") * c + F.col("u"))).otherwise(0.0)).alias("score"),
-    )
-    return sums.drop("row")
+    out = texts(documents).mapInArrow(run, "x long, y long, row long, n long, own struct<doc_id: long, n_tokens: long, n_known: long, base: double, score: double>")
+    w = [F.get(F.array(*(F.lit(float(v)) for v in model.weights[:, k])), _bucket()) for k in range(3)]
+    seen = lambda c: F.coalesce(F.col(c), F.lit(0))
+    p = w[0] * seen("c") / F.greatest(seen("cx"), F.lit(1)) + w[1] * seen("cy") / max(model.total, 1) + w[2] / (model.distinct + 1)
+    sums = lambda row: [
+        F.sum(row("n_known", F.when(F.col("cy") > 0, F.col("n")).otherwise(0))).alias("n_known"),
+        F.sum(row("base", F.col("n") * F.log10((F.col("cy") + 1) / F.lit(float(norm))))).alias("base"),
+        F.sum(row("score", F.col("n") * F.log10(F.greatest(p, F.lit(1e-300))))).alias("score"),
+    ]
+    found = out.join(tables.pairs.hint("shuffle_hash"), ["x", "y"], "left")
+    lost = F.col("own").isNull() & F.col("c").isNull()
+    found = found.withColumn("x", F.when(lost, F.col("x"))).withColumn("y", F.when(lost, F.col("y")))
+    own = lambda name, token: F.when(F.col("own").isNotNull(), F.col(f"own.{name}")).when(F.col("c").isNotNull(), token)
+    found = found.groupBy("row", "x", "y").agg(F.max("own.doc_id").alias("doc_id"), F.max("own.n_tokens").alias("n_tokens"), F.sum("n").alias("n"), *sums(own))
+    found = staged(found, "found")
+    new = _counted(found.where("x IS NOT NULL").select("row", "x", "y", "n"), tables.words, model).withColumn("c", F.lit(0).cast("long"))
+    new = new.groupBy("row").agg(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), *sums(lambda name, token: token))
+    both = found.where("x IS NULL").select("row", "doc_id", "n_tokens", "n_known", "base", "score").unionAll(new)
+    return both.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score")
+    ).drop("row")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, words = fit(texts(docs.where(fold("doc_id", 7) != 2)))
-    out = score(docs, model, words)
+    model, tables = fit(texts(docs.where(fold("doc_id", 7) != 2)))
+    out = score(docs, model, tables)
     return out.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

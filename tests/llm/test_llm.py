@@ -256,6 +256,30 @@ def test_language_model(spark, rows):
             assert p < 1 + 1e-9
 
 
+def test_language_model_has_all_bigrams(spark):
+    """Words and bigrams under any share that is broadcast count as they are, also with the tables in several places."""
+    rng = random.Random(12)
+    docs = [(k, " ".join(f"r{k}q{j % 3}" if j % 2 else f"a{rng.randrange(5)}" for j in range(40))) for k in range(60)]
+    new = [(100, "a0 a1 r3q1 nothing of this a2 r59q0"), (None, None), (100, "a0 never r5q2 a1")]
+    low = {i: [*split(t), "\n"] for i, t in docs}
+    one = Counter(w for x in low.values() for w in x)
+    two = Counter(p for x in low.values() for p in zip(["\n", *x], x, strict=False))
+    n, size = sum(one.values()), len(one)
+    for plan in (lm.Plan(), lm.Plan(listed=0.02, kept=0.03), lm.Plan(listed=1.0, kept=1.0)):
+        model, counts = lm.fit(table(spark, docs).select("doc_id", "text"), plan)
+
+        def want(t, w=model.weights):
+            x, out = [*split(t), "\n"], 0
+            for a, b in zip(["\n", *x], x, strict=False):
+                v = w[int(math.log2(max(one[a], 1)))]
+                out += math.log10(v[0] * two[a, b] / max(one[a], 1) + v[1] * one[b] / n + v[2] / (size + 1))
+            return len(x), sum(one[b] > 0 for b in x), pytest.approx(sum(math.log10((one[b] + 1) / (n + size + 1)) for b in x)), pytest.approx(out)
+
+        got = sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score(table(spark, docs + new), model, counts).collect())
+        assert got == [(i or 0, *v) for i, v in sorted(((i, want(t)) for i, t in docs + new), key=lambda r: (r[0] or 0, r[1][0]))]
+        assert model.weights[5:9, 0].max() > 0.01
+
+
 def test_store(spark, rows, tmp_path):
     from tokenizers import Tokenizer
 
