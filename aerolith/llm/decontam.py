@@ -1,14 +1,13 @@
-"""Benchmark decontamination: CGK embedding and repeated bit sampling propose windows, an exact edit distance decides.
+"""Benchmark decontamination: pieces that any copy keeps propose places, an exact edit distance decides.
 
-The CGK random walk copies a string symbol by symbol and at each step goes on to the next symbol or stays, as a shared
-random bit for (step, symbol) says. Strings a few edits apart soon walk in step again, so their edit distance shows as a
-small Hamming distance between walks, and samples of a walk's symbols can be looked up in hash tables.
+Every place that the pieces leave is aligned, so no copy within the allowed edits is lost, wherever in a text it starts and
+however long its item is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,26 +15,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.llm.common import keyed, parts, staged, table, unkeyed
-from aerolith.llm.hashing import STEP, U64, mix
+from aerolith.llm.hashing import STEP, U64
 
 
 @dataclass(frozen=True)
 class Plan:
     #: Edits that a copy may have, in per cent of the item's bytes.
     percent: int = 10
-    #: Share of copies with as many edits as allowed that the tables are to find.
-    recall: float = 0.97
-    #: Items of fewer bytes say too little and are left out.
+    #: Items of fewer bytes are matched exactly.
     least: int = 16
     #: Pieces that an item is cut into beyond its edits; so many pieces are whole in any copy.
     whole: int = 4
-    #: Symbols in a sample, samples drawn from one walk, and the most walks.
-    symbols: int = 5
-    draws: int = 24
-    walks: int = 24
     #: Bytes of items that are broadcast at once; more items take more passes over the documents.
     block: int = 4 << 20
-    seed: int = 5
+
+    def edits(self, item: bytes) -> int:
+        return len(item) * self.percent // 100 if len(item) >= self.least else 0
 
 
 def plain(text: str) -> bytes:
@@ -44,7 +39,7 @@ def plain(text: str) -> bytes:
 
 
 def grams(flat: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each q of sizes (8 at most), ascending: q, slots (20 bits) of the q bytes that start at each place."""
+    """For each q of sizes (8 at most), ascending: q, the q bytes that start at each place as a number."""
     runs = {1: flat.astype(U64)}
     for k in (1, 2, 4):
         x = runs[k]
@@ -56,7 +51,12 @@ def grams(flat: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]
                 x = runs[k][done:]
                 code = x if code is None else (code[: len(x)] << U64(8 * k)) | x[: len(code)]
                 done += k
-        yield q, (code * STEP >> U64(44)).astype(np.int64)
+        yield q, code
+
+
+def slots(codes: np.ndarray) -> np.ndarray:
+    """20 bits of each code."""
+    return (codes * STEP >> U64(44)).astype(np.int64)
 
 
 def distance(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
@@ -85,39 +85,6 @@ def distance(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
-@dataclass
-class Size:
-    """Items of similar length and their tables."""
-
-    low: int
-    items: list[tuple[int, bytes]]
-    steps: int = 0
-    walks: list[np.ndarray] = field(default_factory=list)  # bit for (step, symbol)
-    draws: list[np.ndarray] = field(default_factory=list)  # for each walk: draws x symbols, the steps looked at
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
-    owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-
-    def samples(self, flat: np.ndarray, at: np.ndarray, walk: int) -> np.ndarray:
-        """Keys (windows x draws) of the windows that start at at."""
-        bits, draws = self.walks[walk], self.draws[walk]
-        seen, where = np.unique(draws, return_inverse=True)
-        out, i, column = np.zeros((len(seen), len(at)), np.uint8), at.copy(), 0
-        for j in range(self.steps):
-            c = flat[i]
-            if column < len(seen) and seen[column] == j:
-                out[column] = c
-                column += 1
-            i += bits[j][c]
-        where = where.reshape(draws.shape)
-        keys = np.zeros((len(at), len(draws)), U64)
-        for d in range(len(draws)):
-            code = np.full(len(at), walk * len(draws) + d + 1, U64)
-            for k in range(draws.shape[1]):
-                code = (code << U64(8)) | out[where[d, k]].astype(U64)
-            keys[:, d] = mix(code)
-        return keys
-
-
 def _edited(item: bytes, edits: int, rng: np.random.Generator) -> bytes:
     s = bytearray(item)
     for _ in range(edits):
@@ -132,45 +99,6 @@ def _edited(item: bytes, edits: int, rng: np.random.Generator) -> bytes:
     return bytes(s)
 
 
-def _laid(strings: list[bytes], steps: int) -> tuple[np.ndarray, np.ndarray]:
-    gap = b"\0" * (steps + 2)
-    flat = np.frombuffer(b"".join(s + gap for s in strings), np.uint8)
-    at = np.cumsum([0, *(len(s) + len(gap) for s in strings[:-1])])
-    return flat, at
-
-
-def index(items: list[tuple[int, bytes]], plan: Plan) -> list[Size]:
-    """Sizes with tables whose recall on edited items of their own (as many edits as allowed) reaches the target."""
-    rng = np.random.default_rng(plan.seed)
-    groups: dict[int, list] = {}
-    for i, s in items:
-        if len(s) >= plan.least:
-            groups.setdefault(int(np.log(len(s) / plan.least) / np.log(1.4)), []).append((i, s))
-    out = []
-    for _, group in sorted(groups.items()):
-        low = min(len(s) for _, s in group)
-        edits = lambda s: len(s) * plan.percent // 100
-        size = Size(low, group)
-        size.steps = max(8, int(1.6 * low))
-        tried = [group[k] for k in rng.integers(0, len(group), 200)]
-        copies = [_edited(s, edits(s), rng) for _, s in tried]
-        flat, at = _laid([s for _, s in tried], size.steps)
-        flat2, at2 = _laid(copies, size.steps)
-        found = np.zeros(len(tried), bool)
-        while found.mean() < plan.recall and len(size.walks) < plan.walks:
-            size.walks.append(rng.integers(0, 2, (size.steps, 256)).astype(np.int64))
-            size.draws.append(np.sort(rng.integers(0, size.steps, (plan.draws, plan.symbols)), axis=1))
-            w = len(size.walks) - 1
-            found |= (size.samples(flat, at, w) == size.samples(flat2, at2, w)).any(1)
-        flat, at = _laid([s for _, s in group], size.steps)
-        keys = np.concatenate([size.samples(flat, at, w).T.ravel() for w in range(len(size.walks))])
-        owner = np.tile(np.arange(len(group)), len(keys) // len(group))
-        order = np.argsort(keys, kind="stable")
-        size.keys, size.owner = keys[order], owner[order]
-        out.append(size)
-    return out
-
-
 @dataclass
 class Pieces:
     """Pieces of q bytes of all items cut that fine. Edits spoil a piece each at most, so plan.whole stay whole in a copy."""
@@ -178,68 +106,54 @@ class Pieces:
     q: int
     slots: np.ndarray
     codes: np.ndarray
-    size: np.ndarray
     item: np.ndarray
     offset: np.ndarray
     edits: np.ndarray
+    whole: np.ndarray
 
-    def near(self, coded: np.ndarray, plan: Plan) -> np.ndarray:
-        """(size, item, low, high): ranges of starts where whole pieces of an item lie as a copy would have them.
+    def near(self, coded: np.ndarray) -> np.ndarray:
+        """(item, low, high): ranges of starts where whole pieces of an item lie as a copy would have them.
 
         Within a copy the starts that its pieces point to differ by as many bytes as it has edits, at most; of two grids
         of twice that width one has them all in a cell.
         """
-        at = np.flatnonzero(self.slots[coded])
+        at = np.flatnonzero(self.slots[slots(coded)])
         left, right = np.searchsorted(self.codes, coded[at]), np.searchsorted(self.codes, coded[at], "right")
         count = right - left
         pick = np.repeat(left, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        start = np.repeat(at, count) - self.offset[pick]
-        size, item, edits = self.size[pick], self.item[pick], self.edits[pick]
-        wide, out = 2 * edits + 2, []
-        for phase in (0, 1):
+        item, offset, edits, whole = self.item[pick], self.offset[pick], self.edits[pick], self.whole[pick]
+        start, wide, out = np.repeat(at, count) - offset, 2 * edits + 2, [np.zeros((0, 3), np.int64)]
+        for phase in (0, 1) if len(pick) else ():
             cell = (start + phase * (edits + 1)) // wide
-            order = np.lexsort((cell, item, size))
-            keys = np.stack([size, item, cell], 1)[order]
-            new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, np.int64)
-            full = new[np.diff(np.r_[new, len(keys)]) >= plan.whole]
-            low = keys[full, 2] * wide[order][full] - phase * (edits[order][full] + 1)
-            out.append(np.stack([keys[full, 0], keys[full, 1], low - edits[order][full] - 1, low + wide[order][full] + edits[order][full] + 1], 1))
+            order = np.lexsort((offset, cell, item))
+            keys = np.stack([item, cell, offset], 1)[order]
+            differs = keys[1:] != keys[:-1]
+            new = np.flatnonzero(np.r_[True, differs[:, :2].any(1)])
+            pieces = np.add.reduceat(np.r_[True, differs.any(1)].astype(np.int64), new)
+            full = new[pieces >= whole[order][new]]
+            low = keys[full, 1] * wide[order][full] - phase * (edits[order][full] + 1)
+            out.append(np.stack([keys[full, 0], low - edits[order][full] - 1, low + wide[order][full] + edits[order][full] + 1], 1))
         return np.concatenate(out)
 
 
-def pieces(sizes: list[Size], plan: Plan) -> list[Pieces]:
+def pieces(items: list[tuple[int, bytes]], plan: Plan) -> list[Pieces]:
     rows: dict[int, list[tuple]] = {}
-    for k, size in enumerate(sizes):
-        for i, (_, s) in enumerate(size.items):
-            edits = len(s) * plan.percent // 100
-            q = max(2, min(8, len(s) // (edits + plan.whole)))
-            for j in range(edits + plan.whole):
-                rows.setdefault(q, []).append((s[j * q : j * q + q], k, i, j * q, edits))
+    for i, (_, s) in enumerate(items):
+        edits, whole = plan.edits(s), plan.whole if len(s) >= plan.least else 1
+        q = min(8, len(s) // (edits + whole))
+        for j in range(edits + whole):
+            rows.setdefault(q, []).append((s[j * q : j * q + q], i, j * q, edits, whole))
     out = []
     for q, found in sorted(rows.items()):
         codes = next(grams(np.frombuffer(b"".join(x[0] for x in found), np.uint8), [q]))[1][::q]
         order = np.argsort(codes, kind="stable")
         columns = [np.array([x[k] for x in found], np.int64)[order] for k in range(1, 5)]
-        slots = np.zeros(1 << 20, bool)
-        slots[codes] = True
-        out.append(Pieces(q, slots, codes[order], *columns))
+        used = np.zeros(1 << 20, bool)
+        used[slots(codes)] = True
+        out.append(Pieces(q, used, codes[order], *columns))
     return out
 
 
-def _candidates(size: Size, flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(start of the window, number of the item), each once."""
-    found = [np.zeros((0, 2), np.int64)]
-    for w in range(len(size.walks) if len(starts) else 0):
-        keys = size.samples(flat, starts, w).ravel()
-        left = np.searchsorted(size.keys, keys)
-        hit = np.flatnonzero(size.keys[np.minimum(left, len(size.keys) - 1)] == keys)
-        count = np.searchsorted(size.keys, keys[hit], "right") - left[hit]
-        pick = np.repeat(left[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        found.append(np.stack([np.repeat(starts[hit // size.draws[w].shape[0]], count), size.owner[pick]], 1))
-    for at, item in np.unique(np.concatenate(found), axis=0):
-        yield int(at), int(item)
-
-
 def _blocks(benchmark: DataFrame, plan: Plan) -> Iterator:
     """Broadcast tables of the items, plan.block bytes at a time."""
     spark = benchmark.sparkSession
@@ -250,36 +164,38 @@ def _blocks(benchmark: DataFrame, plan: Plan) -> Iterator:
         listed = staged(listed, "items")
     for b in range(blocks):
         some = listed.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        sizes = index([(r.item_id, plain(r.text)) for r in sorted(some, key=lambda r: (r.text, r.item_id or 0))], plan)
-        yield spark.sparkContext.broadcast((sizes, pieces(sizes, plan)))
+        items = [(r.item_id, s) for r in sorted(some, key=lambda r: (r.text, r.item_id or 0)) if (s := plain(r.text))]
+        yield spark.sparkContext.broadcast((items, pieces(items, plan)))
 
 
-def _found(texts: list[str], sizes: list[Size], cut: list[Pieces], plan: Plan) -> list[tuple[int, int | None, int, int, int]]:
-    """(number of the text, item_id, edits, item bytes, start) of the copies in texts."""
-    pad = max(s.steps for s in sizes) + 2
+def _found(texts: list[str], items: list[tuple[int, bytes]], cut: list[Pieces], plan: Plan) -> list[tuple[int, int | None, int, int, int]]:
+    """(number of the text, item_id, edits, item bytes, start) of the copies in texts: the best in each stretch that may hold some."""
     strings = [plain(t) for t in texts]
-    flat = np.frombuffer(b"\0".join(strings) + b"\0" * pad, np.uint8)
+    flat = np.frombuffer(b"\0".join(strings) + b"\0" * 8, np.uint8)
     begin = np.cumsum([0, *(len(s) + 1 for s in strings[:-1])])
-    starts = np.r_[0, np.flatnonzero((flat[:-1] == 32) | (flat[:-1] == 0)) + 1]
     by_q = {c.q: c for c in cut}
-    ranges = np.concatenate([by_q[q].near(coded, plan) for q, coded in grams(flat, list(by_q))])
-    rows = []
-    for n, size in enumerate(sizes):
-        mine = ranges[ranges[:, 0] == n]
-        near = {(int(at), int(k)) for _, k, lo, hi in mine for at in starts[np.searchsorted(starts, lo) : np.searchsorted(starts, hi)] if at < len(flat) - pad}
-        some, done, tried = np.unique(np.array([at for at, _ in near], np.int64)), {}, {}
-        for at, k in _candidates(size, flat, some):
-            d = int(np.searchsorted(begin, at, "right")) - 1
-            item_id, item = size.items[k]
-            edits = len(item) * plan.percent // 100
-            if (at, k) not in near or at < done.get((d, k), -1) or at <= tried.get((d, k), -len(item)) + edits // 2:
-                continue  # no whole pieces, inside a copy that was found, or seen with the start before
-            tried[d, k] = at
-            local = at - int(begin[d])
-            a, b = max(0, local - 2 * edits - 8), local + len(item) + 2 * edits + 8
-            if best := distance(item, strings[d][a:b], edits):
+    ranges = np.concatenate([by_q[q].near(coded) for q, coded in grams(flat, list(by_q))])
+    ranges = ranges[np.lexsort((ranges[:, 1], ranges[:, 0]))].tolist()
+    rows, k = [], 0
+    while k < len(ranges):
+        n, low, high = ranges[k]
+        item_id, item = items[n]
+        edits = plan.edits(item)
+        k += 1
+        while k < len(ranges) and ranges[k][0] == n and ranges[k][1] <= high + len(item) + edits:  # looked at once where they overlap
+            high = max(high, ranges[k][2])
+            k += 1
+        end = high + len(item) + edits
+        for d in range(max(0, int(np.searchsorted(begin, low, "right")) - 1), int(np.searchsorted(begin, end, "right"))):
+            a = max(0, low - int(begin[d]))
+            part = strings[d][a : max(0, end - int(begin[d]))]
+            if not edits:
+                at = part.find(item)
+                best = (0, at + len(item)) if at >= 0 else None
+            else:
+                best = distance(item, part, edits) if len(part) >= len(item) - edits else None
+            if best:
                 rows.append((d, item_id, best[0], len(item), max(0, a + best[1] - len(item))))
-                done[d, k] = int(begin[d]) + a + best[1]
     return rows
 
 
@@ -288,8 +204,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) ->
 
     A pair matches if some stretch of the document is within plan.percent of the item's bytes in edits. Cutting an item
     into more pieces than it may have edits leaves some pieces whole in any copy, so places without them, in the right
-    order of distances, drop out at no loss. The windows that are left are embedded and looked up, and what is found is
-    aligned exactly. Items of fewer than plan.least bytes, null ones included, are left out. Null and empty texts match
+    order of distances, drop out at no loss. All that are left are aligned exactly, whatever stands before and after
+    them. Items of fewer than plan.least bytes have to be there as they are; null and empty ones are left out. Null and empty texts match
     nothing; repeated rows and rows that share a doc_id give one row for each pair; a null item_id or doc_id stays null.
     Other columns are not read. Items go to the tasks in blocks of plan.block bytes, documents pass once for each block,
     and nothing is shuffled but the matches.
@@ -298,10 +214,10 @@ def matches(documents: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) ->
     for shared in _blocks(benchmark, plan):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            sizes, cut = shared.value
+            items, cut = shared.value
             for batch in batches:
-                for part in parts(batch, 1, 1 << 20) if sizes else ():
-                    rows = _found(part.column(1).to_pylist(), sizes, cut, plan)
+                for part in parts(batch, 1, 1 << 20) if items else ():
+                    rows = _found(part.column(1).to_pylist(), items, cut, plan)
                     types = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
                     who = part.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                     yield pa.RecordBatch.from_arrays([who, *(pa.array([r[j + 1] for r in rows], t) for j, t in enumerate(types))], ["doc_id", "item_id", "edits", "item_bytes", "start"])
@@ -318,11 +234,11 @@ def clean(documents: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) -> Da
     for shared in _blocks(benchmark, plan):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            sizes, cut = shared.value
+            items, cut = shared.value
             for batch in batches:
-                for part in parts(batch, at, 1 << 20) if sizes else [batch]:
+                for part in parts(batch, at, 1 << 20) if items else [batch]:
                     texts = [t or "" for t in part.column(at).to_pylist()]
-                    bad = {r[0] for r in _found(texts, sizes, cut, plan)} if sizes else set()
+                    bad = {r[0] for r in _found(texts, items, cut, plan)} if items else set()
                     yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)

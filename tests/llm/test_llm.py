@@ -234,6 +234,26 @@ def test_decontamination_finds_edited_copies(spark, rows):
     assert decontam.matches(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_decontamination_loses_no_copy(spark):
+    """Copies with as many edits as allowed, also in the middle of a word; short items as they are."""
+    rng, r = np.random.default_rng(3), random.Random(3)
+    items = [(k, words(r, n, 100_000).replace("é", "")) for k, n in enumerate([3, 4, 6, 9, 14, 20, 30] * 3)] + [(50, "wq7 short"), (51, " \n ")]
+    docs, planted = [], set()
+    for k, (i, t) in enumerate(items[:-1]):
+        p = decontam.plain(t)
+        most = len(p) // 10 if len(p) >= 16 else 0
+        for j in range(6):
+            copy = decontam._edited(p, most if j % 2 else 0, rng).decode("utf-8", "replace")
+            before, after = [('{"question":"', '"}'), ("zz" * r.randint(20, 40), "zz"), (words(r, 20) + " ", " " + words(r, 20))][j // 2]
+            if decontam.distance(p, decontam.plain(before + copy + after), most):
+                planted.add((10 * k + j, i))
+            docs.append((10 * k + j, before + copy + after))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(planted) > 0.9 * len(docs)
+    assert {(x.doc_id, x.item_id) for x in decontam.matches(table(spark, docs), bench).collect()} == planted
+    assert {x.doc_id for x in decontam.clean(table(spark, docs), bench).collect()} == {d for d, _ in docs} - {d for d, _ in planted}
+
+
 def test_language_model(spark, rows):
     docs = table(spark, rows).where("doc_id IS NOT NULL")
     model, counts = lm.fit(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
