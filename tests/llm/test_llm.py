@@ -254,6 +254,18 @@ def test_decontamination_loses_no_copy(spark):
     assert {x.doc_id for x in decontam.clean(table(spark, docs), bench).collect()} == {d for d, _ in docs} - {d for d, _ in planted}
 
 
+def test_decontamination_of_long_items(spark):
+    """Passages of some thousand bytes with as many edits as allowed."""
+    rng, r = np.random.default_rng(7), random.Random(7)
+    items = [(k, words(r, n, 100_000).replace("é", "")) for k, n in enumerate([150, 300, 600, 900])]
+    docs = []
+    for k, t in items:
+        p = decontam.plain(t)
+        docs += [(10 * k + j, f"{words(r, 20)} {decontam._edited(p, len(p) // 10, rng).decode()} {words(r, 20)}") for j in range(10)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontam.matches(table(spark, docs), bench).collect()} == {(d, d // 10) for d, _ in docs}
+
+
 def test_language_model(spark, rows):
     docs = table(spark, rows).where("doc_id IS NOT NULL")
     model, counts = lm.fit(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
