@@ -26,6 +26,8 @@ from aerolith.llm.hashing import BASE, U64, WordHashes, mix, powers, signed
 BLOCK = 1 << 19
 #: Phrases of one trigger that are compared inside a task; more of them are compared window by window in a shuffle.
 GROUP = 2000
+#: What names a document: rows that share an id (null ones too) but not the text are documents of their own.
+KEY = ["doc_id", "__text"]
 
 
 class Prefix:
@@ -105,28 +107,28 @@ def triggers(u: np.ndarray, sizes: np.ndarray, cut: Cut) -> tuple[np.ndarray, ..
 
 
 def phrases(docs: DataFrame, cut: Cut) -> DataFrame:
-    """trigger, phrase, doc_id, at: a row for each phrase of each text. at: first start << 16 | trigger's place << 8 | starts - 1."""
+    """trigger, phrase, doc_id, __text, at: a row for each phrase of each text. at: first start << 16 | trigger's place << 8 | starts - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             for part in parts(batch, 1, BLOCK):
-                ids, units = part.column(0).to_numpy(), [cut.units(t.as_buffer().to_pybytes()) for t in part.column(1)]
+                ids, marks, units = part.column(0).to_numpy(), part.column(2).to_numpy(), [cut.units(t.as_buffer().to_pybytes()) for t in part.column(1)]
                 sizes = np.array([len(x) for x in units])
                 if sizes.max() > BLOCK:  # a very long text, in pieces that overlap by a window less one
-                    todo = [(ids, 0, [x]) for ids, x in zip(ids.reshape(-1, 1), units, strict=True)]
+                    todo = [(np.array([i]), 0, [x]) for i, x in enumerate(units)]
                     todo = [(i, a, [x[0][a : a + BLOCK + cut.window - 1]]) for i, _, x in todo for a in range(0, max(1, len(x[0]) - cut.window + 1), BLOCK)]
                 else:
-                    todo = [(ids, 0, units)]
+                    todo = [(np.arange(len(ids)), 0, units)]
                 for who, base, seqs in todo:
                     n = np.array([len(x) for x in seqs])
                     u = np.concatenate([cut.hashes(x, known) for x in seqs]) if cut.words else cut.hashes(b"".join(seqs), known)
                     text, start, starts, place, trigger, phrase = triggers(u, n, cut)
                     local = start - (np.cumsum(n) - n)[text] + base if len(text) else start
                     packed_at = (local << 16) | (place << 8) | (starts - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(trigger)), pa.array(signed(phrase)), pa.array(who[text]), pa.array(packed_at)], ["trigger", "phrase", "doc_id", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(trigger)), pa.array(signed(phrase)), pa.array(ids[who[text]]), pa.array(marks[who[text]]), pa.array(packed_at)], ["trigger", "phrase", *KEY, "at"])
 
-    return docs.mapInArrow(run, "trigger long, phrase long, doc_id long, at long")
+    return docs.select("doc_id", "text", "__text").mapInArrow(run, "trigger long, phrase long, doc_id long, __text long, at long")
 
 
 def _open(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
@@ -135,33 +137,33 @@ def _open(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
 
 
 def contexts(texts: DataFrame, chosen: DataFrame, cut: Cut) -> DataFrame:
-    """chosen (trigger, phrase, doc_id, at, size) with the units of each phrase, joined."""
-    wanted = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("trigger", "phrase", "at", "size")).alias("ps"))
+    """chosen (trigger, phrase, doc_id, at, size, __text) with the units of each phrase, joined."""
+    wanted = chosen.groupBy(*KEY).agg(F.collect_list(F.struct("trigger", "phrase", "at", "size")).alias("ps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, 1, BLOCK // 2):
-                cols: list[list] = [[], [], [], [], [], []]
-                for doc, text, ps in zip(part.column(0).to_pylist(), _open(part, 1), part.column(2).to_pylist(), strict=True):
+                cols: list[list] = [[], [], [], [], [], [], []]
+                for doc, text, ps, mark in zip(part.column(0).to_pylist(), _open(part, 1), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     units = cut.units(text)
                     for p in ps:
                         lo, n = p["at"] >> 16, (p["at"] & 255) + 1
                         if lo + n - 1 + cut.window <= len(units):
-                            for c, v in zip(cols, (p["trigger"], p["phrase"], doc, p["at"], p["size"], cut.joined(units[lo : lo + n - 1 + cut.window])), strict=True):
+                            for c, v in zip(cols, (p["trigger"], p["phrase"], doc, p["at"], p["size"], cut.joined(units[lo : lo + n - 1 + cut.window]), mark), strict=True):
                                 c.append(v)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], ["trigger", "phrase", "doc_id", "at", "size", "units"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary()), pa.array(cols[6], pa.int64())], ["trigger", "phrase", "doc_id", "at", "size", "units", "__text"])
 
-    return texts.join(wanted, "doc_id").select("doc_id", "z", "ps").mapInArrow(run, "trigger long, phrase long, doc_id long, at long, size long, units binary")
+    return texts.join(wanted, KEY).select("doc_id", "z", "ps", "__text").mapInArrow(run, "trigger long, phrase long, doc_id long, at long, size long, units binary, __text long")
 
 
 def _inside(cut: Cut, later: bool):
-    """Sorted phrases to the starts (doc_id, lo, n) of windows that other phrases have too; later: that an earlier one has."""
+    """Sorted phrases to the starts (doc_id, __text, lo, n) of windows that other phrases have too; later: that an earlier one has."""
 
     def settle(rows: pa.Table, known: WordHashes) -> pa.RecordBatch:
-        trigger, phrase, doc, at = (rows.column(k).to_numpy() for k in range(4))
+        trigger, phrase, doc, at, mark = (rows.column(k).to_numpy() for k in (0, 1, 2, 3, 6))
         again = np.r_[False, (np.diff(trigger) == 0) & (np.diff(phrase) == 0)]  # a document that was read twice
         pick = np.flatnonzero(~again)
-        pick = pick[np.lexsort((at[pick], doc[pick]))]
+        pick = pick[np.lexsort((at[pick], mark[pick], doc[pick]))]
         units = rows.column(5).take(pa.array(pick)).to_pylist()
         starts = (at[pick] & 255) + 1
         keys = cut.keys([cut.units(x) for x in units], starts.tolist(), known)
@@ -171,9 +173,10 @@ def _inside(cut: Cut, later: bool):
         pos = (at[pick] >> 16)[row] + np.arange(len(keys)) - (np.cumsum(starts) - starts)[row]
         hit = np.flatnonzero(hit)
         if not len(hit):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["doc_id", "lo", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, [*KEY, "lo", "n"])
         new = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)])
-        return pa.RecordBatch.from_arrays([pa.array(doc[pick][row[hit[new]]]), pa.array(pos[hit[new]]), pa.array(np.diff(np.r_[new, len(hit)]))], ["doc_id", "lo", "n"])
+        which = pick[row[hit[new]]]
+        return pa.RecordBatch.from_arrays([pa.array(doc[which]), pa.array(mark[which]), pa.array(pos[hit[new]]), pa.array(np.diff(np.r_[new, len(hit)]))], [*KEY, "lo", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held = WordHashes(), None
@@ -207,15 +210,15 @@ def _windows(cut: Cut):
                 pos = (at >> 16)[row] + np.arange(len(keys)) - (np.cumsum(starts) - starts)[row]
                 width = keys.dtype.itemsize
                 raw = keys.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([raw[i * width : i * width + width] for i in range(len(keys))], pa.binary()), pa.array(part.column(2).to_numpy()[row]), pa.array(pos)], ["key", "doc_id", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array([raw[i * width : i * width + width] for i in range(len(keys))], pa.binary()), pa.array(part.column(2).to_numpy()[row]), pa.array(part.column(6).to_numpy()[row]), pa.array(pos)], ["key", *KEY, "lo"])
 
     return run
 
 
 def repeated(docs: DataFrame, cut: Cut, later: bool) -> DataFrame:
-    """doc_id, spans (array of structs lo, n: runs of window starts) of the windows that start elsewhere too; later: that start earlier.
+    """doc_id, __text, spans (array of structs lo, n: runs of window starts) of the windows that start elsewhere too; later: that start earlier.
 
-    docs: keyed(). The parse (one row a phrase occurrence) is reduced to triggers that occur twice; its distinct phrases
+    docs: doc_id, text and __text, each document once. The parse (one row a phrase occurrence) is reduced to triggers that occur twice; its distinct phrases
     are the dictionary, each with its first occurrence. All occurrences of a phrase share its fate, so only the
     dictionary's phrases are looked into, and only where phrases differ though they share a trigger. Counts are combined
     before each shuffle, joins may be split where a key is hot, and triggers with over GROUP phrases are compared by a
@@ -224,28 +227,28 @@ def repeated(docs: DataFrame, cut: Cut, later: bool) -> DataFrame:
     parse = phrases(docs, cut)
     twice = parse.groupBy("trigger").agg(F.count("*").alias("c")).where("c > 1").select("trigger")
     parse = staged(parse.join(twice, "trigger"), "parse")
-    place = F.struct("doc_id", "at")
+    place = F.struct(*KEY, "at")
     words = staged(parse.groupBy("trigger", "phrase").agg(F.min(place).alias("first"), F.max(place).alias("last")), "dictionary")
     whole = parse.join(words.where("first <> last"), ["trigger", "phrase"])
     if later:
-        whole = whole.where(F.struct("doc_id", "at") != F.col("first"))
-    whole = whole.select("doc_id", F.shiftright("at", 16).alias("lo"), (F.col("at").bitwiseAND(255) + 1).alias("n"))
+        whole = whole.where(place != F.col("first"))
+    whole = whole.select(*KEY, F.shiftright("at", 16).alias("lo"), (F.col("at").bitwiseAND(255) + 1).alias("n"))
 
     sizes = words.groupBy("trigger").agg(F.count("*").alias("size")).where("size > 1")
-    mixed = words.join(sizes, "trigger").select("trigger", "phrase", "first.doc_id", "first.at", "size")
-    inner = staged(contexts(packed(docs), mixed, cut), "contexts")
+    mixed = words.join(sizes, "trigger").select("trigger", "phrase", "first.doc_id", "first.__text", "first.at", "size")
+    inner = staged(contexts(packed(docs, "__text"), mixed, cut), "contexts")
     few = inner.where(F.col("size") <= GROUP).repartition("trigger").sortWithinPartitions("trigger", "phrase")
-    within = few.mapInArrow(_inside(cut, later), "doc_id long, lo long, n long")
-    many = inner.where(F.col("size") > GROUP).dropDuplicates(["trigger", "phrase"]).select("trigger", "phrase", "doc_id", "at", "size", "units")
-    windows = many.mapInArrow(_windows(cut), "key binary, doc_id long, lo long")
-    spot = F.struct("doc_id", "lo")
+    within = few.mapInArrow(_inside(cut, later), "doc_id long, __text long, lo long, n long")
+    many = inner.where(F.col("size") > GROUP).dropDuplicates(["trigger", "phrase"]).select("trigger", "phrase", "doc_id", "at", "size", "units", "__text")
+    windows = many.mapInArrow(_windows(cut), "key binary, doc_id long, __text long, lo long")
+    spot = F.struct(*KEY, "lo")
     known = windows.groupBy("key").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last")
     apart = windows.join(known, "key")
     if later:
         apart = apart.where(spot != F.col("first"))
-    apart = apart.select("doc_id", "lo", F.lit(1).cast("long").alias("n"))
+    apart = apart.select(*KEY, "lo", F.lit(1).cast("long").alias("n"))
     spans = whole.unionAll(within).unionAll(apart)
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    return spans.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
 
 
 def covered(spans, window: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,10 +266,18 @@ def covered(spans, window: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[np.r_[np.flatnonzero(new)[1:] - 1, len(hi) - 1]]
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """Each document once: equal rows that share an id are one. Texts are shuffled for it only if there are such rows."""
+    if docs.groupBy(*KEY).count().where("count > 1").isEmpty():
+        return docs
+    return staged(docs.select("doc_id", "text", "__text").dropDuplicates(KEY), "once")
+
+
 def stripped(docs: DataFrame, cut: Cut, later: bool, row, schema: str, *more: str) -> DataFrame:
     """row(units, run starts, run ends) as the columns of schema after doc_id, for each row of docs; then other columns if named."""
-    spans = repeated(docs, cut, later)
-    texts = packed(docs, *more).join(spans, "doc_id", "left").select("doc_id", "z", "spans", *more)
+    docs = docs.withColumn("__text", F.xxhash64("text"))
+    spans = repeated(_once(docs), cut, later)
+    texts = packed(docs, "__text", *more).join(spans, KEY, "left").select("doc_id", "z", "spans", *more)
     own = _parse_datatype_string(schema)
     whole = T.StructType([texts.schema[0], *own, *texts.schema[3:]])
     types = [f.type for f in to_arrow_schema(own)]

@@ -29,7 +29,8 @@ def dedup(documents: DataFrame, length: int = 35) -> DataFrame:
     are kept and merged, so a removed run is the union of maximal repeats of at least length words.
 
     Every copy of a repeat goes, the first too. A null or empty text has no words. Repeated rows are one document read
-    twice: they are treated alike and do not repeat each other; a null doc_id is a document of its own. Other columns
+    twice: they are treated alike and do not repeat each other; rows that share a
+    doc_id, or have none, but not the text are documents of their own. Other columns
     are not read.
     """
 

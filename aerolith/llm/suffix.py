@@ -30,8 +30,8 @@ def dedup(documents: DataFrame, length: int = 100, more: tuple[str, ...] = ()) -
     dictionary suffixes in its class. Copies of a phrase are settled in the parse and never sorted.
 
     Cutting UTF-8 between bytes may leave parts of characters; they are left out of text. A null or empty text stays
-    empty; a null doc_id comes before all others. Rows that repeat a doc_id count as one document: repeated rows are
-    treated alike and neither is earlier than the other. Other columns are carried if named in more, else not read.
+    empty; a null doc_id comes before all others. Repeated rows count as one document: they are treated alike and
+    neither is earlier than the other. Rows that share a doc_id but not the text are documents in order of a hash of it. Other columns are carried if named in more, else not read.
     """
 
     def row(units, lo, hi):

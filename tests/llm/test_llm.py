@@ -199,6 +199,31 @@ def test_substring_dedup_against_brute_force(spark, rows, group, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_words(rows)
 
 
+@pytest.mark.parametrize("group", [2000, 1])
+def test_repeats_of_rows_that_share_an_id(spark, group, monkeypatch):
+    """Texts that share an id, or have none, are documents of their own; equal rows are one."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    rng = random.Random(15)
+    same, other, own = (words(rng, n, 100_000) for n in (60, 50, 45))
+    more = [words(rng, 80, 100_000) for _ in range(5)]
+    docs = [(None, f"{same} {more[0]}"), (None, f"{same} {more[1]}"), (7, f"{own} {own} {more[2]}"), (7, words(rng, 200, 100_000)), (8, f"{more[3]} {other}"), (9, f"x {other}"), (8, words(rng, 150, 100_000)), (8, f"{more[3]} {other}"), (None, more[4]), (None, more[4])]
+    texts = {(i, t): k for k, (i, t) in enumerate(docs)}
+    want = brute_words([(k, t) for (_, t), k in texts.items()])
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.digests(table(spark, docs)).collect()]
+    assert sorted(map(str, got)) == sorted(str((i, *want[texts[i, t]])) for i, t in docs)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.digests(table(spark, docs)).collect()]
+    orders = []
+    for flip in (1, -1):
+        for turn in (1, -1):
+            for last in (1, -1):
+                by = {None: flip, 7: turn, 8: last}
+                ordered = sorted(texts, key=lambda d: (d[0] is not None, d[0] or 0, texts[d] * by.get(d[0], 1)))  # noqa: B023
+                place = {d: k for k, d in enumerate(ordered)}
+                want = brute_bytes([(place[d], d[1]) for d in ordered])
+                orders.append(sorted(str((i, *want[place[i, t]])) for i, t in docs))
+    assert sorted(map(str, got)) in orders
+
+
 def test_distance_against_brute_force():
     rng = random.Random(3)
     for _ in range(200):
