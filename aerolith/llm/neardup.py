@@ -254,11 +254,23 @@ def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     return out.select(unkeyed(), F.col("n").alias("n_shingles"), unkeyed("top").alias("component_id"), (F.col("doc_id") == F.col("top")).alias("kept"))
 
 
+def _named(documents: DataFrame) -> DataFrame:
+    """documents with __node: a number for each distinct pair of doc_id and text, in order of doc_id, null first."""
+    rows = staged(documents.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), "rows")
+    nodes = rows.select("__id", "__hash").distinct().orderBy("__id", "__hash").withColumn("__node", F.monotonically_increasing_id())
+    return staged(rows.join(staged(nodes, "nodes"), ["__id", "__hash"]).drop("__id", "__hash"), "named")
+
+
 def one_of_each(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """The rows of documents that near_duplicates() keeps, one for each doc_id, with all their columns."""
-    kept = near_duplicates(documents, plan).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__kept"))
-    rows = documents.withColumn("__kept", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return rows.join(kept, "__kept", "left_semi").dropDuplicates(["__kept"]).drop("__kept")
+    """One row of each group of near-duplicates, the one of the smallest doc_id, with all its columns; of equal rows one.
+
+    Rows that share a doc_id, or have none, are documents of their own if their texts differ.
+    """
+    rows = documents.withColumn("__node", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    if not rows.groupBy("__node").count().where("count > 1").isEmpty():
+        rows = _named(documents)
+    kept = near_duplicates(rows.select(F.col("__node").alias("doc_id"), "text"), plan).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__node"))
+    return rows.join(kept, "__node", "left_semi").dropDuplicates(["__node"]).select(*documents.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

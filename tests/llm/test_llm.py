@@ -131,6 +131,16 @@ def test_near_duplicates_against_brute_force(spark, rows):
     assert sorted(str(r.doc_id) for r in one.collect()) == sorted({str(r.doc_id) for r in got if r.kept}) and one.columns == table(spark, rows).columns
 
 
+def test_one_of_each_keeps_texts_that_share_an_id(spark):
+    """Only equal or linked rows go, whatever ids say."""
+    rng = random.Random(21)
+    a, b, c, d, e = (words(rng, 80, 100_000) for _ in range(5))
+    docs = [(None, a), (None, b), (None, b), (4, c), (4, d), (4, d), (5, f"{c} more"), (6, e), (7, f"{b} more")]
+    got = neardup.one_of_each(table(spark, docs))
+    assert got.columns == table(spark, docs).columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(0, a), (0, b), (4, c), (4, d), (6, e)])
+
+
 def test_near_copies_of_one_original_meet_there(spark):
     """Copies differ from each other by more than the limit, but not from the original."""
     rng = random.Random(8)
