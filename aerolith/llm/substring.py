@@ -1,4 +1,4 @@
-"""Substring dedup by seed and extend."""
+"""Substring dedup by comparison of winnowed phrases."""
 
 from __future__ import annotations
 
@@ -24,9 +24,9 @@ def dedup(documents: DataFrame, length: int = 35) -> DataFrame:
     """doc_id, text (the words that are left, joined by a space), n_words, n_removed.
 
     Seeds are winnowed anchors: of each window of length words the smallest hash of a gram of eight words. Documents are
-    joined on seeds that occur twice. A seed's match is extended to both sides as far as windows can hold the seed;
-    stretches that agree whole are settled by one hash, others window by window. Windows that some other place has too
-    are kept and merged, so a removed run is the union of maximal repeats of at least length words.
+    joined on seeds that occur twice. Neighbouring windows of one seed are a phrase; phrases that agree whole are settled
+    by one hash, others window by window, without extension. Windows that some other place has too are kept and merged,
+    so a removed run is the union of maximal repeats of at least length words.
 
     Every copy of a repeat goes, the first too. A null or empty text has no words. Repeated rows are one document read
     twice: they are treated alike and do not repeat each other; rows that share a

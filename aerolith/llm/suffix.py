@@ -1,4 +1,4 @@
-"""Suffix-array dedup by prefix-free parsing."""
+"""Dedup of repeated bytes by comparison of winnowed phrases."""
 
 from __future__ import annotations
 
@@ -23,11 +23,9 @@ def _cut(length: int) -> Cut:
 def dedup(documents: DataFrame, length: int = 100, more: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text without each byte covered by a string of length bytes that also starts earlier, n_bytes, n_removed, more.
 
-    Prefix-free parsing: rolling-hash triggers cut each text into phrases that overlap by length - 1 bytes. No phrase is
-    a proper prefix of what another needs at depth length, so the order of the corpus' suffixes at that depth follows
-    from two sorts: the dictionary's suffixes (distinct phrases, sorted by their bytes), and the parse (for each phrase
-    its occurrences in order of doc_id and start). An equal string's first occurrence is the smallest over the
-    dictionary suffixes in its class. Copies of a phrase are settled in the parse and never sorted.
+    Rolling-hash triggers cut each text into phrases that overlap by length - 1 bytes, so each window lies whole in one
+    phrase and equal windows share its trigger. Copies of a phrase are settled by their first occurrence; phrases that
+    differ though they share a trigger are compared window by window. No suffix array is built.
 
     Cutting UTF-8 between bytes may leave parts of characters; they are left out of text. A null or empty text stays
     empty; a null doc_id comes before all others. Repeated rows count as one document: they are treated alike and
