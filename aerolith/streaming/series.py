@@ -24,4 +24,5 @@ def counters(df: DataFrame, time: str, reason: str, late: str = "1 day") -> Data
 
 def rolling(df: DataFrame, late: str = "1 day") -> DataFrame:
     """Mean of the last seven days by station, each day."""
-    return df.withWatermark("ts", late).groupBy("station", F.window("ts", "7 days", "1 day").end.alias("until")).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
+    days = df.withWatermark("ts", late).groupBy("station", F.window("ts", "7 days", "1 day")).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
+    return days.select("station", F.col("window.end").alias("until"), "value", "n")

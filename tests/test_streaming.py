@@ -31,3 +31,9 @@ def test_counters(spark, sf):
 def test_once(spark, sf):
     n = src.series(spark, sf).select("event_id").distinct().count()
     assert run(spark, sf, lambda df: jobs.once(df, ["event_id"], "ts"), "once").count() == n
+
+
+def test_rolling_matches_the_batch_form(spark, sf):
+    batch = {(r.station, r.until): (r.n, round(r.value, 9)) for r in jobs.rolling(src.series(spark, sf)).collect()}
+    stream = {(r.station, r.until): (r.n, round(r.value, 9)) for r in run(spark, sf, jobs.rolling, "rolling").collect()}
+    assert stream and all(batch[k] == v for k, v in stream.items())
