@@ -39,6 +39,14 @@ def unkeyed(name: str = "doc_id") -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, also where body uses it inside other lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import NO_ID, keyed, packed, parts, staged, table, unkeyed
+from aerolith.llm.common import NO_ID, free, packed, parts, staged, table, unkeyed
 from aerolith.llm.components import components
 from aerolith.llm.hashing import STEP, U64, WordHashes, mix, powers, signed
 
@@ -29,6 +29,8 @@ class Plan:
     bits: int = 1024
     #: How far below the expectation, in deviations, a sketch may lie before its pair is dropped.
     slack: float = 5.0
+    #: Rounds of further stars before the rest is compared by differences.
+    rounds: int = 2
 
     @property
     def samples(self) -> int:
@@ -139,138 +141,175 @@ def confirmed(pairs: DataFrame, held: DataFrame, plan: Plan) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _counted(held: DataFrame, plan: Plan) -> DataFrame:
-    """h (a shingle), c (documents that have it), doc_id (one of them)."""
+def _related(pairs: DataFrame, held: DataFrame, plan: Plan) -> DataFrame:
+    """How documents differ from a hub. pairs: a (hub), b (document), cb (its component), ca (the hub's).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for part in parts(batch, 1, 1 << 20):
-                sets = list(_sets(part, 1, plan, hashes))
-                owner = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
-                h, first, c = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(c.astype(np.int64)), pa.array(owner[first])], ["h", "c", "doc_id"])
-
-    return held.mapInArrow(run, "h long, c long, doc_id long").groupBy("h").agg(F.sum("c").alias("c"), F.min("doc_id").alias("doc_id"))
-
-
-def _prefixes(held: DataFrame, common, plan: Plan) -> DataFrame:
-    """key, doc_id, n: the first shingles of each set, rare ones before common ones, as many as similar sets must share one of."""
+    A row without key for each pair: n shingles, i of them shared with the hub. Besides rows for the first shingles, in
+    order of their hashes, that the hub lacks: key, and left, how many such shingles there are from it on. Another
+    document similar enough can share no more than i shingles of the hub, so it shares one of these or needs none.
+    """
+    side = lambda x: held.select(F.col("doc_id").alias(x), F.col("z").alias(f"z_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "z_a", "z_b", "ca", "cb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (hot, often) = WordHashes(), common.value
+        hashes, last, known = WordHashes(), None, np.zeros(0, U64)
         for batch in batches:
-            for part in parts(batch, 1, 1 << 20):
-                keys, ids, sizes = [np.zeros(0, U64)], [], []
-                for doc, s in zip(part.column(0).to_pylist(), _sets(part, 1, plan, hashes), strict=True):
-                    at = np.minimum(np.searchsorted(hot, s), max(len(hot) - 1, 0))
-                    count = np.where(hot[at] == s, often[at], 0) if len(hot) else np.zeros(len(s))
-                    first = np.lexsort((s, count))[: len(s) + 1 + (-plan.percent * len(s)) // 100]
-                    keys.append(s[first])
-                    ids += [doc] * len(first)
-                    sizes += [len(s)] * len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["key", "doc_id", "n"])
-
-    return held.mapInArrow(run, "key long, doc_id long, n long")
-
-
-def _between(left: DataFrame, held: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (a, b) of documents of left (doc_id, c) in different components c that may be linked: all that are, and few others.
-
-    Prefix filtering: under one order of all shingles, sets of the asked similarity share one of their first quarter. Where
-    many documents have a shingle it comes late in the order, so a passage that many share makes no pairs by itself. Such
-    shingles are a table of bounded size: those in a thousandth of the documents at least. Shingles that one document alone
-    has can't be shared, so two sets must be similar enough without them. In each key the members of the largest component
-    are paired with the others only.
+            for part in parts(batch, 3, 1 << 18):
+                who, keys, left, n, i = [], [], [], [], []
+                for k, (a, other) in enumerate(zip(part.column(0).to_pylist(), _sets(part, 3, plan, hashes), strict=True)):
+                    if a != last:
+                        last, known = a, next(_sets(part.slice(k, 1), 2, plan, hashes))
+                    own = np.setdiff1d(other, known, assume_unique=True)
+                    same = len(other) - len(own)
+                    first = len(own) + 1 - max(1, -(-plan.percent * len(other) // 100) - same)
+                    keys += [None, *signed(own[: max(first, 0)]).tolist()]
+                    left += [0, *range(len(own), len(own) - max(first, 0), -1)]
+                    for column, value in ((who, k), (n, len(other)), (i, same)):
+                        column += [value] * (len(keys) - len(column))
+                rows = part.select([0, 1, 4, 5]).take(pa.array(who, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(x, pa.int64()) for x in (n, i, keys, left))], ["hub", "x", "ca", "c", "n", "i", "key", "left"])
+
+    return both.mapInArrow(run, "hub long, x long, ca long, c long, n long, i long, key long, left long")
+
+
+def _between(pairs: DataFrame, held: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b) of documents of different components under one hub that may be linked: all that are, and few others.
+
+    With p per cent as the limit, x and y need ceil(p * (nx + ny) / (100 + p)) shingles in common. At most min(ix, iy) of
+    these are the hub's. If that is not enough they share some that the hub lacks, and so one of the first of them
+    (prefix filtering on differences); what a passage or an original gives to a whole group the hub has too, so it is no
+    key. If it may be enough, one of the two is shorter than the hub or closer to it, which few are.
     """
-    spark = left.sparkSession
-    least = max(3, -(-left.count() // 1000))
-    counted = staged(_counted(held, plan), "shingles")
-    hot = counted.where(F.col("c") >= least).select("h", "c").toArrow()
-    h, c = hot.column(0).to_numpy().view(U64), hot.column(1).to_numpy()
-    order = np.argsort(h)
-    own = counted.where("c = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
-    shared = left.join(own, "doc_id", "left").select("doc_id", "c", F.coalesce("own", F.lit(0)).alias("own"))
-    rows = _prefixes(held, spark.sparkContext.broadcast((h[order], c[order])), plan).join(shared, "doc_id").withColumn("s", F.col("n") - F.col("own"))
-    rows = staged(rows.where(F.col("s") * 100 >= F.col("n") * plan.percent).select("key", "doc_id", "n", "s", "c"), "prefixes")
-    split = rows.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    rows = rows.join(split.select("key", F.col("m.c").alias("top")), "key")
-    x = rows.where("c <> top").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("s").alias("sx"))
-    y = rows.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("s").alias("sy"), "top")
-    enough = F.least("sx", "sy") * (100 + plan.percent) >= (F.col("nx") + F.col("ny")) * plan.percent
-    near = x.join(y, "key").where("cx <> cy AND (x < y OR cy = top)").where(enough)
-    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept, for each row of documents.
-
-    1. Documents of equal sets form a class; its smallest doc_id stands for it.
-    2. In each band's bucket every class is paired with its hub (a star, not all pairs): the class that shares most
-       buckets with most others, so that copies of one original meet at the original. Sketches thin the pairs out, full
-       sets confirm them, and the links give components.
-    3. Documents of buckets that still hold several components are joined again across components, exactly, by prefix
-       filtering. So a link is never lost because a hub stood between its ends, and neither a bucket of copies nor a
-       passage that many documents share is expanded into all pairs.
-
-    A null or empty text has no shingles and no links; a null doc_id is a document whose id is below all others and
-    whose component_id is null. Repeated rows give repeated results; rows that share a doc_id but not the text count
-    as one node of the graph. Other columns are not read.
-    """
-    docs = keyed(documents)
+    rows = staged(_related(pairs, held, plan), "differences")
+    p, q = plan.percent, 100 + plan.percent
+    need = F.ceil(p * (F.col("nx") + F.col("ny")) / q)
+    common = F.least("ix", "iy")
+    side = lambda t, s, *more: t.select("hub", *more, *(F.col(c).alias(c + s if c != "x" else s) for c in ("x", "n", "i", "c", "left")))
+
+    mixed = rows.where("key IS NOT NULL").groupBy("hub", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("hub", "key")
+    keyed_rows = staged(rows.join(mixed, ["hub", "key"]), "keys")
+    x, y = side(keyed_rows, "x", "key"), side(keyed_rows, "y", "key")
+    some = x.join(y, ["hub", "key"]).where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (need > common) & (F.least("leftx", "lefty") >= need - common))
+
+    plain = rows.where("key IS NULL").withColumn("most", q * F.col("i") - p * F.col("n"))  # p times the length of what it may be linked with
+    reach = staged(plain.groupBy("hub").agg(F.max(F.when(F.col("c") != F.col("ca"), F.col("most"))).alias("far"), F.min("n").alias("short")), "reach")
+    plain = plain.join(reach, "hub")
+    x, y = side(plain.where((F.col("c") != F.col("ca")) & (F.col("most") >= p * F.col("short"))), "x"), side(plain.where(p * F.col("n") <= F.col("far")), "y")
+    rest = x.join(y, "hub").where((F.col("cx") != F.col("cy")) & (need <= common))
+    return some.select("x", "y").unionAll(rest.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _grouped(docs: DataFrame, plan: Plan) -> DataFrame:
+    """doc_id, n and top (the smallest doc_id reachable over links) for docs (doc_id, text), whose ids are all different."""
     sets = staged(signatures(docs, plan), "signatures")
     name = ["set_a", "set_b", "n"]
     classes = sets.where("n > 0").groupBy(*name).agg(F.min("doc_id").alias("rep"))
     member = staged(sets.select("doc_id", *name).join(classes, name, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    reps = member.where("n > 0 AND doc_id = rep").select("doc_id").distinct()
-    stand = staged(sets.join(reps, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "representatives")
+    reps = member.where("n > 0 AND doc_id = rep").select("doc_id")
+    stand = staged(sets.join(reps, "doc_id", "left_semi").select("doc_id", "bands", "sketch"), "representatives")
     rows = stand.select("doc_id", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     sized = staged(rows.join(buckets, "key"), "buckets")
     known = sized.groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    weighed = sized.join(known, "doc_id")
-    hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", F.bitwise_not("doc_id").alias("hub"))).alias("m")).select("key", F.bitwise_not(F.col("m.hub")).alias("hub"))
-    shared = staged(sized.join(hubs, "key"), "hubs")
+    weighed = staged(sized.join(known, "doc_id").select("key", "doc_id", "size", "weight"), "weighed")
+    first = lambda t: t.groupBy("key").agg(F.max(F.struct("weight", F.bitwise_not("doc_id").alias("hub"))).alias("m")).select("key", F.bitwise_not(F.col("m.hub")).alias("hub"))
     sketch = lambda x: stand.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
 
-    stars = shared.where("doc_id <> hub").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-    near = stars.join(sketch("b"), "b").join(sketch("a"), "a").where(_close("sketch_a", "sketch_b", plan)).select("a", "b")
-    near = staged(near, "pairs")
-    named = near.select(F.col("a").alias("doc_id")).unionAll(near.select("b")).distinct()
-    links = staged(confirmed(near, _held(docs, named), plan), "links")
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    label = lambda x, as_: found.select(F.col("u").alias(x), F.col("component").alias(as_))
-    big = shared.where("size > 2").join(label("doc_id", "c"), "doc_id", "left").select("key", "doc_id", F.coalesce("c", "doc_id").alias("c"))
-    mixed = big.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    left = staged(big.join(mixed, "key", "left_semi").select("doc_id", "c").distinct(), "left")
-    if not left.isEmpty():
-        held = _held(docs, left.select("doc_id"))
-        more = _between(left, held, plan).join(sketch("b"), "b").join(sketch("a"), "a").where(_close("sketch_a", "sketch_b", plan)).select("a", "b")
-        late = staged(confirmed(staged(more, "pairs"), held, plan), "links")
-        if not late.isEmpty():
-            found = components(links.unionAll(late).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    out = member.join(found.withColumnRenamed("u", "rep"), "rep", "left").withColumn("top", F.coalesce("component", "rep"))
-    return out.select(unkeyed(), F.col("n").alias("n_shingles"), unkeyed("top").alias("component_id"), (F.col("doc_id") == F.col("top")).alias("kept"))
+    def close(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(sketch("b"), "b").join(sketch("a"), "a").where(_close("sketch_a", "sketch_b", plan))
+        return staged(near.select("a", "b"), "pairs")
+
+    def held(pairs: DataFrame) -> DataFrame:
+        return _held(docs, pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct())
+
+    def joined(links: DataFrame) -> DataFrame:
+        return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    shared = staged(weighed.join(first(weighed), "key"), "hubs")
+    stars = close(shared.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+    links = staged(confirmed(stars, held(stars), plan), "links")
+    found = joined(links)
+    gained = True
+    for k in range(plan.rounds + 1):
+        label = lambda x, as_: found.select(F.col("u").alias(x), F.col("component").alias(as_))  # noqa: B023, E731
+        big = shared.where("size > 2").join(label("doc_id", "c"), "doc_id", "left").join(label("hub", "ca"), "hub", "left")
+        big = big.select("key", "doc_id", "weight", "hub", F.coalesce("c", "doc_id").alias("c"), F.coalesce("ca", "hub").alias("ca"))
+        mixed = big.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+        left = staged(big.join(mixed, "key", "left_semi"), "left")
+        if left.isEmpty():
+            break
+        if final := k == plan.rounds or not gained:
+            pairs = left.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "ca", F.col("c").alias("cb")).distinct()
+            pairs = _between(pairs, held(pairs), plan)
+        else:  # another star in each bucket, around a document that its hub did not draw in
+            second = first(left.where("c <> ca")).join(left.select("key", F.col("doc_id").alias("hub"), F.col("c").alias("ch")), ["key", "hub"])
+            pairs = left.select("key", "doc_id", "c").join(second, "key").where("c <> ch").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+        pairs = close(pairs)
+        late = staged(confirmed(pairs, held(pairs), plan), "links")
+        if gained := not late.isEmpty():
+            links = links.unionAll(late)
+            found = joined(links)
+        if final:
+            break
+    return member.join(found.withColumnRenamed("u", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("top"))
+
+
+def _numbered(documents: DataFrame, node: str, text: str) -> tuple[DataFrame, bool]:
+    """documents with node, a number for each distinct pair of doc_id and text in order of doc_id (null first), and text without nulls.
+
+    The number is the doc_id itself where no two rows share one; also returned: whether some do.
+    """
+    rows = documents.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn(node, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    if rows.groupBy(node).count().where("count > 1").isEmpty():
+        return rows, False
+    digest = free(rows, "digest")
+    rows = staged(rows.withColumn(digest, F.xxhash64(text)), "rows")
+    nodes = rows.select(F.col(node).alias("id"), F.col(digest).alias("digest")).distinct().orderBy("id", "digest").withColumn("number", F.monotonically_increasing_id())
+    nodes = staged(nodes, "nodes").select(F.col("id").alias(node), F.col("digest").alias(digest), F.col("number").alias(number := free(rows, "number")))
+    return staged(rows.join(nodes, [node, digest]).drop(node, digest).withColumnRenamed(number, node), "named"), True
+
 
+def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept, for each row of documents.
 
-def _named(documents: DataFrame) -> DataFrame:
-    """documents with __node: a number for each distinct pair of doc_id and text, in order of doc_id, null first."""
-    rows = staged(documents.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), "rows")
-    nodes = rows.select("__id", "__hash").distinct().orderBy("__id", "__hash").withColumn("__node", F.monotonically_increasing_id())
-    return staged(rows.join(staged(nodes, "nodes"), ["__id", "__hash"]).drop("__id", "__hash"), "named")
+    1. Documents of equal sets form a class; its smallest doc_id stands for it.
+    2. In each band's bucket every class is paired with its hub (a star, not all pairs): the class that shares most
+       buckets with most others, so that copies of one original meet at the original. Sketches thin the pairs out, full
+       sets confirm them, and the links give components. Buckets that still hold several components get further stars,
+       around what the hub did not draw in, for plan.rounds rounds.
+    3. Documents of buckets that hold several components even then are compared across components by how they differ
+       from their hub (see _between). So no link between documents of one bucket is lost because a hub stood between
+       its ends, and neither a bucket of copies nor a passage that many documents share is expanded into all pairs.
+
+    A null or empty text has no shingles and no links; a null doc_id is a document whose id is below all others and
+    whose component_id is null. Repeated rows give repeated results. Rows that share a doc_id, or have none, but not the
+    text are documents of their own; kept says whether doc_id = component_id. Very long texts are whole sets in one
+    task. Other columns are not read, whatever their names.
+    """
+    rows, repeated = _numbered(documents.select("doc_id", "text"), "node", "whole")
+    docs = rows.select(F.col("node").alias("doc_id"), F.col("whole").alias("text"))
+    out = _grouped(docs.dropDuplicates(["doc_id"]) if repeated else docs, plan)
+    if repeated:
+        ids = rows.groupBy("node").agg(F.first(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).alias("id"), F.count("*").alias("rows"))
+        ids = staged(ids, "ids")
+        out = out.join(ids.select(F.col("node").alias("doc_id"), "id", "rows"), "doc_id").join(ids.select(F.col("node").alias("top"), F.col("id").alias("top_id")), "top")
+        out = out.select(F.col("id").alias("doc_id"), "n", F.col("top_id").alias("top"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return out.select(unkeyed(), F.col("n").alias("n_shingles"), unkeyed("top").alias("component_id"), (F.col("doc_id") == F.col("top")).alias("kept"))
 
 
 def one_of_each(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """One row of each group of near-duplicates, the one of the smallest doc_id, with all its columns; of equal rows one.
 
-    Rows that share a doc_id, or have none, are documents of their own if their texts differ.
+    Rows that share a doc_id, or have none, are documents of their own if their texts differ; among rows of a group that
+    share the smallest doc_id the one with the smallest hash of its text stays. Empty texts are in no group and stay.
     """
-    rows = documents.withColumn("__node", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    if not rows.groupBy("__node").count().where("count > 1").isEmpty():
-        rows = _named(documents)
-    kept = near_duplicates(rows.select(F.col("__node").alias("doc_id"), "text"), plan).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__node"))
-    return rows.join(kept, "__node", "left_semi").dropDuplicates(["__node"]).select(*documents.columns)
+    node, text = free(documents, "node"), free(documents, "whole")
+    rows, repeated = _numbered(documents, node, text)
+    docs = rows.select(F.col(node).alias("doc_id"), F.col(text).alias("text"))
+    found = _grouped(docs.dropDuplicates(["doc_id"]) if repeated else docs, plan)
+    kept = found.where("doc_id = top").select(F.col("doc_id").alias(node))
+    rows = rows.join(kept, node, "left_semi")
+    return (rows.dropDuplicates([node]) if repeated else rows).select(*documents.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

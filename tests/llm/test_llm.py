@@ -155,6 +155,34 @@ def test_near_copies_of_one_original_meet_there(spark):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(table(spark, out)).collect()} == {i: c for i, (_, c) in brute_near(out).items()}
 
 
+def test_near_duplicates_below_the_limit(spark):
+    """Groups whose copies lie on both sides of the limit from their original; texts cut at several lengths; variants that share edits."""
+    rng = random.Random(31)
+    out = []
+    for g in range(3):
+        w = [f"g{g}t{k}" for k in range(150)]
+        for k in range(40):
+            v = list(w)
+            for at in rng.sample(range(150), rng.randint(2, 9)):
+                v[at] = f"e{rng.randrange(3)}" if g == 1 else f"e{g}_{k}_{at}"
+            out.append((1000 * g + k + 1, " ".join(v)))
+        out.append((1000 * g + 500, " ".join(w)))
+    long = [f"c{k}" for k in range(400)]
+    out += [(5000 + n, " ".join(long[:n])) for n in range(60, 400, 11)]
+    out += [(6000 + n, " ".join(long[n:])) for n in range(0, 340, 17)]
+    want = {i: c for i, (_, c) in brute_near(out).items()}
+    for plan in (neardup.Plan(), neardup.Plan(rounds=0)):
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(table(spark, out), plan).collect()} == want
+
+
+def test_near_duplicates_of_texts_that_share_an_id(spark):
+    rng = random.Random(33)
+    a, b, c = (words(rng, 60, 100_000) for _ in range(3))
+    docs = [(3, a), (3, b), (3, b), (1, f"{b} more"), (None, c), (None, f"{c} x"), (9, f"{a} y")]
+    got = sorted(((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.near_duplicates(table(spark, docs)).collect()), key=str)
+    assert got == sorted([(3, 3, True), (3, 1, False), (3, 1, False), (1, 1, True), (0, 0, True), (0, 0, True), (9, 3, False)], key=str)
+
+
 def test_no_texts_at_all(spark):
     empty = table(spark, [])
     assert neardup.near_duplicates(empty).count() == suffix.digests(empty).count() == substring.digests(empty).count() == 0
