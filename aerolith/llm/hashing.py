@@ -14,7 +14,7 @@ BASE = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
 class WordHashes(dict):
     """Hash of a word (bytes); forgets what it knows when it has grown too large."""
 
-    most = 500_000
+    most = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

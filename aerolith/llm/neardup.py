@@ -30,7 +30,7 @@ class Plan:
     #: How far below the expectation, in deviations, a sketch may lie before its pair is dropped.
     slack: float = 5.0
     #: Rounds of further stars before the rest is compared by differences.
-    rounds: int = 2
+    rounds: int = 1
 
     @property
     def samples(self) -> int:
