@@ -329,50 +329,58 @@ def test_decontamination_of_long_items(spark):
     assert {(x.doc_id, x.item_id) for x in decontam.matches(table(spark, docs), bench).collect()} == {(d, d // 10) for d, _ in docs}
 
 
-def test_language_model(spark, rows):
-    docs = table(spark, rows).where("doc_id IS NOT NULL")
-    model, counts = lm.fit(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    got = {r.doc_id: r for r in lm.score(docs, model, counts).collect()}
-    low = {i: [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in split(t)] + ["\n"] for i, t in rows if i is not None}
-    c = Counter(w for i, t in rows if i is not None for w in low[i])
-    n = sum(c.values())
-    for i, w in low.items():
-        base = sum(math.log10((c[x] + 1) / (n + len(c) + 1)) for x in w)
-        assert got[i].n_tokens == len(w) and got[i].n_known == len(w) and got[i].base_score == pytest.approx(base)
-    assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
-    # what follows a context adds up to one at most
-    a, u = model.scales()
-    w = model.weights[model.bucket]
-    other = sorted(c.values(), reverse=True)[model.n_paired :]
-    for x in range(model.n_paired + 2):
-        if model.contexts[x]:
-            mine = (model.pairs >> 20) == x
-            p = w[x, 0] * model.pair_counts[mine].sum() / model.contexts[x] + w[x, 1] * model.counts[: model.n_paired].sum() / model.total + u[x] * model.n_paired + sum(a[x] * k + u[x] for k in other)
-            assert p < 1 + 1e-9
-
-
-def test_language_model_has_all_bigrams(spark):
-    """Words and bigrams under any share that is broadcast count as they are, also with the tables in several places."""
-    rng = random.Random(12)
-    docs = [(k, " ".join(f"r{k}q{j % 3}" if j % 2 else f"a{rng.randrange(5)}" for j in range(40))) for k in range(60)]
-    new = [(100, "a0 a1 r3q1 nothing of this a2 r59q0"), (None, None), (100, "a0 never r5q2 a1")]
-    low = {i: [*split(t), "\n"] for i, t in docs}
-    one = Counter(w for x in low.values() for w in x)
-    two = Counter(p for x in low.values() for p in zip(["\n", *x], x, strict=False))
+def lower(text):
+    return [*split("".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")), "\n"]
+
+
+def brute_model(docs, trained, plan, held):
+    """Tokens, known tokens, base and score of each of docs (id, text) by the model of those that trained(id) names; the weights too."""
+    low = [(i, lower(t)) for i, t in docs]
+    grams = lambda w: list(zip(["\n", *w], w, strict=False))
+    one, two, one_held, two_held = Counter(), Counter(), Counter(), Counter()
+    for k, (i, w) in enumerate(low):
+        if trained(i):
+            one.update(w)
+            two.update(grams(w))
+            if k in held:
+                one_held.update(w)
+                two_held.update(grams(w))
     n, size = sum(one.values()), len(one)
-    for plan in (lm.Plan(), lm.Plan(listed=0.02, kept=0.03), lm.Plan(listed=1.0, kept=1.0)):
-        model, counts = lm.fit(table(spark, docs).select("doc_id", "text"), plan)
-
-        def want(t, w=model.weights):
-            x, out = [*split(t), "\n"], 0
-            for a, b in zip(["\n", *x], x, strict=False):
-                v = w[int(math.log2(max(one[a], 1)))]
-                out += math.log10(v[0] * two[a, b] / max(one[a], 1) + v[1] * one[b] / n + v[2] / (size + 1))
-            return len(x), sum(one[b] > 0 for b in x), pytest.approx(sum(math.log10((one[b] + 1) / (n + size + 1)) for b in x)), pytest.approx(out)
-
-        got = sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score(table(spark, docs + new), model, counts).collect())
-        assert got == [(i or 0, *v) for i, v in sorted(((i, want(t)) for i, t in docs + new), key=lambda r: (r[0] or 0, r[1][0]))]
-        assert model.weights[5:9, 0].max() > 0.01
+    kept = n - sum(one_held.values())
+    events = Counter()
+    for (a, b), c in two_held.items():
+        cx = one[a] - one_held[a]
+        events[int(math.log2(max(cx, 1))), (two[a, b] - c) / max(cx, 1), (one[b] - one_held[b]) / max(kept, 1)] += c
+    rows = np.array([(b, c, x, y, 1 / (size + 1)) for (b, x, y), c in events.items()]).reshape(-1, 5)
+    w = lm._mixed(rows, plan.rounds)
+    out = []
+    for i, x in low:
+        base = sum(math.log10((one[b] + 1) / (n + size + 1)) for b in x)
+        score = 0.0
+        for a, b in grams(x):
+            v = w[int(math.log2(max(one[a], 1)))]
+            score += math.log10(v[0] * two[a, b] / max(one[a], 1) + v[1] * one[b] / max(n, 1) + v[2] / (size + 1))
+        out.append((i or 0, len(x), sum(one[b] > 0 for b in x), base, score))
+    return sorted(out), w, n
+
+
+@pytest.mark.parametrize("plan", [lm.Plan(), lm.Plan(listed=40, head=8, entries=500), lm.Plan(listed=0, head=4), lm.Plan(listed=300, head=500, held=3)])
+def test_language_model_against_brute_force(spark, rows, plan, tmp_path):
+    """Every word and bigram counts as it is, whatever is numbered, in the matrix, or counted in one place."""
+    rng = random.Random(12)
+    docs = [*rows, *((1000 + k, " ".join(f"r{k}q{j % 3}" if j % 2 else f"a{rng.randrange(5)}" for j in range(40))) for k in range(60)), (5000, "never seen here a1 a2"), (5000, "a0 a1"), (None, "a1 a1 a1")]
+    table(spark, docs).withColumn("k", F.monotonically_increasing_id()).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    trained = lambda i: i is not None and i != 5000 and i % 7 != 2
+    keys = [(r.doc_id, r.text, r.k, r.h) for r in t.select("doc_id", "text", "k", (F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(plan.held)) == 0).alias("h")).collect()]
+    want, w, n = brute_model([(i, x) for i, x, _, _ in keys], trained, plan, {k for k, (i, _, _, h) in enumerate(keys) if h})
+    out, model = lm.scored(t, (F.col("doc_id") != 5000) & (F.col("doc_id") % 7 != 2), plan)
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score) for r in out.collect())
+    assert model.total == n and 0 < model.held < n
+    assert np.allclose(model.weights, w, atol=0.01)  # events in cells of a quarter of a power of two
+    assert [g[:3] for g in got] == [x[:3] for x in want]
+    assert np.allclose([g[3] for g in got], [x[3] for x in want]) and np.allclose([g[4] for g in got], [x[4] for x in want], rtol=0.01)
+    assert sum(g[4] for g in got) > sum(g[3] for g in got)
 
 
 def test_store(spark, rows, tmp_path):
@@ -425,8 +433,8 @@ def test_empty_tables(spark, tmp_path):
     empty, some = table(spark, []), table(spark, [(1, "a b c"), (2, None)])
     net = toxicity.fit(toxicity.sample(empty, spark.createDataFrame([], "doc_id long, toxic int")))
     assert toxicity.score(some, net).count() == 2 and toxicity.score(empty, net).count() == 0
-    model, counts = lm.fit(empty.select("doc_id", "text"))
-    assert {(r.n_known, r.score <= 0) for r in lm.score(some, model, counts).collect()} == {(0, True)}
+    assert {(r.n_known, r.score) for r in lm.scored(some, F.lit(False))[0].collect()} == {(0, 0.0)}
+    assert lm.scored(empty, F.lit(True))[0].count() == 0
     store.write(empty, str(tmp_path / "s"), public.path("word_bpe_49k.json"))
     assert store.read(spark, str(tmp_path / "s")).count() == 0
     assert bpe.digests(empty, public.path("byte_bpe_50k.tiktoken"), public.PATTERN).count() == 0
