@@ -102,6 +102,19 @@ def parts(batch, column: int, limit: int):
         at += n
 
 
+def least_count(words: DataFrame, most: int) -> int:
+    """The smallest c of words for which at most so many rows have as much or more, to a sixteenth of a power of two."""
+    cell = F.floor(16 * F.log2(F.col("c").cast("double")))
+    cells = sorted(((r.low, r.n) for r in words.groupBy(cell).agg(F.min("c").alias("low"), F.count("*").alias("n")).collect()), reverse=True)
+    least, n = (cells[0][0] + 1 if cells else 1), 0
+    for low, more in cells:
+        n += more
+        if n > most:
+            break
+        least = low
+    return least
+
+
 def packed(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and z: the text as zstd bytes, for shuffles that carry whole texts; other columns only if named."""
     import pyarrow as pa

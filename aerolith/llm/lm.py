@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import fold, parts, staged, table, texts
+from aerolith.llm.common import fold, least_count, parts, staged, table, texts
 from aerolith.llm.hashing import STEP, U64, WordHashes, signed
 
 #: Stands at the end of each text; no word has white space.
@@ -350,19 +350,6 @@ def _mixed(events: np.ndarray, rounds: int) -> np.ndarray:
     return out
 
 
-def _listed(words: DataFrame, most: int) -> int:
-    """The least count that at most so many words have."""
-    cell = F.floor(16 * F.log2(F.col("c").cast("double")))
-    cells = sorted(((r.low, r.n) for r in words.groupBy(cell).agg(F.min("c").alias("low"), F.count("*").alias("n")).collect()), reverse=True)
-    least, n = (cells[0][0] + 1 if cells else 1), 0
-    for low, more in cells:
-        n += more
-        if n > most:
-            break
-        least = low
-    return least
-
-
 def scored(documents: DataFrame, trained: Column, plan: Plan = Plan()) -> tuple[DataFrame, Model]:
     """doc_id, n_tokens, n_known, base_score, score for each row of documents, and the model of the rows where trained holds.
 
@@ -382,7 +369,7 @@ def scored(documents: DataFrame, trained: Column, plan: Plan = Plan()) -> tuple[
     docs = docs.select("text", "part", "doc_id")
     words = staged(unigrams(docs), "unigrams")
     total, held, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("held"), F.lit(0)), F.count("*")).first()
-    least = _listed(words, plan.listed)
+    least = least_count(words, plan.listed)
     listed = words.where(F.col("c") >= least).toArrow()  # at most plan.listed rows
     h, c, f = (listed.column(k).to_numpy() for k in range(3))
     rank = np.lexsort((h, -c))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import of_duck, of_spark
 from pyspark.sql import functions as F
@@ -89,14 +90,18 @@ def test_bpe_against_the_library(spark, rows):
     with open(path, "rb") as f:
         ranks = bpe.load_ranks(f)
     whole = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = bpe.encode(table(spark, rows), path, public.PATTERN)
-    by = {r.doc_id: np.frombuffer(r.ids, np.uint32).tolist() for r in got.collect()}
-    assert all(by[i] == whole.encode_ordinary(t or "") for i, t in rows)
+    rows = [*rows, (300, "  two  spaces\n next \t x \u3000 y \x1c z "), (301, " a"), (302, "a "), (303, "a  "), (304, "\n"), (305, "x" * 5000 + " y" * 300)]
+    for at_spaces in (False, True):
+        got = bpe.encode(table(spark, rows), path, public.PATTERN, at_spaces)
+        by = {r.doc_id: np.frombuffer(r.ids, np.uint32).tolist() for r in got.collect()}
+        assert all(by[i] == whole.encode_ordinary(t or "") for i, t in rows)
     assert {(r.doc_id, r.text) for r in bpe.decode(got, path).collect()} == {(i, t or "") for i, t in rows}
     rng = random.Random(2)
     texts = ["".join(rng.choice("aab  theéñ\n\t'sre1.ü😀") for _ in range(rng.randrange(60))) for _ in range(2000)]
-    coded = bpe.Encoder(ranks, public.PATTERN).encode(texts)
-    assert all(np.frombuffer(c, np.uint32).tolist() == whole.encode_ordinary(t) for c, t in zip(coded, texts, strict=True))
+    encoder = bpe.Encoder(ranks, public.PATTERN, True)
+    ids, ends = encoder.encode(pa.array(texts))
+    for t, a, b in zip(texts, [0, *ends[:-1]], ends, strict=True):
+        assert ids[a:b].tolist() == whole.encode_ordinary(t) and encoder.decode(ids[a:b]) == t.encode()
 
 
 def brute_near(rows):
