@@ -30,6 +30,8 @@ BLOCK = 1 << 22
 BITS = 20
 #: Words whose number is its hash with this bit set are not numbered by count.
 RARE = -(1 << 63)
+#: Bits of a row's number within the texts whose sums are put together in one place.
+NEAR = 16
 #: Lines of the matrix of the most frequent words that are summed in one place.
 LINES = 16
 
@@ -433,7 +435,15 @@ def _summed(docs: DataFrame, tail: DataFrame, rare: DataFrame, pairs: DataFrame,
                 key, c, tokens = unpack(z.as_buffer(), n)
                 key = np.cumsum(key)
                 p = m.log(c, m.words.all[key >> BITS], m.words.all[key & (1 << BITS) - 1])
-                yield added(unpack(rows.as_buffer(), k)[0], None, None, np.repeat(p, tokens))
+                row, inverse = np.unique(unpack(rows.as_buffer(), k)[0], return_inverse=True)
+                score = np.bincount(inverse, np.repeat(p, tokens), len(row)).view(np.int64)
+                cut = np.flatnonzero(np.r_[True, np.diff(row >> NEAR) != 0, True])
+                out = [(int(row[i] >> NEAR), int(j - i), pack(np.diff(row[i:j], prepend=0), score[i:j])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in out], t) for f, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["p", "n", "z"])
+
+    def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blocks in _of_one_place(batches):
+            yield added(np.concatenate([np.cumsum(b[0]) for b in blocks]), None, None, np.concatenate([b[1].view(np.float64) for b in blocks]))
 
     def of_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -443,7 +453,8 @@ def _summed(docs: DataFrame, tail: DataFrame, rare: DataFrame, pairs: DataFrame,
             yield added(row >> 2, (y < 0) & (cy > 0), np.where(y < 0, m.base(cy), 0.0), m.log(c, cx, cy))
 
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double"
-    out = docs.mapInArrow(whole, schema).unionAll(tail.select("n", "z", "k", "rows").mapInArrow(of_tail, schema))
+    tail = tail.select("n", "z", "k", "rows").mapInArrow(of_tail, "p long, n long, z binary")
+    out = docs.mapInArrow(whole, schema).unionAll(tail.repartition("p").sortWithinPartitions("p").mapInArrow(by_row, schema))
     out = out.unionAll(rare.join(pairs, ["x", "y"]).select("x", "y", "row", "c", "ux", "uy").mapInArrow(of_rare, schema))
     out = out.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(k).alias(k) for k in names[2:]))
     return out.select("doc_id", "n_tokens", "n_known", F.col("base").alias("base_score"), "score")

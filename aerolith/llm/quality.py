@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import SPACES, UPPER, WORD_BREAK, let, texts
+from aerolith.llm.common import SPACES, UPPER, WORD_BREAK, free, let, texts
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -123,13 +123,17 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 20,
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns, by one projection and a filter."""
-    m = lambda k: F.col("__measured")[k]
+    """The rows of docs that judge() keeps, with all their columns whatever their names, by one projection and a filter.
+
+    A null or empty text fails, repeated rows are judged alike, an empty table stays empty.
+    """
+    name = free(docs, "measured")
+    m = lambda k: F.col(name)[k]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bad = (m("n_words") < min_words) | (m("n_repeat_words") * 100 > m("n_words") * max_repeat_percent)
     for r in rules:
         bad |= r.broken(m)
-    return docs.withColumn("__measured", measured(text)).where(~bad).drop("__measured")
+    return docs.withColumn(name, measured(text)).where(~bad).drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from test_llm import brute_bytes, brute_near
@@ -38,3 +39,24 @@ def test_stages_against_brute_force(spark, sf):
     out = {r.doc_id: r for r in pipeline.STAGES[4][1](spark, now, sf).collect()}
     assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in left.items()} == {i: r.decoded_sha256 for i, r in out.items()}
     assert {r.doc_id: r.ids_sha256 for r in pipeline.run(spark, sf).collect()} == {i: r.ids_sha256 for i, r in out.items()}
+
+
+CLASH = ["z", "spans", "n_bytes", "n_removed", "__measured", "measured", "__kept", "node", "whole", "__node", "others", "__text", "key", "n"]
+
+
+def test_stages_with_odd_rows_and_names(spark, sf):
+    """Nulls, repeated rows, shared ids, a long text and clashing names; then no rows at all."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(["the", "and", "of", "to", "is", "in", "house", "river", "walks"]) + ("" if rng.random() < 0.6 else str(rng.randrange(10**6))) for _ in range(n)) + "."
+    a, b = text(120), text(90)
+    rows = [(1, a), (1, a), (1, b), (None, text(80)), (None, text(80)), (4, None), (5, ""), (6, text(30_000)), (7, f"{a} and more")]
+    names = ["doc_id", "text", "n_chars", *CLASH]
+    docs = spark.createDataFrame([(i, t, len(t or ""), *("v" + c for c in CLASH)) for i, t in rows], "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH))
+    for name, stage in pipeline.STAGES[:-1]:
+        before = docs.count()
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        docs = staged(stage(spark, docs, sf), "t")
+        assert docs.columns == names and 0 < docs.count() <= before
+        assert all(r[c] == "v" + c for r in docs.collect() for c in CLASH), name
+    assert docs.where("doc_id = 1").count() == 2 and docs.where("doc_id IS NULL").count() == 2 and docs.where("doc_id = 7").isEmpty()
+    assert pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
