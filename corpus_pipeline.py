@@ -10,19 +10,29 @@ from aerolith.llm.common import staged, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that break a rule go."""
+    """Rows that break a rule go, so do rows without a text. Repeated rows are judged alike, columns stay as they are."""
     return quality.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates stays, the one with the smallest doc_id."""
+    """One row of each group of near-duplicates stays, the one with the smallest doc_id; of equal rows one.
+
+    Rows that share a doc_id, or have none, are told apart by their texts. Columns stay as they are.
+    """
     return neardup.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 100 bytes that start earlier in the corpus are cut out; n_chars follows the text. No row goes."""
-    more = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_bytes", "n_removed"))
-    out = suffix.dedup(docs, more=more).withColumn("n_chars", F.length("text").cast("long"))
+    """Strings of 100 bytes that start earlier in the corpus are cut out; n_chars follows the text. No row goes.
+
+    A null text becomes an empty one. Repeated rows are one document and cut alike. Other columns travel in one struct,
+    so their names don't matter.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("others"))
+    out = suffix.dedup(rows, more=("others",)).select("doc_id", "text", *(F.col("others")[c].alias(c) for c in others))
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
 
 
