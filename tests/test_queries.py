@@ -2,10 +2,8 @@ import __spark_entry__ as entry
 import pytest
 from compare import of_duck, of_spark
 
-from aerolith.plans import evaluation, fields, scans, soundings, tables
-
-OWN = soundings.Q | evaluation.Q | fields.Q | scans.Q | tables.Q
-SQL = soundings.SQL | evaluation.SQL | fields.SQL | scans.SQL | tables.SQL
+OWN = {k: f for m in entry.PLANS for k, f in m.Q.items()}
+SQL = {k: q for m in entry.PLANS for k, q in m.SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(OWN))
