@@ -26,6 +26,11 @@ from aerolith.llm.hashing import BASE, U64, WordHashes, mix, powers, signed
 BLOCK = 1 << 19
 #: Phrases of one trigger that are compared inside a task; more of them are compared window by window in a shuffle.
 GROUP = 2000
+#: Bits of a place within a phrase, and of a phrase's number of starts; bounds a window's length.
+BITS = 16
+#: A key with over a SHARE-th of all rows is split before a join.
+SHARE = 1000
+LOW = (1 << BITS) - 1
 #: What names a document: rows that share an id (null ones too) but not the text are documents of their own.
 KEY = ["doc_id", "__text"]
 
@@ -57,6 +62,10 @@ class Cut:
     gram: int
     words: bool
 
+    def __post_init__(self):
+        if not 0 < self.gram <= self.window < 1 << BITS:
+            raise ValueError(f"a window has up to {(1 << BITS) - 1} units, a trigger not more than a window")
+
     def units(self, text: bytes):
         return text.split() if self.words else text
 
@@ -79,6 +88,12 @@ class Cut:
         both = np.stack([Prefix(u, 0).runs(at, at + width), Prefix(mix(u), 1).runs(at, at + width)], 1)
         return np.ascontiguousarray(both).view("S16").ravel()
 
+    def settled(self, sequences: list, trigger: np.ndarray, place: np.ndarray, starts: np.ndarray, later: bool, known: WordHashes) -> np.ndarray:
+        """For the windows of phrases in corpus order, one phrase after another: whether another has the same units; later: an earlier one."""
+        keys = self.keys(sequences, starts.tolist(), known)
+        _, first, inverse, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        return first[inverse] != np.arange(len(keys)) if later else count[inverse] > 1
+
 
 def triggers(u: np.ndarray, sizes: np.ndarray, cut: Cut) -> tuple[np.ndarray, ...]:
     """For the phrases of some texts (unit hashes one after another): text, first start, starts, trigger's place, trigger and phrase hash."""
@@ -107,7 +122,7 @@ def triggers(u: np.ndarray, sizes: np.ndarray, cut: Cut) -> tuple[np.ndarray, ..
 
 
 def phrases(docs: DataFrame, cut: Cut) -> DataFrame:
-    """trigger, phrase, doc_id, __text, at: a row for each phrase of each text. at: first start << 16 | trigger's place << 8 | starts - 1."""
+    """trigger, phrase, doc_id, __text, at: a row for each phrase of each text. at: first start, trigger's place, starts - 1, the last two of BITS bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -125,7 +140,7 @@ def phrases(docs: DataFrame, cut: Cut) -> DataFrame:
                     u = np.concatenate([cut.hashes(x, known) for x in seqs]) if cut.words else cut.hashes(b"".join(seqs), known)
                     text, start, starts, place, trigger, phrase = triggers(u, n, cut)
                     local = start - (np.cumsum(n) - n)[text] + base if len(text) else start
-                    packed_at = (local << 16) | (place << 8) | (starts - 1)
+                    packed_at = (local << 2 * BITS) | (place << BITS) | (starts - 1)
                     yield pa.RecordBatch.from_arrays([pa.array(signed(trigger)), pa.array(signed(phrase)), pa.array(ids[who[text]]), pa.array(marks[who[text]]), pa.array(packed_at)], ["trigger", "phrase", *KEY, "at"])
 
     return docs.select("doc_id", "text", "__text").mapInArrow(run, "trigger long, phrase long, doc_id long, __text long, at long")
@@ -147,7 +162,7 @@ def contexts(texts: DataFrame, chosen: DataFrame, cut: Cut) -> DataFrame:
                 for doc, text, ps, mark in zip(part.column(0).to_pylist(), _open(part, 1), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     units = cut.units(text)
                     for p in ps:
-                        lo, n = p["at"] >> 16, (p["at"] & 255) + 1
+                        lo, n = p["at"] >> 2 * BITS, (p["at"] & LOW) + 1
                         if lo + n - 1 + cut.window <= len(units):
                             for c, v in zip(cols, (p["trigger"], p["phrase"], doc, p["at"], p["size"], cut.joined(units[lo : lo + n - 1 + cut.window]), mark), strict=True):
                                 c.append(v)
@@ -165,12 +180,10 @@ def _inside(cut: Cut, later: bool):
         pick = np.flatnonzero(~again)
         pick = pick[np.lexsort((at[pick], mark[pick], doc[pick]))]
         units = rows.column(5).take(pa.array(pick)).to_pylist()
-        starts = (at[pick] & 255) + 1
-        keys = cut.keys([cut.units(x) for x in units], starts.tolist(), known)
-        _, first, inverse, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        hit = first[inverse] != np.arange(len(keys)) if later else count[inverse] > 1
+        starts, place = (at[pick] & LOW) + 1, at[pick] >> BITS & LOW
+        hit = cut.settled([cut.units(x) for x in units], trigger[pick], place, starts, later, known)
         row = np.repeat(np.arange(len(pick)), starts)
-        pos = (at[pick] >> 16)[row] + np.arange(len(keys)) - (np.cumsum(starts) - starts)[row]
+        pos = (at[pick] >> 2 * BITS)[row] + np.arange(len(hit)) - (np.cumsum(starts) - starts)[row]
         hit = np.flatnonzero(hit)
         if not len(hit):
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, [*KEY, "lo", "n"])
@@ -204,10 +217,10 @@ def _windows(cut: Cut):
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 at, units = part.column(3).to_numpy(), part.column(5).to_pylist()
-                starts = (at & 255) + 1
+                starts = (at & LOW) + 1
                 keys = cut.keys([cut.units(x) for x in units], starts.tolist(), known)
                 row = np.repeat(np.arange(len(at)), starts)
-                pos = (at >> 16)[row] + np.arange(len(keys)) - (np.cumsum(starts) - starts)[row]
+                pos = (at >> 2 * BITS)[row] + np.arange(len(keys)) - (np.cumsum(starts) - starts)[row]
                 width = keys.dtype.itemsize
                 raw = keys.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([raw[i * width : i * width + width] for i in range(len(keys))], pa.binary()), pa.array(part.column(2).to_numpy()[row]), pa.array(part.column(6).to_numpy()[row]), pa.array(pos)], ["key", *KEY, "lo"])
@@ -215,24 +228,38 @@ def _windows(cut: Cut):
     return run
 
 
+def shared(rows: DataFrame, counted: DataFrame, key: list[str]) -> DataFrame:
+    """rows (KEY, at and key among their columns) joined with counted (key, c and others) on key, however frequent a key is.
+
+    A key with over a SHARE-th of all counted rows meets them in as many pieces as it has such shares, so no joined
+    group holds more. At most SHARE keys are that frequent: what is broadcast to tell them is bounded.
+    """
+    total = counted.agg(F.sum("c")).first()[0] or 1
+    pieces = F.ceil(F.col("c") * F.lit(SHARE / total))
+    often = counted.where(pieces > 1).select(*key, pieces.alias("__pieces"))
+    rows = rows.join(F.broadcast(often), key, "left").withColumn("__piece", F.pmod(F.xxhash64(*KEY, "at"), F.coalesce("__pieces", F.lit(1).cast("long"))))
+    counted = counted.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    return rows.join(counted, [*key, "__piece"]).drop("c", "__pieces", "__piece")
+
+
 def repeated(docs: DataFrame, cut: Cut, later: bool) -> DataFrame:
     """doc_id, __text, spans (array of structs lo, n: runs of window starts) of the windows that start elsewhere too; later: that start earlier.
 
     docs: doc_id, text and __text, each document once. The parse (one row a phrase occurrence) is reduced to triggers that occur twice; its distinct phrases
     are the dictionary, each with its first occurrence. All occurrences of a phrase share its fate, so only the
     dictionary's phrases are looked into, and only where phrases differ though they share a trigger. Counts are combined
-    before each shuffle, joins may be split where a key is hot, and triggers with over GROUP phrases are compared by a
+    before each shuffle, joins are split where a key is frequent, and triggers with over GROUP phrases are compared by a
     shuffle of their windows instead of in one task.
     """
     parse = phrases(docs, cut)
-    twice = parse.groupBy("trigger").agg(F.count("*").alias("c")).where("c > 1").select("trigger")
-    parse = staged(parse.join(twice, "trigger"), "parse")
+    twice = staged(parse.groupBy("trigger").agg(F.count("*").alias("c")).where("c > 1"), "triggers")
+    parse = staged(shared(parse, twice, ["trigger"]), "parse")
     place = F.struct(*KEY, "at")
-    words = staged(parse.groupBy("trigger", "phrase").agg(F.min(place).alias("first"), F.max(place).alias("last")), "dictionary")
-    whole = parse.join(words.where("first <> last"), ["trigger", "phrase"])
+    words = staged(parse.groupBy("trigger", "phrase").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("c")), "dictionary")
+    whole = shared(parse, words.where("first <> last"), ["trigger", "phrase"])
     if later:
         whole = whole.where(place != F.col("first"))
-    whole = whole.select(*KEY, F.shiftright("at", 16).alias("lo"), (F.col("at").bitwiseAND(255) + 1).alias("n"))
+    whole = whole.select(*KEY, F.shiftright("at", 2 * BITS).alias("lo"), (F.col("at").bitwiseAND(LOW) + 1).alias("n"))
 
     sizes = words.groupBy("trigger").agg(F.count("*").alias("size")).where("size > 1")
     mixed = words.join(sizes, "trigger").select("trigger", "phrase", "first.doc_id", "first.__text", "first.at", "size")

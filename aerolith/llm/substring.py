@@ -1,8 +1,9 @@
-"""Substring dedup by comparison of winnowed phrases."""
+"""Substring dedup by seeds: winnowed anchors that occur twice are extended word by word, both ways."""
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,22 +12,68 @@ from aerolith.llm.common import keyed, table, unkeyed
 from aerolith.llm.repeats import Cut, stripped
 
 
+def _split(agreeing: np.ndarray, unit: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Classes of seed occurrences that agree so far, split by their next unit; -1: no other one agrees any more."""
+    out = np.full(len(agreeing), -1)
+    at = np.flatnonzero((agreeing >= 0) & there)
+    _, which, count = np.unique(agreeing[at] * (int(unit.max(initial=0)) + 1) + unit[at], return_inverse=True, return_counts=True)
+    out[at] = np.where(count[which] > 1, which, -1)
+    return out
+
+
+@dataclass(frozen=True)
+class Seeds(Cut):
+    """Occurrences of a seed are extended together, so that no pairs are listed: those that agree are a class, each further word splits it."""
+
+    words: bool = True
+
+    def settled(self, sequences, trigger, place, starts, later, known) -> np.ndarray:
+        """Extends from each seed's start to the right and to the left; a window repeats where others go with it both ways."""
+        numbers: dict[bytes, int] = {}
+        flat = np.fromiter((numbers.setdefault(w, len(numbers)) for s in sequences for w in s), np.int64)
+        sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
+        first = np.cumsum(sizes) - sizes
+        _, seed = np.unique(trigger, return_inverse=True)
+
+        def extended(step: int, most: int) -> list[np.ndarray]:
+            classes = [seed]
+            for k in range(most):
+                at = place + k if step > 0 else place - 1 - k
+                there = (at >= 0) & (at < sizes)
+                classes.append(_split(classes[-1], flat[np.where(there, first + at, 0)], there))
+            return classes
+
+        right, left = extended(1, self.window), extended(-1, self.window - self.gram)
+        hit = np.zeros(int(starts.sum()), bool)
+        begin = np.cumsum(starts) - starts
+        for n, before in enumerate(left):  # windows with n words before the seed
+            after, at = right[self.window - n], place - n
+            both = np.flatnonzero((at >= 0) & (at < starts) & (before >= 0) & (after >= 0))
+            _, earliest, who, count = np.unique(before[both] * len(sizes) + after[both], return_index=True, return_inverse=True, return_counts=True)
+            again = earliest[who] != np.arange(len(both)) if later else count[who] > 1
+            hit[(begin + at)[both[again]]] = True
+        return hit
+
+
 def _left(units: list[bytes], lo: np.ndarray, hi: np.ndarray) -> bytes:
     at = np.r_[0, hi]
     return b" ".join(w for a, b in zip(at, np.r_[lo, len(units)], strict=True) for w in units[a:b])
 
 
-def _cut(length: int) -> Cut:
-    return Cut(length, max(1, min(8, length // 2)), True)
+def _cut(length: int) -> Seeds:
+    return Seeds(length, max(1, min(8, length // 2)))
 
 
 def dedup(documents: DataFrame, length: int = 35) -> DataFrame:
     """doc_id, text (the words that are left, joined by a space), n_words, n_removed.
 
     Seeds are winnowed anchors: of each window of length words the smallest hash of a gram of eight words. Documents are
-    joined on seeds that occur twice. Neighbouring windows of one seed are a phrase; phrases that agree whole are settled
-    by one hash, others window by window, without extension. Windows that some other place has too are kept and merged,
-    so a removed run is the union of maximal repeats of at least length words.
+    joined on seeds that occur twice. All occurrences of a seed are extended together to the right and to the left, as far
+    as a window around it reaches: a class of occurrences that agree is split by each further word, and those alone in
+    their class end. Where two or more go together over length words or more, they are a repeat; its windows are merged
+    with those of neighbouring seeds, so a removed run is the union of maximal repeats of at least length words.
+    Occurrences with the same words all around (64 + 48 bits of hashes) are extended once. Seeds in over repeats.GROUP
+    contexts are too many for a task: their windows meet in a shuffle, by 128-bit hashes.
 
     Every copy of a repeat goes, the first too. A null or empty text has no words. Repeated rows are one document read
     twice: they are treated alike and do not repeat each other; rows that share a

@@ -242,6 +242,38 @@ def test_substring_dedup_against_brute_force(spark, rows, group, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_words(rows)
 
 
+@pytest.mark.parametrize("later", [True, False])
+def test_seeds_extended_both_ways(later):
+    """Extension finds the windows that a comparison of all windows finds; few words, so contexts agree over all lengths."""
+    rng, known = random.Random(5), repeats.WordHashes()
+    seeds, cut = substring._cut(35), repeats.Cut(35, 8, True)
+    trigger, place, starts, sequences = [], [], [], []
+    for seed in range(6):
+        anchor = [b"a%d" % seed] * 8
+        arms = [([rng.choice([b"x", b"y"]) for _ in range(27)], [rng.choice([b"x", b"y"]) for _ in range(27)]) for _ in range(4)]
+        for _ in range(rng.randint(1, 25)):
+            before, after = list(rng.choice(arms)[0]), list(rng.choice(arms)[1])
+            for side in (before, after):
+                if rng.random() < 0.5:
+                    side[rng.randrange(27)] = b"z"
+            lead = rng.randint(0, 27)
+            n = rng.randint(1, lead + 1)
+            sequences.append((before[27 - lead :] + anchor + after)[: n + 34])
+            trigger.append(seed), place.append(lead), starts.append(n)
+    found = [c.settled(sequences, np.array(trigger), np.array(place), np.array(starts), later, known) for c in (seeds, cut)]
+    assert (found[0] == found[1]).all() and found[0].any() and not found[0].all()
+
+
+def test_dedup_of_long_strings(spark):
+    rng = random.Random(6)
+    shared = "".join(rng.choice("abcdef ") for _ in range(900))
+    docs = [(1, "q" + shared), (2, "r" + shared), (3, shared[:399]), (4, shared[100:500])]
+    got = {r.doc_id: r.n_removed for r in suffix.digests(table(spark, docs), 400).collect()}
+    assert got == {1: 0, 2: 900, 3: 0, 4: 400}
+    with pytest.raises(ValueError):
+        suffix.digests(table(spark, docs), 1 << 17)
+
+
 @pytest.mark.parametrize("group", [2000, 1])
 def test_repeats_of_rows_that_share_an_id(spark, group, monkeypatch):
     """Texts that share an id, or have none, are documents of their own; equal rows are one."""
