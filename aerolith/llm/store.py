@@ -142,7 +142,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> N
                             stored.add(d)
                             rows.append((1, d, 0, b - a, code.compress(raw[4 * a : 4 * b] if encoder.wide else small[2 * a : 2 * b])))
                         a, k = b, k + 1
-                    rows.append((0, digest(b"".join(names)), doc, end - start, b"".join(names) + array("I", sizes).tobytes()))
+                    rows.append((0, digest(b"".join(names)), doc, end - start, b"".join(names) + np.array(sizes, ">u4").tobytes()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], ["kind", "digest", "doc_id", "n", "body"]
                 )
@@ -155,25 +155,39 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> N
     k = F.expr(f"length(body) div {DIGEST + 4}")
     names = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.substr(F.col("body"), i * DIGEST + 1, F.lit(DIGEST)))
 
-    def little(i):
-        byte = lambda j: F.conv(F.hex(F.substr(F.col("body"), k * DIGEST + i * 4 + 1 + j, F.lit(1))), 16, 10).cast("long")
-        return byte(0) + byte(1) * 256 + byte(2) * 65536 + byte(3) * 16777216
+    def size(i):
+        return F.conv(F.hex(F.substr(F.col("body"), k * DIGEST + i * 4 + 1, F.lit(4))), 16, 10).cast("long")
 
-    sizes = F.transform(F.sequence(F.lit(0), k - 1), little)
+    sizes = F.transform(F.sequence(F.lit(0), k - 1), size)
     ordered = plain.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), F.col("n").alias("n_tokens"), F.col("digest").alias("root"), names.alias("chunks"), sizes.alias("sizes"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root", "copy").withColumn("part", F.spark_partition_id())
     ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
 
     recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+    _manifest(recipes).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def _manifest(recipes: DataFrame) -> DataFrame:
+    """A row for each part of the recipes: its Merkle root over the documents in order, FAN to a node, and what it holds."""
     by_row = _placed(recipes.select("part", "doc_id", "root", "copy", "n_tokens"))
     leaves = by_row.groupBy("part", ((F.col("row") - 1) / FAN).cast("long").alias("node"))
     nodes = leaves.agg(F.sort_array(F.collect_list(F.struct("row", "root"))).alias("x"), F.sum("n_tokens").alias("n_tokens"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("documents"))
     nodes = nodes.withColumn("x", F.sha2(F.array_join(F.transform("x", lambda r: F.hex(r["root"])), ""), 256))
-    whole = nodes.groupBy("part").agg(
+    return nodes.groupBy("part").agg(
         F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "x"))), lambda r: r["x"]), ""), 256).alias("root"),
         F.sum("n_tokens").alias("n_tokens"), F.sum("documents").alias("documents"), F.min("low").alias("low"), F.max("high").alias("high"),
     )
-    whole.coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Fails if a part's recipes don't give its root and counts in the manifest, or if a part is missing on either side."""
+    given = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    held = _manifest(spark.read.schema(RECIPES).parquet(f"{path}/recipes")).select(*given.columns)
+    both = given.withColumn("__given", F.lit(1)).unionAll(held.withColumn("__given", F.lit(-1)))
+    odd = both.groupBy(*given.columns).agg(F.sum("__given").alias("n")).where("n <> 0").select("part").distinct()
+    bad = [r.part for r in odd.take(5)]
+    if bad:
+        raise ValueError(f"recipes of part {bad} don't match the manifest")
 
 
 def _placed(recipes: DataFrame) -> DataFrame:
@@ -252,8 +266,11 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files; fails where its Merkle root isn't that of its chunks.
 
+    The manifest's roots and counts are checked first, so a recipe that was lost or replaced is seen too.
+
     Each chunk's ids are read once; only its CRC and size go to the documents that hold it.
     """
+    verify(spark, path)
     listed = recipes(spark, path).select("doc_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("k", "digest"))
     found = listed.join(chunks(spark, path), "digest", "left")
     whole = found.groupBy("start", "doc_id", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("k", "n", "crc", "digest"))).alias("cs"))

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import shutil
 import zlib
 from collections import Counter
 
@@ -420,6 +421,23 @@ def test_language_model_against_brute_force(spark, rows, plan, tmp_path):
     assert sum(g[4] for g in got) > sum(g[3] for g in got)
 
 
+def test_store_sees_damage(spark, tmp_path):
+    """A document that is lost from the recipes, though every other one is whole, and one whose recipe is another's."""
+    path, recipes = str(tmp_path / "s"), store.RECIPES
+    store.write(table(spark, [(k, f"text number {k} of a few") for k in range(20)]), path, public.path("word_bpe_49k.json"))
+    store.verify(spark, path)
+    whole = spark.read.schema(recipes).parquet(f"{path}/recipes")
+    other = whole.where("doc_id = 3").select("root", "chunks", "sizes").first()
+    swapped = [(*r[:3], *(other if r.doc_id == 4 else r[3:6]), r.part) for r in whole.collect()]
+    for name, rows in (("lost", [r for r in swapped if r[0] not in (4, 11)]), ("swapped", swapped)):
+        damaged = str(tmp_path / name)
+        spark.createDataFrame(rows, recipes).write.parquet(f"{damaged}/recipes")
+        for kept in ("blocks", "manifest"):
+            shutil.copytree(f"{path}/{kept}", f"{damaged}/{kept}")
+        with pytest.raises(ValueError, match="manifest"):
+            store.read(spark, damaged)
+
+
 def test_store(spark, rows, tmp_path):
     from tokenizers import Tokenizer
 
