@@ -106,13 +106,13 @@ def final_correlation(spark, path):
     return spark.createDataFrame([(a, b, float(r[i, j])) for a, i in at.items() for b, j in at.items()], "level_a int, level_b int, r double").withColumn("r", F.round("r", 5))
 
 
-def _uniform(key: Column, start: int) -> Column:
-    return (F.conv(F.substring(F.md5(key), start, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+def _uniform(digest: Column, start: int) -> Column:
+    return (F.conv(F.substring(digest, start, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
-def normal(key: Column) -> Column:
-    """A standard normal draw that is a function of its key."""
-    return F.sqrt(-2 * F.log(_uniform(key, 1))) * F.cos(2 * math.pi * _uniform(key, 9))
+def normal(digest: Column) -> Column:
+    """A standard normal draw that is a function of an md5 digest."""
+    return F.sqrt(-2 * F.log(_uniform(digest, 1))) * F.cos(2 * math.pi * _uniform(digest, 9))
 
 
 def _normal_sql(key: str) -> str:
@@ -121,20 +121,25 @@ def _normal_sql(key: str) -> str:
 
 
 #: Draws of the energy score.
-DRAWS = 16
+DRAWS = 64
 
 
 @query("AR10", f"""WITH {PRED}, z AS (SELECT profile_no, {LEVEL}, error, sd, x, {_normal_sql(f"profile_no || ':' || {LEVEL} || ':' || x")} AS z FROM pred, range({DRAWS}) r(x)),
 s AS (SELECT a.profile_no, a.x, count(*) AS k, sqrt(sum(pow(a.error + a.sd * a.z, 2))) AS off, sqrt(sum(pow(a.sd * (a.z - b.z), 2))) AS apart FROM z a JOIN z b ON a.profile_no = b.profile_no AND a.{LEVEL} = b.{LEVEL} AND b.x = (a.x + 1) % {DRAWS} GROUP BY 1, 2),
 p AS (SELECT profile_no, any_value(k) AS k, avg(off) - avg(apart) / 2 AS score FROM s GROUP BY 1) SELECT k, count(*) AS n, round(avg(score), 6) AS energy FROM p GROUP BY 1""")
 def energy_score(spark, path):
-    """E|X - y| - E|X - X'| / 2 with draws that are hashes of profile, level and number; X' is the draw after X."""
-    draws = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda x: F.col("sd") * normal(F.concat_ws(":", F.col("profile_no").cast("string"), F.col(LEVEL).cast("string"), x.cast("string"))))
-    rows = predicted(spark, path).select("profile_no", "error", draws.alias("z"))
-    each = rows.select("profile_no", *((F.col("error") + F.col("z")[x]).alias(f"o{x}") for x in range(DRAWS)), *((F.col("z")[x] - F.col("z")[(x + 1) % DRAWS]).alias(f"a{x}") for x in range(DRAWS)))
-    sums = each.groupBy("profile_no").agg(F.count("*").alias("k"), *(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(c) for c in each.columns[1:]))
-    mean = lambda c: sum((F.col(f"{c}{x}") for x in range(DRAWS)), F.lit(0.0)) / DRAWS
-    return sums.groupBy("k").agg(F.count("*").alias("n"), r6(F.avg(mean("o") - mean("a") / 2), "energy"))
+    """E|X - y| - E|X - X'| / 2 with draws that are hashes of profile, level and number; X' is the draw after X.
+
+    Rows are dealt by profile before they draw, so that both aggregations find their rows in place.
+    """
+    rows = predicted(spark, path).select("profile_no", LEVEL, "error", "sd").repartition("profile_no")
+    drawn = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    z = lambda x: F.col("sd") * normal(F.md5(F.concat_ws(":", F.col("profile_no").cast("string"), F.col(LEVEL).cast("string"), x.cast("string"))))
+    drawn = drawn.withColumn("z", z(F.col("x"))).withColumn("next", z((F.col("x") + 1) % DRAWS))
+    off, apart = F.col("error") + F.col("z"), F.col("z") - F.col("next")
+    each = drawn.groupBy("profile_no", "x").agg(F.count("*").alias("k"), F.sqrt(F.sum(off * off)).alias("off"), F.sqrt(F.sum(apart * apart)).alias("apart"))
+    scores = each.groupBy("profile_no").agg(F.first("k").alias("k"), (F.avg("off") - F.avg("apart") / 2).alias("score"))
+    return scores.groupBy("k").agg(F.count("*").alias("n"), r6(F.avg("score"), "energy"))
 
 
 @query("ML7", f"""WITH {PRED}, s AS (SELECT {LEVEL}, sqrt(avg(pow(correction_dry - residual_dry, 2))) AS sd_dry, sqrt(avg(pow(correction_wet - residual_wet, 2))) AS sd_wet, sqrt(avg(error * error)) AS sd_total FROM pred WHERE time >= TIMESTAMP '{DEV}' AND time < TIMESTAMP '{CAL}' GROUP BY 1),
