@@ -6,6 +6,8 @@ import math
 from itertools import combinations
 
 import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from aerolith.plans.inference import ensemble_weight, ridge, ridge_sql
 from aerolith.plans.registry import d, r6, registry
 from aerolith.plans.soundings import CAL, DEV, OBS, PRED, observed, predicted
 from aerolith.sources import levels as src
+from aerolith.sources import text
 from aerolith.streaming import series as streams
 
 Q, SQL, query = registry()
@@ -351,6 +354,43 @@ def layer_models(spark, path):
     return new.groupBy(LEVEL).agg(F.count("*").alias("n"), r6(F.sqrt(F.avg(e * e)), "rmse"))
 
 
+FEATURES = ("bg_temperature_k", "bg_q", "pressure_hpa", "latitude", "elevation_m", "month")
+
+
+def boosted(spark, path):
+    """Boosted trees for the dry and the wet part, fitted before DEV; no SQL twin. Errors by level on later rows, beside those without a correction."""
+    rows = predicted(spark, path).withColumn("month", F.month("time"))
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+    old, new = rows.where(F.col("time") < _at(DEV)), rows.where(F.col("time") >= _at(DEV))
+    for part in ("dry", "wet"):
+        model = GBTRegressor(labelCol=f"residual_{part}", maxDepth=3, maxIter=10, stepSize=0.1, minInstancesPerNode=20, seed=7, predictionCol=f"boosted_{part}").fit(old.select("features", f"residual_{part}"))
+        new = model.transform(new)
+    e, raw = F.col("boosted_dry") + F.col("boosted_wet") - F.col("residual_total"), F.col("residual_total")
+    return new.groupBy(LEVEL).agg(F.count("*").alias("n"), r6(F.sqrt(F.avg(e * e)), "rmse"), r6(F.sqrt(F.avg(raw * raw)), "rmse_raw"))
+
+
+Q["ML3"] = boosted
+
+_FIELD = ", ".join(f"({p}, {h})" for p, h in zip(src.LEVELS, src.HEIGHTS))
+
+
+@query("ML12", f"""WITH {PRED}, {src.TARGETS_SQL}, {src.GRID_SQL}, l AS (SELECT {LEVEL}, avg(residual_total) AS c FROM pred WHERE time < TIMESTAMP '{DEV}' GROUP BY 1), h({LEVEL}, height) AS (VALUES {_FIELD}),
+f AS (SELECT t, a, o, {LEVEL}, height, CASE WHEN 850 + 20 * v >= {LEVEL} THEN 300 * exp(-height / {d(7000.0)}) + v + c + {d(0.157)} * height END AS m FROM grid, h JOIN l USING ({LEVEL}) WHERE t IN (SELECT CAST(floor(tpos) AS BIGINT) FROM targets)),
+g AS (SELECT *, 1000 * (lead(m) OVER w - m) / (lead(height) OVER w - height) AS k FROM f WINDOW w AS (PARTITION BY t, a, o ORDER BY {LEVEL} DESC))
+SELECT {LEVEL}, count(m) AS n, round(avg(m), 6) AS m_corrected, round(avg(k), 6) AS gradient_per_km FROM g GROUP BY 1""")
+def corrected_field(spark, path):
+    """The learnt correction on a field's cells: nothing below the ground, modified refractivity and its gradient to the level above. Corrections are six rows."""
+    times = src.targets(spark, path).select(F.floor("tpos").alias("t")).distinct()
+    c = predicted(spark, path).where(F.col("time") < _at(DEV)).groupBy(LEVEL).agg(F.avg("residual_total").alias("c"))
+    levels = F.array(*(F.struct(F.lit(p).alias(LEVEL), F.lit(h).alias("height")) for p, h in zip(src.LEVELS, src.HEIGHTS)))
+    f = src.grid(spark).join(F.broadcast(times), "t", "left_semi").select("t", "a", "o", "v", F.inline(levels)).join(F.broadcast(c), LEVEL)
+    n = 300 * F.exp(-F.col("height") / 7000.0) + F.col("v") + F.col("c")
+    f = f.withColumn("m", F.when(850 + 20 * F.col("v") >= F.col(LEVEL), n + 0.157 * F.col("height")))
+    by = Window.partitionBy("t", "a", "o").orderBy(F.desc(LEVEL))
+    f = f.withColumn("k", 1000 * (F.lead("m").over(by) - F.col("m")) / (F.lead("height").over(by) - F.col("height")))
+    return f.groupBy(LEVEL).agg(F.count("m").alias("n"), r6(F.avg("m"), "m_corrected"), r6(F.avg("k"), "gradient_per_km"))
+
+
 _HORIZONS = (1, 3)
 _LAGS = f"""{src.SERIES_SQL}, l AS (SELECT station, value AS x1, avg(value) OVER (w ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS x2, lead(value, 1) OVER w AS y1, lead(value, 3) OVER w AS y3, row_number() OVER w AS i, count(*) OVER (PARTITION BY station) AS n FROM series WINDOW w AS (PARTITION BY station ORDER BY ts, event_id)),
 h AS (SELECT x1, x2, y, horizon, i <= floor(n * {d(0.7)}) AS old FROM (SELECT *, unnest([1, 3]) AS horizon, unnest([y1, y3]) AS y FROM l) WHERE i >= 8 AND y IS NOT NULL)"""
@@ -433,3 +473,18 @@ def day_counters(spark, path):
 @query("ST5", f"WITH {src.SERIES_SQL}, w AS (SELECT station, value, unnest([date_trunc('day', ts) + to_days(CAST(k AS INT)) FOR k IN range(1, 8)]) AS until FROM series) SELECT station, until::TIMESTAMP AS until, count(*) AS n, round(avg(value), 6) AS value FROM w GROUP BY ALL")
 def rolling_means(spark, path):
     return streams.rolling(src.series(spark, path)).select("station", F.col("until").cast("timestamp_ntz").alias("until"), "n", r6("value", "value"))
+
+
+@query("ST1", fields.SQL["JN4"])
+def collocated(spark, path):
+    """Reports are collocated with the field as their files come; a run takes the new ones."""
+    events = spark.read.parquet(f"{path}/events.parquet")
+    stream = spark.readStream.schema(events.schema).parquet(f"{path}/events*.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out, state = text.scratch(spark, "collocated"), text.scratch(spark, "collocated-state")
+
+    def job(batch: DataFrame) -> DataFrame:
+        points = src.places(batch).select("id", F.floor("tpos").alias("t"), "lat", "lon")
+        return spatial.bilinear(points, src.grid(batch.sparkSession)).select("id", r6("value", "value"))
+
+    streams.incremental(stream, job, out, state)
+    return spark.read.parquet(out).select("id", "value")

@@ -85,7 +85,11 @@ GRID_SQL = """grid AS (SELECT t, a, o, ((t * 7 + a * 13 + o * 29) % 101) * CAST(
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points in space and time that take values from the grid: id, lat, lon, tpos (slices since the first)."""
-    e = table(spark, sf_dir, "events", "event_id", "user_id", "ts")
+    return places(table(spark, sf_dir, "events", "event_id", "user_id", "ts"))
+
+
+def places(e: DataFrame) -> DataFrame:
+    """Events, of a table or a stream, as targets."""
     seconds = (F.unix_micros("ts") - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 1e6
     return e.select(F.col("event_id").alias("id"), (F.lit(-85) + (F.col("user_id") * 37) % 170).cast("double").alias("lat"), ((F.col("user_id") * 53) % 360 + 0.5).alias("lon"), (seconds / 21600).alias("tpos"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +28,15 @@ def rolling(df: DataFrame, late: str = "1 day") -> DataFrame:
     """Mean of the last seven days by station, each day."""
     days = df.withWatermark("ts", late).groupBy("station", F.window("ts", "7 days", "1 day")).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
     return days.select("station", F.col("window.end").alias("until"), "value", "n")
+
+
+def incremental(stream: DataFrame, job: Callable[[DataFrame], DataFrame], out: str, state: str) -> None:
+    """Runs job on the files that have come since the last run and stops; files done before are not read again.
+
+    A batch that is repeated after a failure writes over its own folder. state: the folder that remembers what is done.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        job(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

@@ -37,3 +37,19 @@ def test_rolling_matches_the_batch_form(spark, sf):
     batch = {(r.station, r.until): (r.n, round(r.value, 9)) for r in jobs.rolling(src.series(spark, sf)).collect()}
     stream = {(r.station, r.until): (r.n, round(r.value, 9)) for r in run(spark, sf, jobs.rolling, "rolling").collect()}
     assert stream and all(batch[k] == v for k, v in stream.items())
+
+
+def test_incremental_runs_take_new_files_only(spark, sf, tmp_path):
+    rows = src.series(spark, sf)
+    come, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    seen = []
+
+    def job(batch):
+        seen.append(batch.count())
+        return batch
+
+    for part in (0, 1):
+        rows.where(F.col("station") % 2 == part).coalesce(1).write.mode("append").parquet(come)
+        jobs.incremental(spark.readStream.schema(rows.schema).parquet(come), job, out, state)
+    assert len(seen) == 2 and sum(seen) == rows.count()
+    assert spark.read.parquet(out).drop("batch").exceptAll(rows).isEmpty()
