@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import geo, scores
 from aerolith.operators import metrics, resampling
-from aerolith.plans.soundings import _SEASON, CAL, DEV, OBS, PRED, observed, predicted, r6
+from aerolith.plans.soundings import _SEASON, CAL, DEV, OBS, PRED, observed, predicted, r6, side_by_side
 from aerolith.sources import levels as src
 
 Q: dict = {}
@@ -320,10 +320,11 @@ def cross_fit(spark, d):
 @query("AR6", f"""WITH {PRED}, a AS (SELECT profile_no, pressure_hpa, sd, list_position([1000, 925, 850, 700, 500, 300], pressure_hpa) AS i FROM pred)
 SELECT a.pressure_hpa AS level_a, b.pressure_hpa AS level_b, count(*) AS n, round(avg(a.sd * b.sd * pow(CAST(0.6 AS DOUBLE), abs(a.i - b.i))), 6) AS covariance FROM a JOIN a b ON a.profile_no = b.profile_no AND a.i <= b.i GROUP BY ALL""")
 def covariances(spark, d):
-    i = F.array_position(F.array(*(F.lit(p) for p in src.LEVELS)), F.col("pressure_hpa"))
-    a = predicted(spark, d).select("profile_no", F.col("pressure_hpa").alias("level_a"), F.col("sd").alias("sa"), i.alias("ia"))
-    b = a.select("profile_no", F.col("level_a").alias("level_b"), F.col("sa").alias("sb"), F.col("ia").alias("ib"))
-    cov = F.col("sa") * F.col("sb") * F.pow(F.lit(0.6), F.abs(F.col("ia") - F.col("ib")))
-    return a.join(b, "profile_no").where("ia <= ib").groupBy("level_a", "level_b").agg(F.count("*").alias("n"), r6(F.avg(cov), "covariance"))
-
-
+    """Pairs of levels within a profile's own row; covariances of 21 pairs in one aggregation."""
+    wide, at = side_by_side(predicted(spark, d), "sd"), list(enumerate(src.LEVELS))
+    pairs = []
+    for i, a in at:
+        for j, b in at[i:]:
+            cov = F.col(f"x{a}") * F.col(f"x{b}") * 0.6 ** (j - i)
+            pairs.append(F.struct(F.lit(a).alias("level_a"), F.lit(b).alias("level_b"), F.count(cov).alias("n"), r6(F.avg(cov), "covariance")))
+    return wide.agg(F.array(*pairs).alias("pairs")).select(F.inline("pairs")).where("n > 0")

@@ -325,12 +325,22 @@ def variances(spark, d):
 @query("AG24", f"""WITH {OBS}, v AS (SELECT profile_no, pressure_hpa, residual_total AS r FROM obs WHERE valid)
 SELECT a.pressure_hpa AS level_a, b.pressure_hpa AS level_b, count(*) AS n, round(CASE WHEN count(*) < 30 THEN 0 ELSE corr(a.r, b.r) END, 6) AS r FROM v a JOIN v b ON a.profile_no = b.profile_no AND a.pressure_hpa >= b.pressure_hpa GROUP BY ALL""")
 def level_correlation(spark, d):
-    v = observed(spark, d).where("valid").select("profile_no", "pressure_hpa", F.col("residual_total").alias("r"))
-    a, b = v.withColumnsRenamed({"pressure_hpa": "level_a", "r": "ra"}), v.withColumnsRenamed({"pressure_hpa": "level_b", "r": "rb"})
-    pairs = a.join(b, "profile_no").where("level_a >= level_b").groupBy("level_a", "level_b").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("r"))
+    """A profile's levels stand side by side in one row, so the 21 pairs come from one aggregation without a join."""
+    wide = side_by_side(observed(spark, d).where("valid"), "residual_total")
+
+    def pair(a: int, b: int) -> Column:
+        x, y = F.col(f"x{a}"), F.col(f"x{b}")
+        return F.struct(F.lit(a).alias("level_a"), F.lit(b).alias("level_b"), F.count(x + y).alias("n"), F.corr(x, y).alias("r"))
+
+    pairs = wide.agg(F.array(*(pair(a, b) for a in src.LEVELS for b in src.LEVELS if a >= b)).alias("pairs")).select(F.inline("pairs")).where("n > 0")
     return pairs.select("level_a", "level_b", "n", r6(F.when(F.col("n") < 30, 0.0).otherwise(F.col("r")), "r"))
 
 
+def side_by_side(rows: DataFrame, value: str) -> DataFrame:
+    """profile_no, x1000 to x300 of rows with one row a level."""
+    return rows.groupBy("profile_no").agg(*(F.max(F.when(F.col("pressure_hpa") == p, F.col(value))).alias(f"x{p}") for p in src.LEVELS))
+
+
 @query("AG25", f"WITH {PRED} SELECT pressure_hpa, round(greatest(quantile_cont(abs(error) / sd, 0.9) / CAST({scores.QUANTILES[0.9]!r} AS DOUBLE), CAST(1e-6 AS DOUBLE)), 6) AS scale FROM pred WHERE time >= TIMESTAMP '{DEV}' AND time < TIMESTAMP '{CAL}' GROUP BY 1")
 def calibration_scale(spark, d):
     some = predicted(spark, d).where(F.col("time").between(F.lit(DEV).cast("timestamp"), F.lit(CAL).cast("timestamp")) & (F.col("time") < F.lit(CAL).cast("timestamp")))
