@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aerolith.llm import bpe, chat, decontam, lm, neardup, quality, repair, secrets, store, substring, suffix, toxicity
+from aerolith.llm import bpe, chat, decontam, lexical, lm, neardup, quality, repair, secrets, store, substring, suffix, toxicity
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_language_model": lm.query,
         "op9_chat_format": chat.query,
         "op10_token_store": store.query,
+        "op11_lexical_search": lexical.query,
         "op12_secret_scan": secrets.query,
         "op13_conversation_repair": repair.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.oracle(), "op4_near_duplicates": neardup.oracle(), "op5_substring_dedup": substring.oracle(), "op9_chat_format": chat.oracle(), "op13_conversation_repair": repair.oracle()}
+    return {"op3_quality_rules": quality.oracle(), "op4_near_duplicates": neardup.oracle(), "op5_substring_dedup": substring.oracle(), "op9_chat_format": chat.oracle(), "op11_lexical_search": lexical.oracle(), "op13_conversation_repair": repair.oracle()}
