@@ -208,6 +208,7 @@ def pieces(conversations: DataFrame) -> DataFrame:
     order = ["conv_id", "turn", "role", "text", "__at"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).drop("__at")
     schema = T.StructType([rows.schema["conv_id"], *T._parse_datatype_string(_PIECE).fields])
+    most, most_chars = PIECE, PIECE_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -232,7 +233,7 @@ def pieces(conversations: DataFrame) -> DataFrame:
                 if held and conv != key:
                     close(True)
                     inside = True
-                elif held and (len(held[0]) >= PIECE or chars >= PIECE_CHARS):
+                elif held and (len(held[0]) >= most or chars >= most_chars):
                     close(False)
                     inside = False
                 if held is None:
