@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aerolith.functions import geo, scores
-from aerolith.operators import metrics, resampling
+from aerolith.operators import metrics, quantiles, resampling
 from aerolith.plans.soundings import _SEASON, CAL, DEV, OBS, PRED, observed, predicted, r6, side_by_side
 from aerolith.sources import levels as src
 
@@ -91,11 +91,13 @@ def shape(spark, d):
 @query("AG20", f"""WITH {OBS}, r AS (SELECT station_no, {_SEASON} AS season, residual_total AS r FROM obs WHERE valid), m AS (SELECT r, avg(r) OVER (PARTITION BY station_no) AS s, avg(r) OVER (PARTITION BY station_no, season) AS ss FROM r)
 SELECT count(*) AS n, round(avg(s * s), 6) AS persistent, round(avg(pow(ss - s, 2)), 6) AS seasonal, round(avg(pow(r - ss, 2)), 6) AS remainder, round(avg(r * r), 6) AS total FROM m""")
 def variance_components(spark, d):
-    rows = observed(spark, d).where("valid").select("station_no", geo.season(F.col("time")).alias("season"), F.col("residual_total").alias("r"))
-    s, ss = F.avg("r").over(Window.partitionBy("station_no")), F.avg("r").over(Window.partitionBy("station_no", "season"))
-    m = rows.select("r", s.alias("s"), ss.alias("ss"))
-    sq = lambda c: F.avg(c * c)
-    return m.agg(F.count("*").alias("n"), r6(sq(F.col("s")), "persistent"), r6(sq(F.col("ss") - F.col("s")), "seasonal"), r6(sq(F.col("r") - F.col("ss")), "remainder"), r6(sq(F.col("r")), "total"))
+    """Count, sum and squares by station and season, then by station: the parts follow from these, whatever a station's size."""
+    r, season = F.col("residual_total"), geo.season(F.col("time"))
+    cells = observed(spark, d).where("valid").groupBy("station_no", season.alias("season")).agg(F.count("*").alias("n"), F.avg(r).alias("m"), F.sum(r * r).alias("squares"), (F.var_pop(r) * F.count("*")).alias("spread"))
+    n, m = F.col("n"), F.col("m")
+    stations = cells.groupBy("station_no").agg(F.sum(n).alias("n"), (F.sum(n * m) / F.sum(n)).alias("s"), F.sum(n * m * m).alias("nmm"), F.sum("spread").alias("spread"), F.sum("squares").alias("squares"))
+    s, total = F.col("s"), F.sum("n")
+    return stations.agg(total.alias("n"), r6(F.sum(n * s * s) / total, "persistent"), r6(F.sum(F.col("nmm") - n * s * s) / total, "seasonal"), r6(F.sum("spread") / total, "remainder"), r6(F.sum("squares") / total, "total"))
 
 
 @query("AG21", f"""WITH {OBS}, p AS (SELECT CASE WHEN latitude >= 30 THEN 'north' WHEN latitude <= -30 THEN 'south' ELSE 'tropics' END AS region, station_no, profile_no, count(*) FILTER (valid) AS v FROM obs GROUP BY ALL)
@@ -120,7 +122,8 @@ def eligibility(spark, d):
 SELECT 1 + len(list_filter(e.q, lambda x: x <= sd)) AS quintile, count(*) AS n, round(avg(CASE WHEN abs(error) <= sd * CAST({scores.QUANTILES[0.9]!r} AS DOUBLE) THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM pred, e WHERE time >= TIMESTAMP '{CAL}' GROUP BY 1""")
 def conditional_coverage(spark, d):
     rows = predicted(spark, d).select("time", "error", "sd")
-    cuts = rows.where((F.col("time") >= _at(DEV)) & (F.col("time") < _at(CAL))).agg(F.percentile("sd", F.array(*(F.lit(k / 5) for k in range(1, 5)))).alias("q"))
+    some = rows.where((F.col("time") >= _at(DEV)) & (F.col("time") < _at(CAL)))
+    cuts = quantiles.quantiles(some, F.col("sd"), [], [k / 5 for k in range(1, 5)]).agg(F.array_sort(F.collect_list("q")).alias("q"))  # four numbers
     late = rows.where(F.col("time") >= _at(CAL)).crossJoin(F.broadcast(cuts))  # one row
     quintile = (1 + F.size(F.filter("q", lambda x: x <= F.col("sd")))).cast("long")
     return late.groupBy(quintile.alias("quintile")).agg(F.count("*").alias("n"), r6(F.avg((F.abs("error") <= F.col("sd") * scores.QUANTILES[0.9]).cast("double")), "coverage"))

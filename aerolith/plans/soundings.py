@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions import atmosphere, geo, scores
-from aerolith.operators import metrics, profiles, resampling
+from aerolith.operators import metrics, profiles, quantiles, resampling
 from aerolith.sources import levels as src
 
 Q: dict = {}
@@ -293,8 +293,9 @@ def pit_histogram(spark, d):
 
 @query("AG15", f"WITH {PRED}, q AS (SELECT quantile_cont({_Z}, list_transform(range(1, 200), lambda i: i / 200)) AS v FROM pred) SELECT CAST(unnest(range(1, 200)) AS INT) AS k, round(unnest(v), 6) AS z FROM q")
 def qq(spark, d):
-    z = F.percentile(F.col("error") / F.col("sd"), F.array(*(F.lit(i / 200) for i in range(1, 200))))
-    return predicted(spark, d).agg(z.alias("v")).select(F.posexplode("v").alias("k", "z")).select((F.col("k") + 1).alias("k"), r6("z", "z"))
+    """All 199 ranks come from the same histograms."""
+    q = quantiles.quantiles(predicted(spark, d), F.col("error") / F.col("sd"), [], [i / 200 for i in range(1, 200)])
+    return q.select((F.col("k") + 1).alias("k"), r6("q", "z"))
 
 
 @query("AG16", f"WITH {OBS} SELECT pressure_hpa, month(time) AS month, hour(time) AS hour, count(*) AS n, round(avg(residual_total), 6) AS residual FROM obs WHERE valid AND NOT below_ground GROUP BY ALL")
@@ -344,8 +345,8 @@ def side_by_side(rows: DataFrame, value: str) -> DataFrame:
 @query("AG25", f"WITH {PRED} SELECT pressure_hpa, round(greatest(quantile_cont(abs(error) / sd, 0.9) / CAST({scores.QUANTILES[0.9]!r} AS DOUBLE), CAST(1e-6 AS DOUBLE)), 6) AS scale FROM pred WHERE time >= TIMESTAMP '{DEV}' AND time < TIMESTAMP '{CAL}' GROUP BY 1")
 def calibration_scale(spark, d):
     some = predicted(spark, d).where(F.col("time").between(F.lit(DEV).cast("timestamp"), F.lit(CAL).cast("timestamp")) & (F.col("time") < F.lit(CAL).cast("timestamp")))
-    scale = F.percentile(F.abs(F.col("error")) / F.col("sd"), F.lit(0.9)) / scores.QUANTILES[0.9]
-    return some.groupBy("pressure_hpa").agg(r6(F.greatest(scale, F.lit(1e-6)), "scale"))
+    q = quantiles.quantiles(some, F.abs(F.col("error")) / F.col("sd"), ["pressure_hpa"], [0.9])
+    return q.select("pressure_hpa", r6(F.greatest(F.col("q") / scores.QUANTILES[0.9], F.lit(1e-6)), "scale"))
 
 
 @query("AG26", f"""WITH {PRED} SELECT CASE WHEN grouping(pressure_hpa) = 0 THEN CAST(pressure_hpa AS VARCHAR) ELSE 'pooled' END AS level, round(greatest(sqrt(avg(error * error)), CAST(1e-3 AS DOUBLE)), 6) AS scale FROM pred GROUP BY GROUPING SETS ((pressure_hpa), ())""")
@@ -357,13 +358,15 @@ def rms_scales(spark, d):
 
 @query("AG27", f"WITH {OBS} SELECT pressure_hpa, round(quantile_cont(residual_total, 0.01), 6) AS low, round(quantile_cont(residual_total, 0.99), 6) AS high FROM obs WHERE valid GROUP BY 1")
 def clip_bounds(spark, d):
-    return observed(spark, d).where("valid").groupBy("pressure_hpa").agg(r6(F.percentile("residual_total", F.lit(0.01)), "low"), r6(F.percentile("residual_total", F.lit(0.99)), "high"))
+    q = quantiles.quantiles(observed(spark, d).where("valid"), F.col("residual_total"), ["pressure_hpa"], [0.01, 0.99])
+    return q.groupBy("pressure_hpa").agg(*(r6(F.max(F.when(F.col("k") == k, F.col("q"))), c) for k, c in enumerate(("low", "high"))))
 
 
 @query("AG23", f"WITH {OBS} SELECT round(quantile_cont(obs_wet, 0), 6) AS e0, round(quantile_cont(obs_wet, 0.25), 6) AS e1, round(quantile_cont(obs_wet, 0.5), 6) AS e2, round(quantile_cont(obs_wet, 0.75), 6) AS e3, round(quantile_cont(obs_wet, 1), 6) AS e4 FROM obs WHERE valid AND time < TIMESTAMP '{DEV}'")
 def wet_edges(spark, d):
     some = observed(spark, d).where(F.col("valid") & (F.col("time") < F.lit(DEV).cast("timestamp")))
-    return some.agg(*(r6(F.percentile("obs_wet", F.lit(k / 4)), f"e{k}") for k in range(5)))
+    q = quantiles.quantiles(some, F.col("obs_wet"), [], [k / 4 for k in range(5)])
+    return q.agg(*(r6(F.max(F.when(F.col("k") == k, F.col("q"))), f"e{k}") for k in range(5)))
 
 
 @query("AG29", f"""WITH {PRED}, c AS (SELECT pressure_hpa, station_no, count(*) AS n, sum(error) AS s, sum(error * error) AS ss FROM pred GROUP BY ALL)

@@ -25,6 +25,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new folder that all executors share, and read again: what follows doesn't compute it twice, or again if an executor is lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_soundings(levels: DataFrame, path: str) -> None:
     """levels: profile_no, station_no, time, and the level fields as whole numbers, null where missing."""
     number = lambda c, width: F.lpad(F.coalesce(F.col(c).cast("long"), F.lit(MISSING[0])).cast("string"), width, " ")
