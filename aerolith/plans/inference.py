@@ -211,22 +211,6 @@ def ridge_components(spark, path):
     return new.groupBy(LEVEL).agg(F.count("*").alias("n"), *out)
 
 
-@query("ML6", f"""WITH {PRED}, g AS (SELECT sqrt(avg(error * error)) AS s FROM pred WHERE time < TIMESTAMP '{DEV}'), l AS (SELECT {LEVEL}, sqrt(avg(error * error)) AS s FROM pred WHERE time < TIMESTAMP '{DEV}' GROUP BY 1),
-c AS (SELECT {LEVEL}, sqrt(avg(pow(error / l.s, 2))) AS k FROM pred JOIN l USING ({LEVEL}) WHERE time >= TIMESTAMP '{DEV}' AND time < TIMESTAMP '{CAL}' GROUP BY 1)
-SELECT {LEVEL}, round(any_value(g.s), 6) AS global_sd, round(any_value(l.s), 6) AS level_sd, round(any_value(l.s * c.k), 6) AS calibrated_sd, count(*) FILTER (abs(error) <= l.s * c.k * {d(1.64485362695147)}) AS n_inside, count(*) AS n FROM pred JOIN l USING ({LEVEL}) JOIN c USING ({LEVEL}), g WHERE time >= TIMESTAMP '{CAL}' GROUP BY 1""")
-def calibrated_spread(spark, path):
-    rows = predicted(spark, path)
-    e, t = F.col("error"), F.col("time")
-    dev, cal = (F.lit(x).cast("timestamp") for x in (DEV, CAL))
-    rms = lambda c: F.sqrt(F.avg(c * c))
-    level = F.broadcast(rows.where(t < dev).groupBy(LEVEL).agg(rms(e).alias("s")))
-    whole = F.broadcast(rows.where(t < dev).agg(rms(e).alias("gs")))
-    factor = F.broadcast(rows.where((t >= dev) & (t < cal)).join(level, LEVEL).groupBy(LEVEL).agg(rms(e / F.col("s")).alias("k")))
-    late = rows.where(t >= cal).join(level, LEVEL).join(factor, LEVEL).crossJoin(whole)  # one row
-    sd = F.col("s") * F.col("k")
-    return late.groupBy(LEVEL).agg(r6(F.first("gs"), "global_sd"), r6(F.first("s"), "level_sd"), r6(F.first(sd), "calibrated_sd"), F.count_if(F.abs(e) <= sd * 1.64485362695147).alias("n_inside"), F.count("*").alias("n"))
-
-
 @query("ML10", f"""WITH {src.SERIES_SQL}, n AS (SELECT *, row_number() OVER w AS i, lead(value, 2) OVER w AS y, avg(value) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m FROM series WINDOW w AS (PARTITION BY station ORDER BY ts, event_id)), c AS (SELECT layer, avg(value) AS c FROM series GROUP BY 1)
 SELECT count(*) AS n, round(sqrt(avg(pow(value - y, 2))), 6) AS persistence, round(sqrt(avg(pow(m - y, 2))), 6) AS recent_mean, round(sqrt(avg(pow(c - y, 2))), 6) AS climatology FROM n JOIN c USING (layer) WHERE y IS NOT NULL""")
 def forecasts(spark, path):

@@ -15,7 +15,7 @@ from aerolith.functions import geo
 from aerolith.operators import spatial
 from aerolith.plans import fields, soundings
 from aerolith.plans.formulas import CHI, LEVEL
-from aerolith.plans.inference import ensemble_weight, ridge, ridge_sql
+from aerolith.plans.inference import ensemble_weight
 from aerolith.plans.registry import d, r6, registry
 from aerolith.plans.soundings import CAL, DEV, OBS, PRED, observed, predicted
 from aerolith.sources import levels as src
@@ -337,23 +337,6 @@ def blocks(spark, path):
 
 # Models
 
-_FIT = f"(SELECT * FROM pred WHERE time < TIMESTAMP '{DEV}')"
-
-
-@query("ML4", f"""WITH {PRED}, f AS {ridge_sql(_FIT, 'bg_temperature_k', 'bg_q', 'residual_total', LEVEL)}, b AS (SELECT {LEVEL}, min(residual_total) AS low, max(residual_total) AS high FROM {_FIT} GROUP BY 1)
-SELECT p.{LEVEL}, count(*) AS n, round(sqrt(avg(pow(least(high, greatest(low, b0 + b1 * (bg_temperature_k - m1) / s1 + b2 * (bg_q - m2) / s2)) - residual_total, 2))), 6) AS rmse FROM pred p JOIN f ON f.{LEVEL} = p.{LEVEL} JOIN b ON b.{LEVEL} = p.{LEVEL} WHERE time >= TIMESTAMP '{DEV}' GROUP BY 1""")
-def layer_models(spark, path):
-    """One model a level, its correction kept within what the level showed while it was fitted; six rows are broadcast."""
-    rows = predicted(spark, path)
-    old = rows.where(F.col("time") < _at(DEV))
-    fit = ridge(old, F.col("bg_temperature_k"), F.col("bg_q"), F.col("residual_total"), LEVEL).drop("n")
-    bounds = old.groupBy(LEVEL).agg(F.min("residual_total").alias("low"), F.max("residual_total").alias("high"))
-    new = rows.where(F.col("time") >= _at(DEV)).join(F.broadcast(fit.join(bounds, LEVEL)), LEVEL)
-    guess = F.col("b0") + F.col("b1") * (F.col("bg_temperature_k") - F.col("m1")) / F.col("s1") + F.col("b2") * (F.col("bg_q") - F.col("m2")) / F.col("s2")
-    e = F.least("high", F.greatest(F.col("low"), guess)) - F.col("residual_total")
-    return new.groupBy(LEVEL).agg(F.count("*").alias("n"), r6(F.sqrt(F.avg(e * e)), "rmse"))
-
-
 FEATURES = ("bg_temperature_k", "bg_q", "pressure_hpa", "latitude", "elevation_m", "month")
 
 
@@ -391,25 +374,6 @@ def corrected_field(spark, path):
     return f.groupBy(LEVEL).agg(F.count("m").alias("n"), r6(F.avg("m"), "m_corrected"), r6(F.avg("k"), "gradient_per_km"))
 
 
-_HORIZONS = (1, 3)
-_LAGS = f"""{src.SERIES_SQL}, l AS (SELECT station, value AS x1, avg(value) OVER (w ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS x2, lead(value, 1) OVER w AS y1, lead(value, 3) OVER w AS y3, row_number() OVER w AS i, count(*) OVER (PARTITION BY station) AS n FROM series WINDOW w AS (PARTITION BY station ORDER BY ts, event_id)),
-h AS (SELECT x1, x2, y, horizon, i <= floor(n * {d(0.7)}) AS old FROM (SELECT *, unnest([1, 3]) AS horizon, unnest([y1, y3]) AS y FROM l) WHERE i >= 8 AND y IS NOT NULL)"""
-
-
-@query("ML9", f"WITH {_LAGS}, f AS {ridge_sql('(SELECT * FROM h WHERE old)', 'x1', 'x2', 'y', 'horizon')} SELECT CAST(h.horizon AS INT) AS horizon, count(*) AS n_test, round(sqrt(avg(pow(b0 + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2 - y, 2))), 6) AS rmse FROM h JOIN f ON f.horizon = h.horizon WHERE NOT old GROUP BY 1")
-def lag_regressors(spark, path):
-    """Ridge from the last value and the mean of the window to each horizon, fitted on the first 70 % of each station's reports."""
-    by = Window.partitionBy("station").orderBy("ts", "event_id")
-    rows = src.series(spark, path).select(
-        F.col("value").alias("x1"), F.avg("value").over(by.rowsBetween(-7, 0)).alias("x2"), F.array(*(F.struct(F.lit(h).alias("horizon"), F.lead("value", h).over(by).alias("y")) for h in _HORIZONS)).alias("ys"),
-        F.row_number().over(by).alias("i"), F.count("*").over(Window.partitionBy("station")).alias("size"),
-    )
-    rows = rows.where("i >= 8").select("x1", "x2", F.inline("ys"), (F.col("i") <= F.floor(F.col("size") * 0.7)).alias("old")).where("y IS NOT NULL")
-    fit = ridge(rows.where("old"), F.col("x1"), F.col("x2"), F.col("y"), "horizon").drop("n")  # a row a horizon
-    e = F.col("b0") + F.col("b1") * (F.col("x1") - F.col("m1")) / F.col("s1") + F.col("b2") * (F.col("x2") - F.col("m2")) / F.col("s2") - F.col("y")
-    return rows.where("NOT old").join(F.broadcast(fit), "horizon").groupBy("horizon").agg(F.count("*").alias("n_test"), r6(F.sqrt(F.avg(e * e)), "rmse"))
-
-
 _WEIGHT = "least(1, greatest(0, sum((y - b) * (a - b)) / greatest(sum((a - b) * (a - b)), 1e-12)))"
 
 
@@ -426,34 +390,6 @@ def adaptive_ensemble(spark, path):
     return rows.where("at >= 0.85D").join(F.broadcast(weights), "layer").groupBy("layer").agg(F.count("*").alias("n_test"), r6(F.first("w"), "weight"), r6(F.sqrt(F.avg(e * e)), "rmse"))
 
 
-_BUDGETS = (1, 5, 20)
-_RATE = 0.2
-
-
-@query("ML13", f"""WITH {PRED}, k AS (SELECT station_no, iterations, sqrt(avg(pow((1 - pow({d(1 - _RATE)}, iterations)) * correction - residual_total, 2))) AS rmse FROM pred, (SELECT unnest([1, 5, 20]) AS iterations) WHERE time >= TIMESTAMP '{DEV}' AND time < TIMESTAMP '{CAL}' GROUP BY ALL),
-s AS (SELECT CAST(iterations AS INT) AS iterations, count(*) AS stations, avg(rmse) AS score FROM k GROUP BY 1) SELECT iterations, stations, round(score, 6) AS score, row_number() OVER (ORDER BY score, iterations) = 1 AS chosen FROM s""")
-def iteration_budget(spark, path):
-    """Boosting of cell means by rate 0.2 has, after k rounds, 1 - 0.8 ** k of the correction; the budget with the least mean of station errors is chosen."""
-    some = predicted(spark, path).where((F.col("time") >= _at(DEV)) & (F.col("time") < _at(CAL)))
-    e = lambda k: (1 - (1 - _RATE) ** k) * F.col("correction") - F.col("residual_total")
-    wide = some.groupBy("station_no").agg(*(F.sqrt(F.avg(e(k) * e(k))).alias(f"e{k}") for k in _BUDGETS))
-    s = wide.agg(F.array(*(F.struct(F.lit(k).alias("iterations"), F.count("*").alias("stations"), F.avg(f"e{k}").alias("score")) for k in _BUDGETS)).alias("s")).select(F.inline("s"))
-    return s.select("iterations", "stations", r6("score", "score"), (F.row_number().over(Window.orderBy("score", "iterations")) == 1).alias("chosen"))  # three rows
-
-
-_SUITE = {"climatology": (1.0, 1.0), "dry_only": (1.0, 0.0), "raw": (0.0, 0.0)}
-
-
-@query("ML15", f"""WITH {PRED}, m(model, a, b) AS (VALUES {", ".join(f"('{k}', {d(a)}, {d(b)})" for k, (a, b) in _SUITE.items())}), s AS (SELECT m.model, {LEVEL}, month(time) % 12 // 3 AS season, a * correction_dry + b * correction_wet - residual_total AS e, sd FROM pred, m WHERE time >= TIMESTAMP '{CAL}')
-SELECT model, {LEVEL}, CAST(season AS INT) AS season, count(*) AS n, round(avg(e), 6) AS bias, round(sqrt(avg(e * e)), 6) AS rmse, round(count(*) FILTER (abs(e) <= {d(1.645)} * sd) / count(*), 6) AS coverage FROM s GROUP BY ALL""")
-def model_suite(spark, path):
-    """Every model adds its columns in the same pass over the table; the suite is long only after that."""
-    rows = predicted(spark, path).where(F.col("time") >= _at(CAL))
-    each = F.array(*(F.struct(F.lit(k).alias("model"), (a * F.col("correction_dry") + b * F.col("correction_wet") - F.col("residual_total")).alias("e")) for k, (a, b) in _SUITE.items()))
-    long = rows.select(LEVEL, F.floor(F.month("time") % 12 / 3).cast("int").alias("season"), "sd", F.inline(each))
-    return long.groupBy("model", LEVEL, "season").agg(F.count("*").alias("n"), r6(F.avg("e"), "bias"), r6(F.sqrt(F.avg(F.col("e") * F.col("e"))), "rmse"), r6(F.count_if(F.abs("e") <= 1.645 * F.col("sd")) / F.count("*"), "coverage"))
-
-
 # Streams: the same jobs as on streams, run on a batch
 
 

@@ -84,15 +84,6 @@ def metadata(spark, d):
     return c.select("station_no", (F.col("reasons") == "").alias("kept"), "reasons", F.when(F.col("elevation_m") <= 3000, F.round("elevation_m", 6)).alias("elevation_m"))
 
 
-@query("PF22", f"""WITH {OBS}, t AS (SELECT pressure_hpa, avg(temperature_k) AS mt, stddev_pop(temperature_k) AS st, avg(q) AS mq, stddev_pop(q) AS sq FROM obs WHERE valid AND time < TIMESTAMP '{DEV}' GROUP BY 1)
-SELECT o.pressure_hpa, abs(temperature_k - mt) <= 1.5 * st AND abs(q - mq) <= 1.5 * sq AS supported, count(*) AS n FROM obs o JOIN t ON t.pressure_hpa = o.pressure_hpa WHERE time >= TIMESTAMP '{DEV}' GROUP BY ALL""")
-def feature_support(spark, d):
-    rows = observed(spark, d)
-    t = rows.where(F.col("valid") & (F.col("time") < _at(DEV))).groupBy("pressure_hpa").agg(F.avg("temperature_k").alias("mt"), F.stddev_pop("temperature_k").alias("st"), F.avg("q").alias("mq"), F.stddev_pop("q").alias("sq"))
-    ok = (F.abs(F.col("temperature_k") - F.col("mt")) <= 1.5 * F.col("st")) & (F.abs(F.col("q") - F.col("mq")) <= 1.5 * F.col("sq"))
-    return rows.where(F.col("time") >= _at(DEV)).join(F.broadcast(t), "pressure_hpa").groupBy("pressure_hpa", ok.alias("supported")).agg(F.count("*").alias("n"))
-
-
 @query("JN2", f"WITH {OBS}, {src.STATIONS_SQL} SELECT CASE WHEN s.latitude >= 30 THEN 'north' WHEN s.latitude <= -30 THEN 'south' ELSE 'tropics' END AS region, count(*) AS n, round(avg(s.elevation_m), 6) AS elevation FROM obs JOIN stations s USING (station_no) GROUP BY 1")
 def dimension(spark, d):
     rows = observed(spark, d).select("station_no").join(F.broadcast(src.stations(spark, d)), "station_no")
