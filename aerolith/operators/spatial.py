@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions import geo
+from aerolith.sources.text import staged
 
 
 def corners(lat: Column, lon: Column, step: float = 30.0, n_lat: int = 7, n_lon: int = 12) -> Column:
@@ -36,14 +39,119 @@ def spatiotemporal(points: DataFrame, field: DataFrame) -> DataFrame:
     return cells.join(field, ["t", "a", "o"]).groupBy("id").agg(F.sum(F.col("wt") * F.col("w") * F.col("v")).alias("value"), F.count("*").alias("n_cells"))
 
 
+#: Places of a group of on columns that are compared without cells; places of a cell, as a multiple of the neighbours asked for.
+SMALL_GROUP, CROWDED = 64, 50
+
+
+def _vector(lat: str = "latitude", lon: str = "longitude") -> dict[str, Column]:
+    a, o = F.radians(lat), F.radians(lon)
+    return {"__x": F.cos(a) * F.cos(o), "__y": F.cos(a) * F.sin(o), "__z": F.sin(a)}
+
+
+def _cell(edge: float, places: DataFrame) -> DataFrame:
+    """places with __cell: the cube of that edge, in a unit sphere, that holds the place. Cubes know no poles and no date line."""
+    return places.withColumn("__cell", F.struct(*(F.floor(F.col(c) / edge).cast("int").alias(c[-1]) for c in ("__x", "__y", "__z"))))
+
+
+def _around(edge: float, places: DataFrame) -> DataFrame:
+    """places once for each of the 27 cubes around and at theirs."""
+    steps = F.array(*(F.struct(*(F.lit(s).alias(c) for s, c in zip((i, j, k), "xyz", strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
+    own = _cell(edge, places)
+    moved = F.transform(steps, lambda s: F.struct(*((F.col("__cell")[c] + s[c]).alias(c) for c in "xyz")))
+    return own.withColumn("__near", F.explode(moved)).drop("__cell").withColumnRenamed("__near", "__cell")
+
+
+def _reach(edge: float) -> float:
+    """Kilometres: all places nearer than this lie in the 27 cubes."""
+    return geo.EARTH_KM * 2 * math.asin(min(1.0, edge / 2)) - 1e-3
+
+
+def _crowd(points: DataFrame, on: list[str], edge: float) -> int:
+    return _cell(edge, points).groupBy(*on, "__cell").count().agg(F.max("count")).first()[0] or 0
+
+
+def nearest(targets: DataFrame, points: DataFrame, key: str, most: int, on: tuple[str, ...] = (), apart: str | None = None, within_km: float | None = None) -> DataFrame:
+    """on, target, neighbour, rank, km, bearing, latitude, longitude, lat_b, lon_b: the nearest points of each target that agree in on, exactly.
+
+    Both sides have key (one row a key and group of on; whole numbers or text), latitude, longitude, on and apart. Points
+    whose apart (else key) is the target's are left out; ties go by key; with within_km nothing farther is listed. Rows
+    with a null in any of these columns, on either side, have no neighbours and are none.
+
+    Points meet by cells, never by distance. A round joins targets and points on (on, cell), 27 cells a target; targets
+    whose last neighbour is nearer than anything outside these cells can be are done, the others go on with cells three
+    times as wide. Cells start so narrow that none is crowded. What lies at one place is first cut to the few keys that
+    any target can need, so a crowded place is few points. Groups of few places are compared whole.
+    """
+    apart, on = apart or key, list(on)
+    side = lambda df, *names: df.select(*on, *(F.col(c).alias(n) for c, n in zip((key, apart, "latitude", "longitude"), names, strict=True))).na.drop()
+    t, b = side(targets, "target", "__apart", "latitude", "longitude"), side(points, "neighbour", "__other", "lat_b", "lon_b")
+    first = lambda by, n: F.row_number().over(Window.partitionBy(*on, "lat_b", "lon_b", *by).orderBy("neighbour")) <= n
+    # A target leaves one apart out, which has most keys here at most: 2 x most keys hold the first most of any others.
+    b = b.withColumn("__few", first(["__other"], most)).where("__few").withColumn("__few", first([], 2 * most)).where("__few").drop("__few")
+    b = staged(b.withColumns(_vector("lat_b", "lon_b")), "points")
+    sizes = b.groupBy(*on).agg(F.count("*").alias("__size"))
+    t = t.withColumns(_vector())
+    t = t.join(sizes, on) if on else t.join(F.broadcast(sizes))  # without on, one row
+    t = staged(t, "targets")
+
+    def ranked(pairs: DataFrame, reach: float) -> DataFrame:
+        """A row with its neighbours for each target that is done: nothing outside the cells can be nearer."""
+        km = geo.distance(F.col("latitude"), F.col("longitude"), F.col("lat_b"), F.col("lon_b"))
+        pairs = pairs.where(F.col("__apart") != F.col("__other")).withColumn("km", km)
+        pairs = pairs.where(F.col("km") <= within_km) if within_km is not None else pairs
+        by = Window.partitionBy(*on, "target").orderBy(F.round("km", 6), "neighbour")
+        pairs = pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
+        found = pairs.groupBy(*on, "target").agg(F.collect_list(F.struct("rank", "neighbour", "km", "latitude", "longitude", "lat_b", "lon_b")).alias("__found"))  # most a target
+        if reach >= (math.inf if within_km is None else within_km):
+            return found
+        return found.where((F.size("__found") == most) & (F.array_max(F.transform("__found", lambda x: x["km"])) < reach))
+
+    def met(some: DataFrame, near: DataFrame, by: list[str]) -> DataFrame:
+        return some.join(near, by) if by else some.crossJoin(near)
+
+    few = F.col("__size") <= SMALL_GROUP
+    places = b.join(sizes, on) if on else b.join(F.broadcast(sizes))
+    done = [ranked(met(t.where(few).drop("__size"), places.where(few).drop("__size"), on), math.inf)] if on else []
+    left, b = (t.where(~few), places.where(~few).drop("__size")) if on else (t, b)
+    edge = 2.0
+    if on:
+        b = staged(b, "points")
+    while edge > 1e-6 and _crowd(b, on, edge) > CROWDED * most:
+        edge /= 3
+    while True:
+        last = edge >= 2
+        found = ranked(met(_around(edge, left.drop("__size")), _cell(edge, b).drop("__x", "__y", "__z"), [*on, "__cell"]), math.inf if last else _reach(edge))
+        found = found if last else staged(found, "nearest")
+        done.append(found)
+        if last:
+            break
+        left = staged(left.join(found, [*on, "target"], "left_anti"), "targets")
+        edge = min(2.0, edge * 3) if left.limit(1).count() else 2.0
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    out = out.select(*on, "target", F.inline("__found"))
+    return out.withColumn("bearing", geo.bearing(F.col("latitude"), F.col("longitude"), F.col("lat_b"), F.col("lon_b")))
+
+
 def neighbours(left: DataFrame, right: DataFrame, key: str, most: int) -> DataFrame:
-    """target, neighbour, rank, km, bearing: the nearest stations, the target itself left out. Both sides hold stations, not reports."""
-    b = right.select(F.col(key).alias("neighbour"), F.col("latitude").alias("lat_b"), F.col("longitude").alias("lon_b"))
-    pairs = left.select(F.col(key).alias("target"), "latitude", "longitude").join(b, F.col("target") != F.col("neighbour"))
-    at = (F.col("latitude"), F.col("longitude"), F.col("lat_b"), F.col("lon_b"))
-    pairs = pairs.select("target", "neighbour", geo.distance(*at).alias("km"), geo.bearing(*at).alias("bearing"))
-    by = Window.partitionBy("target").orderBy(F.round("km", 6), "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
+    """target, neighbour, rank, km, bearing: the nearest stations, the target itself left out."""
+    return nearest(left, right, key, most).select("target", "neighbour", "rank", "km", "bearing")
+
+
+def within(targets: DataFrame, points: DataFrame, key: str, radii: tuple[float, ...]) -> DataFrame:
+    """target, within_ + radius: points that near, the target's own row left out if it is one of them. Cells are as wide as the largest radius; a place is one row with its count."""
+    edge = 2 * math.sin(min(math.pi, max(radii) / geo.EARTH_KM) / 2) + 1e-6
+    b = points.select(F.col(key).alias("__key"), F.col("latitude").alias("lat_b"), F.col("longitude").alias("lon_b")).na.drop()
+    places = _cell(edge, b.groupBy("lat_b", "lon_b").agg(F.count("*").alias("__n")).withColumns(_vector("lat_b", "lon_b"))).drop("__x", "__y", "__z")
+    own = b.groupBy("__key").agg(F.min(F.struct("lat_b", "lon_b")).alias("__own"))
+    t = targets.select(F.col(key).alias("target"), "latitude", "longitude").na.drop().withColumns(_vector())
+    km = geo.distance(F.col("latitude"), F.col("longitude"), F.col("lat_b"), F.col("lon_b"))
+    pairs = _around(edge, t).join(places, "__cell").withColumn("km", km)
+    counts = pairs.groupBy("target").agg(*(F.sum(F.when(F.col("km") <= r, F.col("__n")).otherwise(0)).alias(f"__{k}") for k, r in enumerate(radii)))
+    both = t.join(counts, "target", "left").join(own, F.col("target") == F.col("__key"), "left")
+    self_km = geo.distance(F.col("latitude"), F.col("longitude"), F.col("__own.lat_b"), F.col("__own.lon_b"))
+    return both.select("target", *((F.coalesce(f"__{k}", F.lit(0)) - F.when(self_km <= r, 1).otherwise(0)).cast("long").alias(f"within_{r:g}") for k, r in enumerate(radii)))
 
 
 def inverse_distance(near: DataFrame, values: DataFrame, power: float = 2.0, floor: float = 1e-3) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerolith.functions import geo
 from aerolith.operators import sequences, spatial
+from aerolith.plans import soundings
 from aerolith.plans.soundings import r6
 from aerolith.sources import levels as src
 
@@ -45,19 +45,20 @@ _KM = "2 * CAST(6371.0088 AS DOUBLE) * asin(least(1, sqrt(pow(sin((radians(b.lat
 _PAIRS = f"{src.STATIONS_SQL}, pairs AS (SELECT a.station_no AS target, b.station_no AS neighbour, {_KM} AS km FROM stations a JOIN stations b ON a.station_no <> b.station_no), near AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(km, 6), neighbour) AS rank FROM pairs)"
 
 
-@query("JN11", f"WITH {_PAIRS} SELECT target, neighbour, rank, round(km, 6) AS km FROM near WHERE rank <= 8")
+@query("JN11", f"""WITH {soundings.VALID}, r AS (SELECT DISTINCT profile_no, station_no, time, pressure_hpa, latitude, longitude FROM lvv WHERE valid),
+p AS (SELECT a.profile_no, a.pressure_hpa, b.profile_no AS neighbour, {_KM} AS km FROM r a JOIN r b ON a.time = b.time AND a.pressure_hpa = b.pressure_hpa AND a.station_no <> b.station_no),
+k AS (SELECT *, row_number() OVER (PARTITION BY profile_no, pressure_hpa ORDER BY round(km, 6), neighbour) AS rank FROM p) SELECT profile_no, pressure_hpa, neighbour, rank, round(km, 6) AS km FROM k WHERE rank <= 8""")
 def nearest(spark, d):
-    """A top-k report: the limit is what the operator is for."""
-    s = src.stations(spark, d)
-    return spatial.neighbours(s, s, "station_no", 8).select("target", "neighbour", F.col("rank").cast("long").alias("rank"), r6("km", "km"))
+    """The eight nearest reports of other stations at the same time and level. A top-k report: the limit is what the operator is for."""
+    r = soundings.valid(spark, d).where("valid").select("profile_no", "station_no", "time", "pressure_hpa", "latitude", "longitude").distinct()
+    near = spatial.nearest(r, r, "profile_no", 8, ("time", "pressure_hpa"), "station_no")
+    return near.select(F.col("target").alias("profile_no"), "pressure_hpa", "neighbour", F.col("rank").cast("long").alias("rank"), r6("km", "km"))
 
 
 @query("JN13", f"WITH {_PAIRS} SELECT target, round(min(km), 6) AS nearest_km, count(*) FILTER (km <= 500) AS within_500, count(*) FILTER (km <= 1000) AS within_1000 FROM pairs GROUP BY 1")
 def support(spark, d):
     s = src.stations(spark, d)
-    b = s.select(F.col("station_no").alias("other"), F.col("latitude").alias("lat_b"), F.col("longitude").alias("lon_b"))
-    km = geo.distance(F.col("latitude"), F.col("longitude"), F.col("lat_b"), F.col("lon_b"))
-    return s.join(F.broadcast(b), F.col("station_no") != F.col("other")).groupBy(F.col("station_no").alias("target")).agg(r6(F.min(km), "nearest_km"), F.count_if(km <= 500).alias("within_500"), F.count_if(km <= 1000).alias("within_1000"))
+    return spatial.nearest(s, s, "station_no", 1).select("target", r6("km", "nearest_km")).join(spatial.within(s, s, "station_no", (500.0, 1000.0)), "target")
 
 
 @query("ML8", f"""WITH {_PAIRS}, {src.SERIES_SQL}, v AS (SELECT station AS neighbour, avg(value) AS value FROM series GROUP BY 1)

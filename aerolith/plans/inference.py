@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions import geo
+from aerolith.operators import spatial
 from aerolith.plans.formulas import LEVEL
 from aerolith.plans.registry import d, r6, registry
 from aerolith.plans.soundings import CAL, DEV, OBS, PRED, observed, predicted
@@ -315,12 +316,11 @@ def flattened(spark, path):
 @query("JN14", f"""WITH {src.STATIONS_SQL}, v AS (SELECT station_no, cos(radians(latitude)) * cos(radians(longitude)) AS x, cos(radians(latitude)) * sin(radians(longitude)) AS y, sin(radians(latitude)) AS z FROM stations)
 SELECT a.station_no AS target, round({d(6371.0088)} * 2 * asin(least(1, sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) / 2)), 6) AS nearest_km FROM v a JOIN v b ON a.station_no <> b.station_no GROUP BY 1""")
 def nearest_by_chord(spark, path):
-    """Stations are 120 at most."""
-    lat, lon = F.radians("latitude"), F.radians("longitude")
-    v = lambda n: src.stations(spark, path).select(F.col("station_no").alias(n), (F.cos(lat) * F.cos(lon)).alias(f"x{n}"), (F.cos(lat) * F.sin(lon)).alias(f"y{n}"), F.sin(lat).alias(f"z{n}"))
-    pairs = v("target").join(F.broadcast(v("b")), F.col("target") != F.col("b"))
-    chord = sum((F.pow(F.col(f"{c}target") - F.col(f"{c}b"), F.lit(2)) for c in "yz"), F.pow(F.col("xtarget") - F.col("xb"), F.lit(2)))
-    return pairs.groupBy("target").agg(r6(geo.EARTH_KM * 2 * F.asin(F.least(F.lit(1.0), F.sqrt(F.min(chord)) / 2)), "nearest_km"))
+    s = src.stations(spark, path)
+    unit = lambda lat, lon: (F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat)))
+    squares = [F.pow(a - b, F.lit(2)) for a, b in zip(unit("latitude", "longitude"), unit("lat_b", "lon_b"), strict=True)]
+    chord = F.sqrt(squares[0] + squares[1] + squares[2])
+    return spatial.nearest(s, s, "station_no", 1).select("target", r6(geo.EARTH_KM * 2 * F.asin(F.least(F.lit(1.0), chord / 2)), "nearest_km"))
 
 
 @query("JN16", f"WITH {PRED}, a AS (SELECT profile_no, {LEVEL}, correction AS m1 FROM pred), b AS (SELECT profile_no, {LEVEL}, correction / 2 AS m2 FROM pred WHERE tax > {d(0.01)}), c AS (SELECT profile_no, {LEVEL}, 0.0 AS m3 FROM pred WHERE profile_no % 5 <> 0) SELECT {LEVEL}, count(*) AS n, round(avg(m1), 6) AS m1, round(avg(m2), 6) AS m2, round(avg(m3), 6) AS m3 FROM a JOIN b USING (profile_no, {LEVEL}) JOIN c USING (profile_no, {LEVEL}) GROUP BY 1")

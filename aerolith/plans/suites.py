@@ -231,17 +231,10 @@ _NEAR = f"""{_REACH}, {src.LEVELS_SQL}, pr AS (SELECT DISTINCT profile_no, stati
 
 
 def profile_neighbours(spark, path, most: int = 3, within_km: float = 5000.0) -> DataFrame:
-    """profile_no, neighbour, rank, km, bearing, dlat: the nearest profiles of other stations at the same time.
-
-    Stations within reach are a broadcast table of 14,280 rows at most; profiles meet by (station, time), never by distance.
-    """
-    s = src.stations(spark, path)
-    reach = spatial.neighbours(s, s, "station_no", 119).where(F.col("km") <= within_km).select(F.col("target").alias("station_no"), F.col("neighbour").alias("other"), "km", "bearing")
-    p = src.levels(spark, path).select("profile_no", "station_no", "time", "latitude").distinct()
-    b = p.select(F.col("profile_no").alias("neighbour"), F.col("station_no").alias("other"), "time", F.col("latitude").alias("lat_b"))
-    pairs = p.join(F.broadcast(reach), "station_no").join(b, ["other", "time"])
-    by = Window.partitionBy("profile_no").orderBy(F.round("km", 6), "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most).select("profile_no", "neighbour", F.col("rank").cast("long").alias("rank"), "km", "bearing", (F.col("lat_b") - F.col("latitude")).alias("dlat"))
+    """profile_no, neighbour, rank, km, bearing, dlat: the nearest profiles of other stations at the same time."""
+    p = src.levels(spark, path).select("profile_no", "station_no", "time", "latitude", "longitude").distinct()
+    near = spatial.nearest(p, p, "profile_no", most, ("time",), "station_no", within_km)
+    return near.select(F.col("target").alias("profile_no"), "neighbour", F.col("rank").cast("long").alias("rank"), "km", "bearing", (F.col("lat_b") - F.col("latitude")).alias("dlat"))
 
 
 @query("JN12", f"WITH {_NEAR} SELECT profile_no, neighbour, rank, round(km, 6) AS km, round(bearing, 5) AS bearing FROM nb WHERE rank <= 3")
