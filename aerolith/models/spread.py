@@ -24,11 +24,11 @@ def crossfitted(rows: DataFrame, features: list[str], targets: list[str], fold:
 
 
 def log_error(error: Column) -> Column:
-    return F.log(F.greatest(F.abs(error), F.lit(FLOOR)))
+    return F.when(error.isNotNull(), F.log(F.greatest(F.abs(error), F.lit(FLOOR))))
 
 
 def bounded(log_scale: Column) -> Column:
-    return F.exp(F.least(F.lit(HIGH), F.greatest(F.lit(LOW), log_scale)))
+    return F.when(log_scale.isNotNull(), F.exp(F.least(F.lit(HIGH), F.greatest(F.lit(LOW), log_scale))))
 
 
 def loglinear(rows: DataFrame, features: list[str], error: str, rounds: int = 25, tolerance: float = 1e-7) -> tuple[linear.Linear, int]:

@@ -22,11 +22,12 @@ def supervised(df: DataFrame, key: list[str], order: list[str], value: str, lags
 
 
 def forecasts(df: DataFrame, key: list[str], order: list[str], value: str, k: int, horizon: int, clip: float) -> DataFrame:
-    """persistence, recent mean of k rows, and the last value moved on by a clipped trend of k rows."""
+    """persistence, recent mean of k rows, and the last value moved on by a clipped trend of k rows; null where no row is that far back."""
     by = Window.partitionBy(*key).orderBy(*order)
     slope = (F.col(value) - F.lag(value, k).over(by)) / k
     out = df.withColumn("persistence", F.col(value)).withColumn("recent_mean", F.avg(value).over(by.rowsBetween(-(k - 1), 0)))
-    return out.withColumn("trend", F.col(value) + horizon * F.greatest(F.lit(-clip), F.least(F.lit(clip), slope))).withColumn("truth", F.lead(value, horizon).over(by))
+    clipped = F.when(slope.isNotNull(), F.greatest(F.lit(-clip), F.least(F.lit(clip), slope)))  # greatest and least pass over nulls
+    return out.withColumn("trend", F.col(value) + horizon * clipped).withColumn("truth", F.lead(value, horizon).over(by))
 
 
 def split(df: DataFrame, key: str, order: list[str], train: float, validation: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerolith.operators import ledger
 from aerolith.plans.formulas import LEVEL
 from aerolith.plans.registry import d, r6, registry
 from aerolith.plans.soundings import OBS, PRED, observed, predicted
@@ -304,16 +305,16 @@ def text_sinks(spark, path):
     return a.intersect(b)
 
 
-@query("SC11", f"WITH {src.LEVELS_SQL} SELECT strftime(time, '%Y') AS year, count(*) AS n, count(DISTINCT profile_no) AS profiles FROM lv GROUP BY 1")
+@query("SC11", f"WITH {src.LEVELS_SQL}, p AS (SELECT strftime(time, '%Y') AS year, profile_no, count(*) AS n, avg(tax) AS tax FROM lv GROUP BY ALL) SELECT year, CAST(sum(n) AS BIGINT) AS n, count(*) AS profiles, round(avg(tax), 6) AS tax FROM p GROUP BY 1")
 def incremental(spark, path):
-    """Years that are there already are left alone; the second run adds what is missing, the third nothing."""
-    rows = src.levels(spark, path).select("profile_no", F.date_format("time", "yyyy").alias("year"))
-    folder = text.scratch(spark, "years")
-    rows.where("year <= '1997'").repartition("year").write.partitionBy("year").parquet(folder)
-    for _ in range(2):
-        have = spark.read.schema("profile_no long, year string").parquet(folder).select("year").distinct()
-        rows.join(F.broadcast(have), "year", "left_anti").repartition("year").write.mode("append").partitionBy("year").parquet(folder)
-    return spark.read.schema("profile_no long, year string").parquet(folder).groupBy("year").agg(F.count("*").alias("n"), F.count_distinct("profile_no").alias("profiles"))
+    """A first run over the older months, one of them not as it is today; the second makes what is new or changed, the third nothing."""
+    rows = src.levels(spark, path).select("profile_no", "pressure_hpa", "tax", F.date_format("time", "yyyy-MM").alias("month"))
+    folder = text.scratch(spark, "months")
+    job = lambda df: df.groupBy("month", "profile_no").agg(F.count("*").alias("n"), F.avg("tax").alias("tax"))
+    before = rows.where("month < '1998-01'").withColumn("tax", F.when(F.col("month") == "1996-03", F.col("tax") + 1).otherwise(F.col("tax")))
+    for df in (before, rows, rows):
+        ledger.run(df, "month", job, {"job": "profile means", "version": 1}, folder)
+    return ledger.results(spark, folder).groupBy(F.substring("month", 1, 4).alias("year")).agg(F.sum("n").alias("n"), F.count("*").alias("profiles"), r6(F.avg("tax"), "tax"))
 
 
 @query("SC12", f"WITH {src.STATIONS_SQL} SELECT count(*) AS n, md5(string_agg(md5(station_no || ':' || CAST(latitude AS BIGINT) || ':' || CAST(longitude AS BIGINT)), '' ORDER BY station_no)) AS fingerprint, CAST(sum(CAST('0x' || substr(md5(CAST(station_no AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT) AS checksum FROM stations")

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aerolith.functions import geo, scores
-from aerolith.operators import metrics, quantiles, resampling
+from aerolith.operators import checks, metrics, quantiles, resampling
+from aerolith.plans.formulas import LEVEL
 from aerolith.plans.soundings import _SEASON, CAL, DEV, OBS, PRED, observed, predicted, r6, side_by_side
 from aerolith.sources import levels as src
 
@@ -218,13 +219,16 @@ def summary(spark, d):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_time", "last_time")})
 
 
-@query("JN1", f"""WITH {OBS}, m AS (SELECT profile_no, count(*) AS v FROM obs WHERE valid GROUP BY 1) SELECT count(*) AS n_rows, count(DISTINCT obs.profile_no) AS profiles, count(*) FILTER (m.profile_no IS NULL) AS unmatched, (SELECT count(*) - count(DISTINCT profile_no) FROM m) AS repeated_keys FROM obs LEFT JOIN m USING (profile_no)""")
-def checked_join(spark, d):
-    rows = observed(spark, d)
-    m = rows.where("valid").groupBy("profile_no").agg(F.count("*").alias("v"))
-    again = m.groupBy("profile_no").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("repeated_keys"))
-    out = rows.join(m, "profile_no", "left").agg(F.count("*").alias("n_rows"), F.count_distinct("profile_no").alias("profiles"), F.count_if(F.col("v").isNull()).alias("unmatched"))
-    return out.crossJoin(F.broadcast(again))
+@query("JN1", f"""WITH {PRED}, {src.STATIONS_SQL} SELECT p.{LEVEL}, count(*) AS n, count(DISTINCT s.station_no) AS stations, round(sqrt(avg(pow(p.correction - o.residual_total, 2))), 6) AS rmse, round(avg(s.elevation_m), 6) AS elevation_m
+FROM pred p JOIN obs o ON o.profile_no = p.profile_no AND o.{LEVEL} = p.{LEVEL} JOIN stations s ON s.station_no = p.station_no GROUP BY 1""")
+def checked_joins(spark, d):
+    """Predictions meet their reports one to one and their stations many to one; a key that comes twice, or one without a match, stops the query."""
+    p = predicted(spark, d).select("profile_no", LEVEL, "station_no", "correction")
+    o = observed(spark, d).select("profile_no", LEVEL, "residual_total")
+    both = checks.checked_join(p, o, ["profile_no", LEVEL], "one_to_one")
+    both = checks.checked_join(both, src.stations(spark, d).select("station_no", "elevation_m"), ["station_no"], "many_to_one")
+    e = F.col("correction") - F.col("residual_total")
+    return both.groupBy(LEVEL).agg(F.count("*").alias("n"), F.count_distinct("station_no").alias("stations"), r6(F.sqrt(F.avg(e * e)), "rmse"), r6(F.avg("elevation_m"), "elevation_m"))
 
 
 @query("JN3", f"""WITH {OBS}, t AS (SELECT * FROM obs WHERE valid AND time < TIMESTAMP '{DEV}'), a AS (SELECT pressure_hpa, month(time) AS m, hour(time) AS h, avg(residual_total) AS x FROM t GROUP BY ALL), b AS (SELECT pressure_hpa, avg(residual_total) AS y FROM t GROUP BY 1)
@@ -248,11 +252,21 @@ def paired_validity(spark, d):
     return a.join(b, ["profile_no", "pressure_hpa"], "full").groupBy("pressure_hpa", change.alias("change")).agg(F.count("*").alias("n"))
 
 
-@query("JN20", f"WITH {src.LEVELS_SQL}, k AS (SELECT station_no, time, count(DISTINCT CASE WHEN time < TIMESTAMP '{DEV}' THEN 1 WHEN time < TIMESTAMP '{CAL}' THEN 2 ELSE 3 END) AS phases FROM lv GROUP BY ALL) SELECT count(*) AS keys, count(*) FILTER (phases > 1) AS shared FROM k")
+#: Fixed windows of a protocol: phase, parts of the station split, first time, first time after it. The last two overlap on purpose.
+_PHASES = (("train", ("train",), "1990-01-01", DEV), ("calibration", ("train", "calibration"), DEV, CAL), ("evaluation", ("train", "calibration", "test"), "1999-06-01", "2010-01-01"), ("holdout", ("test",), "1990-01-01", "1999-07-15"))
+
+
+@query("JN20", f"""WITH {src.LEVELS_SQL}, {src.STATIONS_SQL}, r AS (SELECT station_no, row_number() OVER (ORDER BY md5('42:' || station_no), station_no) - 1 AS i, count(*) OVER () AS n FROM stations),
+s AS (SELECT station_no, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.7) + floor(n * 0.1) THEN 'calibration' ELSE 'test' END AS role FROM r),
+p(phase, role, low, high) AS (VALUES {", ".join(f"('{p}', '{r}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for p, roles, a, b in _PHASES for r in roles)}),
+k AS (SELECT DISTINCT phase, lv.station_no, time FROM lv JOIN s USING (station_no) JOIN p ON p.role = s.role AND time >= low AND time < high)
+SELECT a.phase AS left_phase, b.phase AS right_phase, count(*) AS shared FROM k a JOIN k b ON a.station_no = b.station_no AND a.time = b.time AND a.phase < b.phase GROUP BY ALL""")
 def leakage(spark, d):
-    phase = F.when(F.col("time") < _at(DEV), 1).when(F.col("time") < _at(CAL), 2).otherwise(3)
-    k = src.levels(spark, d).groupBy("station_no", "time").agg(F.count_distinct(phase).alias("phases"))
-    return k.agg(F.count("*").alias("keys"), F.count_if(F.col("phases") > 1).alias("shared"))
+    """Station-time keys that two phases of a protocol share; phases come from a station split and from time windows, so they can."""
+    split = resampling.split(src.stations(spark, d), "station_no", 42).select("station_no", "role")
+    rows = src.levels(spark, d).select("station_no", "time").join(F.broadcast(split), "station_no")  # a row a station
+    phases = {p: rows.where(F.col("role").isin(*roles) & (F.col("time") >= _at(a)) & (F.col("time") < _at(b))) for p, roles, a, b in _PHASES}
+    return checks.overlaps(phases, ["station_no", "time"])
 
 
 @query("JN21", f"WITH {OBS} SELECT o_orderkey AS profile_no FROM orders ANTI JOIN (SELECT DISTINCT profile_no FROM obs WHERE valid) v ON v.profile_no = o_orderkey")
@@ -261,10 +275,27 @@ def missing_inputs(spark, d):
     return orders.join(observed(spark, d).where("valid").select("profile_no"), "profile_no", "left_anti")
 
 
-@query("DQ6", f"""WITH {PRED} SELECT count(*) AS n, round(max(abs(error - (correction_dry - residual_dry) - (correction_wet - residual_wet))), 9) <= 1e-9 AS same, count(*) FILTER (sd <= 0) AS bad_sd FROM pred""")
+_FROZEN = f"""{PRED}, c2 AS (SELECT pressure_hpa, month(time) AS m, sum(residual_total) / count(*) AS c FROM obs WHERE valid AND NOT below_ground AND time < TIMESTAMP '{DEV}' GROUP BY ALL),
+old AS (SELECT o.profile_no, o.pressure_hpa, NOT below_ground AND surface_pressure_pa - 2000 >= o.pressure_hpa * 100 AS mask, c AS correction, tax * 20 + CAST(0.5 AS DOUBLE) + CASE WHEN o.profile_no % 97 = 0 THEN CAST(0.001 AS DOUBLE) ELSE 0 END AS sd
+  FROM obs o LEFT JOIN c2 ON c2.pressure_hpa = o.pressure_hpa AND c2.m = month(o.time) WHERE valid AND o.profile_no % 50 <> 0)"""
+
+
+@query("DQ6", f"""WITH {_FROZEN}, new AS (SELECT profile_no, pressure_hpa, true AS mask, correction, sd FROM pred),
+j AS (SELECT n.mask AS nm, o.mask AS om, coalesce(n.mask AND o.mask, false) AS use, n.correction AS nc, o.correction AS oc, n.sd AS ns, o.sd AS os FROM new n FULL JOIN old o ON n.profile_no = o.profile_no AND n.pressure_hpa = o.pressure_hpa),
+l AS (SELECT nm, om, use, unnest(['correction', 'sd']) AS "column", unnest([nc, ns]) AS x, unnest([oc, os]) AS y FROM j),
+r AS (SELECT "column", count(*) FILTER (use) AS n_common, count(*) FILTER (nm <> om) AS mask_disagreements, count(*) FILTER (om IS NULL) AS only_new, count(*) FILTER (nm IS NULL) AS only_old, max(abs(x - y)) FILTER (use) AS max_abs FROM l GROUP BY 1)
+SELECT "column", n_common, mask_disagreements, only_new, only_old, round(max_abs, 6) AS max_abs, mask_disagreements + only_new + only_old = 0 AND max_abs <= 1e-6 AS same FROM r""")
 def compare_predictions(spark, d):
-    other = F.col("error") - (F.col("correction_dry") - F.col("residual_dry")) - (F.col("correction_wet") - F.col("residual_wet"))
-    return predicted(spark, d).agg(F.count("*").alias("n"), (F.round(F.max(F.abs(other)), 9) <= 1e-9).alias("same"), F.count_if(F.col("sd") <= 0).alias("bad_sd"))
+    """Today's predictions against another set of the same rows: a stricter mask, fewer profiles, means by another formula, a few other spreads."""
+    new = predicted(spark, d).select("profile_no", "pressure_hpa", F.lit(True).alias("mask"), "correction", "sd")
+    rows = observed(spark, d).where("valid")
+    early = rows.where(~F.col("below_ground") & (F.col("time") < _at(DEV)))
+    means = early.groupBy("pressure_hpa", F.month("time").alias("m")).agg((F.sum("residual_total") / F.count("*")).alias("correction"))  # 72 rows at most
+    strict = ~F.col("below_ground") & (F.col("surface_pressure_pa") - 2000 >= F.col("pressure_hpa") * 100)
+    sd = F.col("tax") * 20 + 0.5 + F.when(F.col("profile_no") % 97 == 0, 0.001).otherwise(0.0)
+    old = rows.where("profile_no % 50 <> 0").withColumn("m", F.month("time")).join(F.broadcast(means), ["pressure_hpa", "m"], "left").select("profile_no", "pressure_hpa", strict.alias("mask"), "correction", sd.alias("sd"))
+    out = checks.compared(new, old, ["profile_no", "pressure_hpa"], "mask", ["correction", "sd"], 1e-6)
+    return out.withColumn("max_abs", F.round("max_abs", 6))
 
 
 @query("DQ13", f"""WITH {PRED}, s AS (SELECT pressure_hpa, CASE WHEN latitude >= 30 THEN 'north' WHEN latitude <= -30 THEN 'south' ELSE 'tropics' END AS region, station_no, avg(error) AS x FROM pred WHERE elevation_m < 400 GROUP BY ALL)

@@ -82,7 +82,7 @@ def supervised(spark, d):
     return rows.select("event_id", r6(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), "x_sum"), r6("y", "y"))
 
 
-@query("WN8", f"""WITH {src.SERIES_SQL}, f AS (SELECT layer, value AS p, avg(value) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS m, value + 3 * greatest(-1, least(1, (value - lag(value, 7) OVER w) / 7)) AS t, lead(value, 3) OVER w AS y FROM series WINDOW w AS (PARTITION BY station ORDER BY ts, event_id))
+@query("WN8", f"""WITH {src.SERIES_SQL}, f AS (SELECT layer, value AS p, avg(value) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS m, CASE WHEN lag(value, 7) OVER w IS NOT NULL THEN value + 3 * greatest(-1, least(1, (value - lag(value, 7) OVER w) / 7)) END AS t, lead(value, 3) OVER w AS y FROM series WINDOW w AS (PARTITION BY station ORDER BY ts, event_id))
 SELECT layer, count(*) AS n, round(sqrt(avg(pow(p - y, 2))), 6) AS persistence, round(sqrt(avg(pow(m - y, 2))), 6) AS recent_mean, round(sqrt(avg(pow(t - y, 2))), 6) AS trend FROM f WHERE y IS NOT NULL AND t IS NOT NULL GROUP BY 1""")
 def simple_forecasts(spark, d):
     rows = sequences.forecasts(src.series(spark, d), ["station"], ["ts", "event_id"], "value", 7, 3, 1.0).where("truth IS NOT NULL AND trend IS NOT NULL")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import feature_sets, scores
 from aerolith.models import boosting, linear, spread
-from aerolith.operators import sequences
+from aerolith.operators import checks, sequences
 from aerolith.operators.quantiles import quantiles
 from aerolith.plans.formulas import LEVEL
 from aerolith.plans.registry import d, r6, registry
@@ -87,8 +87,8 @@ def clipped(rows: DataFrame, guess: Column, training: DataFrame) -> DataFrame:
     """rows with raw (the guess) and guess, which is kept within quantiles of what each level showed in training; bounds are a row a level."""
     q = quantiles(training, F.col("residual_total"), [LEVEL], list(CLIP)).groupBy(F.col(LEVEL).alias("__level")).agg(*(F.max(F.when(F.col("k") == k, F.col("q"))).alias(c) for k, c in enumerate(("__low", "__high"))))
     both = rows.join(F.broadcast(q), rows[LEVEL] == q["__level"], "left").withColumn("raw", guess)
-    inside = F.least(F.col("__high"), F.greatest(F.col("__low"), F.col("raw")))
-    return both.withColumn("guess", F.coalesce(inside, "raw")).drop("__level", "__low", "__high")
+    inside = F.least(F.col("__high"), F.greatest(F.col("__low"), F.col("raw")))  # which pass over nulls: a level without bounds keeps its guess
+    return both.withColumn("guess", F.when(F.col("raw").isNotNull(), inside)).drop("__level", "__low", "__high")
 
 
 @unmatched("ML4")
@@ -229,7 +229,7 @@ def agreed(rows: DataFrame, a: Column, b: Column, tolerance: float = 1e-9) -> Da
     """rows; reading any in which a and b differ by more than tolerance, or one alone is null, raises. The check runs in the pass that reads a row, no earlier and no extra one."""
     ok = F.coalesce(F.abs(a - b) <= tolerance, a.isNull() & b.isNull())
     shown = (F.coalesce(c.cast("string"), F.lit("null")) for c in (a, b))
-    return rows.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("boosted means differ: "), F.concat_ws(" and ", *shown))).cast("boolean")))
+    return checks.required(rows, ok, F.concat(F.lit("boosted means differ: "), F.concat_ws(" and ", *shown)))
 
 
 @unmatched("ML15")

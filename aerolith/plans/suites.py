@@ -21,6 +21,7 @@ from aerolith.plans.soundings import CAL, DEV, OBS, PRED, observed, predicted
 from aerolith.sources import levels as src
 from aerolith.sources import text
 from aerolith.streaming import series as streams
+from aerolith.streaming import state
 
 Q, SQL, query = registry()
 #: Correlation of neighbouring levels in the queries; it falls by this factor a level.
@@ -404,6 +405,14 @@ def rolling_means(spark, path):
     return streams.rolling(src.series(spark, path)).select("station", F.col("until").cast("timestamp_ntz").alias("until"), "n", r6("value", "value"))
 
 
+@query("ST5_last_rows", f"""WITH {src.SERIES_SQL}, f AS (SELECT station, event_id, value, avg(value) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m, CASE WHEN lag(value, 5) OVER w IS NOT NULL THEN value + 2 * greatest(-1, least(1, (value - lag(value, 5) OVER w) / 5)) END AS t FROM series WINDOW w AS (PARTITION BY station ORDER BY ts, event_id))
+SELECT station, event_id, round(value, 6) AS value, round(m, 6) AS recent_mean, round(t, 6) AS trend FROM f""")
+def last_rows(spark, path):
+    """The batch form; on a stream the same function keeps state and timers, and its test compares both."""
+    rows = state.last_rows(src.series(spark, path), 5, 2)
+    return rows.select("station", "event_id", *(r6(c, c) for c in ("value", "recent_mean", "trend")))
+
+
 @query("ST1", fields.SQL["JN4"])
 def collocated(spark, path):
     """Reports are collocated with the field as their files come; a run takes the new ones."""

@@ -53,3 +53,38 @@ def test_incremental_runs_take_new_files_only(spark, sf, tmp_path):
         jobs.incremental(spark.readStream.schema(rows.schema).parquet(come), job, out, state)
     assert len(seen) == 2 and sum(seen) == rows.count()
     assert spark.read.parquet(out).drop("batch").exceptAll(rows).isEmpty()
+
+
+def test_last_rows_over_batches_late_rows_and_a_restart(spark, sf, tmp_path):
+    """Keyed state: rows come out of order in four batches with a restart between; what the watermark has passed is dropped, the rest equals the batch form."""
+    import pytest
+
+    from aerolith.streaming import state
+
+    rows = src.series(spark, sf).select("station", "ts", "event_id", "value").where("station < 12")
+    with pytest.raises(ValueError, match="RocksDB"):
+        state.last_rows(spark.readStream.schema(rows.schema).parquet(str(tmp_path)), 3)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, state.ROCKSDB)
+    try:
+        come, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
+        found = rows.orderBy("ts").collect()
+        cut = [found[0].ts + (found[-1].ts - found[0].ts) * k / 3 for k in range(4)]
+        parts = [[r for r in found if cut[k] <= r.ts < cut[k + 1] or k == 2 and r.ts == cut[3]] for k in range(3)]
+        parts[1].append(parts[0].pop(len(parts[0]) - 1))  # late by less than a day: it still counts
+        gone = parts[0].pop(0)
+        parts[2].append(gone)  # far too late
+        end = [(s, found[-1].ts.replace(year=found[-1].ts.year + 1), -1 - s, 0.0) for s in range(12)]
+        for k, part in enumerate([*parts, end]):
+            spark.createDataFrame(part, rows.schema).repartition(3).write.mode("append").parquet(come)
+            stream = spark.readStream.schema(rows.schema).parquet(come)
+            q = state.last_rows(stream, 3, 2).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)  # each run is a restart
+            q.awaitTermination(200)
+            assert q.exception() is None, k
+        got = sorted(map(tuple, spark.read.parquet(out).where("event_id >= 0").collect()), key=lambda r: r[2])
+        want = sorted(map(tuple, state.last_rows(rows.where(F.col("event_id") != gone.event_id), 3, 2).collect()), key=lambda r: r[2])
+        near = lambda rs: [(*r[:4], *(None if x is None else round(x, 9) for x in r[4:])) for r in rs]
+        assert len(got) == len(want) > 20 and near(got) == near(want)
+    finally:
+        spark.conf.set(name, before)
