@@ -1,17 +1,11 @@
-"""Splits, folds and bootstraps as relational plans with hash draws, so that any engine can repeat them."""
+"""Splits and folds in the order of hashes, so that any engine can repeat them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def draw(*parts: Column, of: Column) -> Column:
-    """A number below of from the MD5 of parts."""
-    text = F.concat_ws(":", *(p.cast("string") for p in parts))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % of
-
-
 def split(stations: DataFrame, key: str, seed: int, train: float = 0.7, calibration: float = 0.1) -> DataFrame:
     """Adds role: stations in hash order, cut at whole numbers of stations. One row per station, so one sort of a small table."""
     by = Window.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
@@ -23,21 +17,3 @@ def split(stations: DataFrame, key: str, seed: int, train: float = 0.7, calibrat
 def folds(stations: DataFrame, key: str, seed: int, k: int) -> DataFrame:
     by = Window.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
     return stations.withColumn("fold", (F.row_number().over(by) - 1) % k)
-
-
-def resampled(units: DataFrame, sums: list[str], replicates: int, seed: int) -> DataFrame:
-    """replicate and the sums over as many drawn units as there are. units: one row per cluster, its sums in columns.
-
-    Draws are a table of (replicate, slot); each meets its unit by a join on the unit's number.
-    """
-    by = Window.orderBy("unit")
-    numbered = units.withColumn("slot_of", F.row_number().over(by) - 1)
-    count = units.agg(F.count("*").alias("k"))
-    spark = units.sparkSession
-    slots = spark.range(replicates).withColumnRenamed("id", "replicate").crossJoin(F.broadcast(numbered.select(F.col("slot_of").alias("slot"))))
-    draws = slots.crossJoin(F.broadcast(count)).withColumn("slot_of", draw(F.lit(seed), F.col("replicate"), F.col("slot"), of=F.col("k")))
-    return draws.join(F.broadcast(numbered), "slot_of").groupBy("replicate").agg(*(F.sum(c).alias(c) for c in sums), F.count("*").alias("n_units"))
-
-
-def interval(replicates: DataFrame, value: Column) -> DataFrame:
-    return replicates.agg(F.percentile(value, F.lit(0.025)).alias("low"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.975)).alias("high"), F.count(value).alias("replicates"))

@@ -313,15 +313,6 @@ def grid_coverage(spark, d):
     return expected.join(s.withColumn("there", F.lit(1)), "t", "left").agg(F.count("*").alias("expected"), F.count("there").alias("found"), F.count_if(F.col("there").isNull()).alias("missing"))
 
 
-@query("RS6", f"""WITH {PRED}, u AS (SELECT station_no, avg(error) AS v FROM pred GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY station_no) - 1 AS i FROM u),
-w AS (SELECT b, CAST('0x' || substr(md5('5:' || b || ':' || s), 1, 8) AS BIGINT) % (SELECT count(*) FROM u) AS i FROM range(300) x(b), (SELECT i AS s FROM k)), e AS (SELECT b, avg(v) AS x FROM w JOIN k USING (i) GROUP BY 1)
-SELECT round(quantile_cont(x, 0.025), 6) AS low, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.975), 6) AS high, count(*) AS replicates FROM e""")
-def mean_bootstrap(spark, d):
-    units = predicted(spark, d).groupBy(F.col("station_no").alias("unit")).agg(F.avg("error").alias("v"))
-    out = resampling.interval(resampling.resampled(units, ["v"], 300, 5), F.col("v") / F.col("n_units"))
-    return out.select(r6("low", "low"), r6("mean", "mean"), r6("high", "high"), "replicates")
-
-
 @query("SL5", f"WITH {src.STATIONS_SQL}, r AS (SELECT station_no, row_number() OVER (ORDER BY station_no) - 1 AS i, count(*) OVER () AS n FROM stations) SELECT station_no FROM r WHERE i IN (SELECT CAST(floor(k * (n - 1) / 11.0) AS BIGINT) FROM range(12) t(k))")
 def spaced(spark, d):
     """A sampling operator: twelve evenly spaced stations of a table with one row per station."""

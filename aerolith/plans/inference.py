@@ -14,7 +14,7 @@ from aerolith.sources import levels as src
 
 Q, SQL, query = registry()
 #: Replicates of the queries.
-REPLICATES = 1000
+REPLICATES = 10_000
 
 
 def draws(units: DataFrame, unit: str, seed: int, replicates: int = REPLICATES, within: tuple[str, ...] = ()) -> DataFrame:
@@ -23,9 +23,16 @@ def draws(units: DataFrame, unit: str, seed: int, replicates: int = REPLICATES,
     Each unit counts its draws by itself, as many as a Poisson variable of mean one from its own hash, so no draw has to
     find its unit: no join, no numbering of units, no place that has to know them all.
     """
+    # Units are few rows in few tasks by now: stretches of replicates are dealt out first, each then counts its own.
+    parts = max(1, min(64, replicates // 100))
+    ends = [replicates * k // parts for k in range(parts + 1)]
+    stretches = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b - 1).alias("b")) for a, b in zip(ends, ends[1:], strict=False))))
+    dealt = units.withColumn("__part", stretches).repartition(parts, "__part")
+    each = dealt.withColumn("replicate", F.explode(F.sequence("__part.a", "__part.b"))).drop("__part")
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "replicate", *(F.col(c).cast("string") for c in (*within, unit)))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    times = sum((F.when(u >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
-    return units.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("times", times).where("times > 0")
+    times = sum((F.when(F.col("__u") >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
+    # Generated, not projected: what follows doesn't compute the hash again for each of its bounds.
+    return each.withColumn("__u", F.explode(F.array(u))).withColumn("times", times).where("times > 0").drop("__u")
 
 
 #: The Poisson distribution of mean one, below 1, 2, 3 and so on.
@@ -62,6 +69,19 @@ _DELTA = "sqrt(sum(times * m) / sum(times * n)) - sqrt(sum(times * g) / sum(time
 _UNITS = f"{PRED}, u AS (SELECT station_no, {_SUMS} FROM pred GROUP BY 1)"
 
 
+@query("RS6", f"""WITH {PRED}, u AS (SELECT station_no, avg(error) AS v FROM pred GROUP BY 1), b AS (SELECT replicate, sum(times * v) / sum(times) AS x FROM {draws_sql('u', 'station_no', 5)} GROUP BY 1) SELECT {_LIMITS} FROM b""")
+def mean_bootstrap(spark, path):
+    u = predicted(spark, path).groupBy("station_no").agg(F.avg("error").alias("v"))
+    b = draws(u, "station_no", 5).groupBy("replicate").agg((total("v") / F.sum("times")).alias("x"))
+    return limits(b, F.col("x"))
+
+
+@query("RS7", f"WITH {_UNITS}, b AS (SELECT replicate, {_DELTA} AS x FROM {draws_sql('u', 'station_no', 17)} GROUP BY 1) SELECT {_LIMITS} FROM b")
+def ratio_bootstrap(spark, path):
+    """Sums of stations are drawn and pooled, then divided."""
+    return limits(draws(sums(predicted(spark, path), "station_no"), "station_no", 17).groupBy("replicate").agg(delta().alias("x")), F.col("x"))
+
+
 @query("RS8", f"""WITH {_UNITS}, b AS (SELECT replicate, {_DELTA} AS rmse, sum(times * a) / sum(times * n) AS mae, sum(times * s) / sum(times * n) AS bias, sum(times * sqrt(m / n)) / sum(times) AS station_rmse FROM {draws_sql('u', 'station_no', 8)} GROUP BY 1),
 l AS (UNPIVOT (SELECT rmse, mae, bias, station_rmse FROM b) ON rmse, mae, bias, station_rmse INTO NAME metric VALUE x) SELECT metric, {_LIMITS} FROM l GROUP BY 1""")
 def paired_bootstrap(spark, path):
@@ -72,43 +92,43 @@ def paired_bootstrap(spark, path):
     return limits(b.unpivot(["replicate"], ["rmse", "mae", "bias", "station_rmse"], "metric", "x"), F.col("x"), "metric")
 
 
-@query("RS9", f"""WITH {PRED}, u AS (SELECT station_no, month(time) AS m_no, {_SUMS} FROM pred GROUP BY ALL), s AS (SELECT replicate, station_no, times AS outer_times FROM {draws_sql('(SELECT DISTINCT station_no FROM u)', 'station_no', 9, 300)}),
-c AS (SELECT replicate, station_no, m_no, times AS inner_times, n, m, g FROM {draws_sql('u', "station_no || ':' || m_no", 90, 300)}), t AS (SELECT replicate, inner_times * outer_times AS times, n, m, g FROM c JOIN s USING (replicate, station_no)),
+@query("RS9", f"""WITH {PRED}, u AS (SELECT station_no, month(time) AS m_no, {_SUMS} FROM pred GROUP BY ALL), s AS (SELECT replicate, station_no, times AS outer_times FROM {draws_sql('(SELECT DISTINCT station_no FROM u)', 'station_no', 9)}),
+c AS (SELECT replicate, station_no, m_no, times AS inner_times, n, m, g FROM {draws_sql('u', "station_no || ':' || m_no", 90)}), t AS (SELECT replicate, inner_times * outer_times AS times, n, m, g FROM c JOIN s USING (replicate, station_no)),
 b AS (SELECT replicate, {_DELTA} AS x FROM t GROUP BY 1) SELECT {_LIMITS} FROM b""")
 def hierarchical_bootstrap(spark, path):
     """Stations, then months within each drawn station: the times of both multiply."""
     cells = sums(predicted(spark, path).withColumn("m_no", F.month("time")), "station_no", "m_no")
-    inner = draws(cells, "m_no", 90, 300, within=("station_no",)).withColumnRenamed("times", "inner")
-    both = draws(inner.select("station_no").distinct(), "station_no", 9, 300).withColumnRenamed("times", "outer")
+    inner = draws(cells, "m_no", 90, within=("station_no",)).withColumnRenamed("times", "inner")
+    both = draws(inner.select("station_no").distinct(), "station_no", 9).withColumnRenamed("times", "outer")
     rows = inner.join(both, ["replicate", "station_no"]).withColumn("times", F.col("inner") * F.col("outer"))
     return limits(rows.groupBy("replicate").agg(delta().alias("x")), F.col("x"))
 
 
 @query("RS10", f"""WITH {PRED}, k AS (SELECT unnest(['station', 'month', 'day', 'archive']) AS kind, unnest([CAST(station_no AS VARCHAR), strftime(time, '%Y-%m'), strftime(time, '%m-%d'), pressure_flag || temperature_flag]) AS unit, error, residual_total FROM pred),
-u AS (SELECT kind, unit, {_SUMS} FROM k GROUP BY ALL), b AS (SELECT kind, replicate, {_DELTA} AS x FROM {draws_sql('u', "kind || ':' || unit", 10, 300)} GROUP BY ALL) SELECT kind, {_LIMITS} FROM b GROUP BY 1""")
+u AS (SELECT kind, unit, {_SUMS} FROM k GROUP BY ALL), b AS (SELECT kind, replicate, {_DELTA} AS x FROM {draws_sql('u', "kind || ':' || unit", 10)} GROUP BY ALL) SELECT kind, {_LIMITS} FROM b GROUP BY 1""")
 def units_bootstrap(spark, path):
     """One operator, four units: every row goes to its unit of each kind once, sums are resampled."""
     units = {"station": F.col("station_no").cast("string"), "month": F.date_format("time", "yyyy-MM"), "day": F.date_format("time", "MM-dd"), "archive": F.concat("pressure_flag", "temperature_flag")}
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), u.alias("unit")) for k, u in units.items())))
     rows = predicted(spark, path).select(kinds.alias("k"), "error", "residual_total").select("k.*", "error", "residual_total")
-    return limits(draws(sums(rows, "kind", "unit"), "unit", 10, 300, within=("kind",)).groupBy("kind", "replicate").agg(delta().alias("x")), F.col("x"), "kind")
+    return limits(draws(sums(rows, "kind", "unit"), "unit", 10, within=("kind",)).groupBy("kind", "replicate").agg(delta().alias("x")), F.col("x"), "kind")
 
 
 @query("RS11", f"""WITH {PRED}, k AS (SELECT unnest(['level', 'flag']) AS grouping_, unnest([CAST({LEVEL} AS VARCHAR), pressure_flag]) AS grp, station_no, error, residual_total FROM pred), u AS (SELECT grouping_, grp, station_no, {_SUMS} FROM k GROUP BY ALL),
-b AS (SELECT grouping_, grp, replicate, {_DELTA} AS x FROM {draws_sql('u', "station_no", 11, 300)} GROUP BY ALL) SELECT grouping_ AS grouping, grp AS "group", {_LIMITS} FROM b GROUP BY grouping_, grp""")
+b AS (SELECT grouping_, grp, replicate, {_DELTA} AS x FROM {draws_sql('u', "station_no", 11)} GROUP BY ALL) SELECT grouping_ AS grouping, grp AS "group", {_LIMITS} FROM b GROUP BY grouping_, grp""")
 def grouped_bootstrap(spark, path):
     groups = F.explode(F.array(F.struct(F.lit("level").alias("grouping"), F.col(LEVEL).cast("string").alias("group")), F.struct(F.lit("flag").alias("grouping"), F.col("pressure_flag").alias("group"))))
     rows = predicted(spark, path).select(groups.alias("k"), "station_no", "error", "residual_total").select("k.*", "station_no", "error", "residual_total")
-    b = draws(sums(rows, "grouping", "group", "station_no"), "station_no", 11, 300).groupBy("grouping", "group", "replicate").agg(delta().alias("x"))
+    b = draws(sums(rows, "grouping", "group", "station_no"), "station_no", 11).groupBy("grouping", "group", "replicate").agg(delta().alias("x"))
     return limits(b, F.col("x"), "grouping", "group")
 
 
 @query("RS12", f"""WITH {PRED}, u AS (SELECT CAST(time AS DATE) AS day, count(*) AS n, sum(CASE WHEN abs(error) <= sd * {d(1.64485362695147)} THEN 1 ELSE 0 END) AS inside, sum(pow(error / sd, 2) / 2 + ln(sd)) AS nll FROM pred GROUP BY 1),
-b AS (SELECT replicate, sum(times * inside) / sum(times * n) AS coverage, sum(times * nll) / sum(times * n) AS nll FROM {draws_sql('u', "day", 12, 200)} GROUP BY 1), l AS (UNPIVOT (SELECT CAST(coverage AS DOUBLE) AS coverage, nll FROM b) ON coverage, nll INTO NAME metric VALUE x) SELECT metric, {_LIMITS} FROM l GROUP BY 1""")
+b AS (SELECT replicate, sum(times * inside) / sum(times * n) AS coverage, sum(times * nll) / sum(times * n) AS nll FROM {draws_sql('u', "day", 12)} GROUP BY 1), l AS (UNPIVOT (SELECT CAST(coverage AS DOUBLE) AS coverage, nll FROM b) ON coverage, nll INTO NAME metric VALUE x) SELECT metric, {_LIMITS} FROM l GROUP BY 1""")
 def score_bootstrap(spark, path):
     e, s = F.col("error"), F.col("sd")
     u = predicted(spark, path).groupBy(F.to_date("time").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.abs(e) <= s * 1.64485362695147).alias("inside"), F.sum(F.pow(e / s, F.lit(2)) / 2 + F.log(s)).alias("nll"))
-    b = draws(u, "day", 12, 200).groupBy("replicate").agg((total("inside") / total("n")).alias("coverage"), (total("nll") / total("n")).alias("nll"))
+    b = draws(u, "day", 12).groupBy("replicate").agg((total("inside") / total("n")).alias("coverage"), (total("nll") / total("n")).alias("nll"))
     return limits(b.unpivot(["replicate"], ["coverage", "nll"], "metric", "x"), F.col("x"), "metric")
 
 

@@ -466,16 +466,6 @@ def leave_one_out(spark, d):
 _DRAW = "CAST('0x' || substr(md5('17:' || b || ':' || s), 1, 8) AS BIGINT)"
 
 
-@query("RS7", f"""WITH {PRED}, u AS (SELECT station_no, count(*) AS n, sum(error * error) AS m, sum(residual_total * residual_total) AS g FROM pred GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY station_no) - 1 AS i, count(*) OVER () AS k FROM u),
-w AS (SELECT b, {_DRAW} % (SELECT count(*) FROM u) AS i FROM range(200) x(b), (SELECT i AS s FROM k)), e AS (SELECT b, sqrt(sum(m) / sum(n)) - sqrt(sum(g) / sum(n)) AS x FROM w JOIN k USING (i) GROUP BY 1)
-SELECT round(quantile_cont(x, 0.025), 6) AS low, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.975), 6) AS high, count(*) AS replicates FROM e""")
-def ratio_bootstrap(spark, d):
-    e, g = F.col("error"), F.col("residual_total")
-    units = predicted(spark, d).groupBy(F.col("station_no").alias("unit")).agg(F.count("*").alias("n"), F.sum(e * e).alias("m"), F.sum(g * g).alias("g"))
-    out = resampling.interval(resampling.resampled(units, ["n", "m", "g"], 200, 17), F.sqrt(F.col("m") / F.col("n")) - F.sqrt(F.col("g") / F.col("n")))
-    return _rounded(out)
-
-
 @query("RS4", f"""WITH {src.STATIONS_SQL}, r AS (SELECT station_no, row_number() OVER (ORDER BY md5('42:' || station_no), station_no) - 1 AS i, count(*) OVER () AS n FROM stations)
 SELECT station_no, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.7) + floor(n * 0.1) THEN 'calibration' ELSE 'test' END AS role FROM r""")
 def station_split(spark, d):
