@@ -99,11 +99,10 @@ def integral(df: DataFrame, value: str, least: int = 3) -> DataFrame:
 def at_heights(df: DataFrame, value: str, heights: list[int]) -> DataFrame:
     """value interpolated linearly in height to target heights, inside the profile's range only.
 
-    A target meets its bracket by a join on the profile; a segment holds its lower end, the last one also its upper end.
+    Each segment lists the targets that it holds, so nothing is joined; it holds its lower end, the last one also its upper end.
     """
-    by = Window.partitionBy(PROFILE)
-    segments = steps(df, value, "height_m").withColumn("top", F.max("x_hi").over(by))
-    aims = df.sparkSession.range(1).select(F.explode(F.array(*(F.lit(float(h)) for h in heights))).alias("height"))
-    inside = (F.col("height") >= F.col("x_lo")) & ((F.col("height") < F.col("x_hi")) | ((F.col("height") == F.col("top")) & (F.col("x_hi") == F.col("top"))))
+    segments = steps(df, value, "height_m").withColumn("top", F.max("x_hi").over(Window.partitionBy(PROFILE))).where("x_hi > x_lo")
+    aims = F.array(*(F.lit(float(h)) for h in heights))
+    held = F.filter(aims, lambda h: (h >= F.col("x_lo")) & ((h < F.col("x_hi")) | ((h == F.col("top")) & (F.col("x_hi") == F.col("top")))))
     f = (F.col("height") - F.col("x_lo")) / (F.col("x_hi") - F.col("x_lo"))
-    return segments.where("x_hi > x_lo").join(F.broadcast(aims), inside).select(PROFILE, "height", (F.col("y_lo") + f * (F.col("y_hi") - F.col("y_lo"))).alias("value"))
+    return segments.withColumn("height", F.explode(held)).select(PROFILE, "height", (F.col("y_lo") + f * (F.col("y_hi") - F.col("y_lo"))).alias("value"))

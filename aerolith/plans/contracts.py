@@ -271,14 +271,11 @@ def metric_files(spark, path):
     """A file a run, one of them without a column and one without rows, read together and tagged by path."""
     rows = predicted(spark, path).groupBy(F.col("pressure_flag").alias("run"), LEVEL).agg(F.count("*").alias("n"), rmse("error").alias("rmse"), F.avg("error").alias("bias"))
     folder = text.scratch(spark, "metrics")
-    rows = rows.persist()
-    for run in ("A", "N", "R", "none"):
-        some = rows.where(F.col("run") == run).drop("run")
-        (some.drop("bias") if run == "A" else some).coalesce(1).write.json(f"{folder}/run_{run}")
-    rows.unpersist()
+    rows.withColumn("bias", F.when(F.col("run") != "A", F.col("bias"))).repartition("run").write.partitionBy("run").json(folder)  # a null isn't written, so A's file lacks the column
+    rows.limit(0).drop("run").coalesce(1).write.json(f"{folder}/run=none")
     schema = f"{LEVEL} long, n long, rmse double, bias double"
-    found = spark.read.schema(schema).json([f"{folder}/run_{r}" for r in ("A", "N", "R", "none")])
-    run = F.regexp_extract(F.col("_metadata.file_path"), "run_([A-Za-z]+)/", 1)
+    found = spark.read.schema(schema).json([f"{folder}/run={r}" for r in ("A", "N", "R", "none")])
+    run = F.regexp_extract(F.col("_metadata.file_path"), "run=([A-Za-z]+)/", 1)
     return found.groupBy(run.alias("run")).agg(F.count("*").alias("rows"), r6(F.avg("rmse"), "rmse"), r6(F.avg("bias"), "bias"))
 
 

@@ -199,26 +199,27 @@ def four_dimensions(spark, path):
     return e.join(grid, ["t", "l", "a", "o"], "left").groupBy("id").agg(F.when(found > 1 - 1e-9, F.round(F.sum(F.col("w") * F.col("v")), 6)).alias("value"))
 
 
-_LATTICE = f"pts AS (SELECT (i * 18 + j) AS id, t, -80 + i * {d(20.0)} AS lat, 10 + j * {d(20.0)} AS lon FROM (SELECT DISTINCT CAST(floor(tpos) AS BIGINT) AS t FROM targets), range(9) x(i), range(18) y(j))"
+_LATTICE = f"pts AS (SELECT (i * 18 + j) AS id, t, -80 + i * {d(20.0)} AS lat, 10 + j * {d(20.0)} AS lon FROM (SELECT DISTINCT t FROM field), range(9) x(i), range(18) y(j))"
 
 
-@query("JN25", f"WITH {src.TARGETS_SQL}, {src.GRID_SQL}, {_LATTICE}, {_cells_sql('pts')} SELECT cells.t, id, round(sum(w * v), 6) AS value FROM cells JOIN grid USING (t, a, o) GROUP BY ALL")
+@query("JN25", f"WITH {src.FIELD_SQL}, {_LATTICE}, {_cells_sql('pts')} SELECT cells.t, id, round(sum(w * v), 6) AS value FROM cells JOIN field USING (t, a, o) GROUP BY ALL HAVING count(*) = 4")
 def regrid(spark, path):
-    """The other grid's cells are points; the times are those that reports have."""
-    times = src.targets(spark, path).select(F.floor("tpos").alias("t")).distinct()
-    points = times.select("t", F.explode(F.sequence(F.lit(0), F.lit(161))).alias("id"))
+    """The other grid's cells are points, at each time that the field has; a point has a value where all four cells around it do."""
+    field = src.field(spark, path)
+    points = field.select("t").distinct().select("t", F.explode(F.sequence(F.lit(0), F.lit(161))).alias("id"))
     points = points.select("t", "id", (F.lit(-80.0) + F.floor(F.col("id") / 18) * 20.0).alias("lat"), (F.lit(10.0) + F.col("id") % 18 * 20.0).alias("lon"))
-    return spatial.bilinear(points, src.grid(spark)).select("t", F.col("id").cast("long").alias("id"), r6("value", "value"))
+    cells = points.select("id", "t", F.explode(spatial.corners(F.col("lat"), F.col("lon"))).alias("c")).select("id", "t", "c.*")
+    found = cells.join(field, ["t", "a", "o"]).groupBy("t", "id").agg(F.count("*").alias("n"), F.sum(F.col("w") * F.col("v")).alias("value")).where("n = 4")
+    return found.select("t", F.col("id").cast("long").alias("id"), r6("value", "value"))
 
 
-@query("SC6", f"WITH {src.TARGETS_SQL}, {src.GRID_SQL} SELECT t, 6 - a AS i_lat, (o + 6) % 12 AS i_lon, CAST(90 - 30 * a AS DOUBLE) AS latitude, CAST((o * 30 + 180) % 360 - 180 AS DOUBLE) AS longitude, round(v, 6) AS value FROM grid WHERE t IN (SELECT CAST(floor(tpos) AS BIGINT) FROM targets)")
+@query("SC6", f"WITH {src.FIELD_SQL} SELECT t, 6 - a AS i_lat, (o + 6) % 12 AS i_lon, CAST(90 - 30 * a AS DOUBLE) AS latitude, CAST((o * 30 + 180) % 360 - 180 AS DOUBLE) AS longitude, round(v, 6) AS value FROM field")
 def field_as_table(spark, path):
-    """A field that arrives as one array of rows a time becomes rows: names resolved, longitudes from -180, coordinates ascending."""
-    times = src.targets(spark, path).select(F.floor("tpos").alias("t")).distinct()
-    cell = F.struct("a", "o", "v")
-    arrays = src.grid(spark).join(F.broadcast(times), "t", "left_semi").groupBy(F.col("t").alias("valid_time")).agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["v"]).alias("refractivity"))  # 84 cells a time
+    """A field that arrives as one array of rows a time becomes rows: names resolved, longitudes from -180, coordinates ascending, cells without a value left out."""
+    cells = F.transform(F.sequence(F.lit(0), F.lit(83)), lambda k: F.element_at(F.map_from_entries(F.collect_list(F.struct((F.col("a") * 12 + F.col("o")).cast("int").alias("k"), "v"))), k))
+    arrays = src.field(spark, path).groupBy(F.col("t").alias("valid_time")).agg(cells.alias("refractivity"))  # 84 cells a time
     names = {"valid_time": "t", "refractivity": "v"}
-    rows = arrays.withColumnsRenamed({k: v for k, v in names.items() if k in arrays.columns}).select("t", F.posexplode("v").alias("k", "value"))
+    rows = arrays.withColumnsRenamed({k: v for k, v in names.items() if k in arrays.columns}).select("t", F.posexplode("v").alias("k", "value")).where("value IS NOT NULL")
     a, o = F.floor(F.col("k") / 12), F.col("k") % 12
     return rows.select(
         "t", (6 - a).cast("long").alias("i_lat"), ((o + 6) % 12).cast("long").alias("i_lon"), (90 - 30 * a).cast("double").alias("latitude"), geo.wrapped(o * 30).cast("double").alias("longitude"), r6("value", "value")

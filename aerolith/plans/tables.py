@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aerolith.functions import geo
-from aerolith.operators import resampling, sequences
+from aerolith.operators import protocols, resampling, sequences, spatial
 from aerolith.plans.soundings import CAL, DEV, OBS, PRED, observed, predicted, r6
 from aerolith.sources import levels as src
 
@@ -36,13 +36,25 @@ def aliases(spark, d):
     return rows.select(*names).withColumnsRenamed(names).withColumn("t", F.round("t", 6))
 
 
-@query("PF3", f"""WITH {src.LEVELS_SQL}, m AS (SELECT profile_no, pressure_hpa * CASE WHEN profile_no % 2 = 0 THEN 100 ELSE 1 END AS p FROM lv), k AS (SELECT profile_no, median(p) AS med FROM m GROUP BY 1)
-SELECT profile_no, round(sum(CASE WHEN med > 2000 THEN p / 100.0 ELSE p END), 6) AS pressure_sum FROM m JOIN k USING (profile_no) GROUP BY 1""")
+_UNITS = f"""{src.LEVELS_SQL}, x AS (SELECT profile_no, profile_no % 3 AS k, CAST(pressure_hpa AS DOUBLE) * CASE profile_no % 3 WHEN 0 THEN 1 ELSE 100 END AS p, temperature_k - CASE profile_no % 3 WHEN 0 THEN 0 ELSE CAST(273.15 AS DOUBLE) END AS t,
+  q * CASE profile_no % 3 WHEN 0 THEN 1 ELSE 1000 END AS h, height_m / CASE profile_no % 3 WHEN 0 THEN 1 ELSE CAST(1000 AS DOUBLE) END AS z FROM lv),
+m AS (SELECT *, k = 1 AS told, median(p) OVER w AS mp, median(t) OVER w AS mt, quantile_cont(h, 0.95) OVER w AS mh, median(abs(z)) OVER w AS mz FROM x WINDOW w AS (PARTITION BY profile_no))"""
+
+
+@query("PF3", f"""WITH {_UNITS} SELECT profile_no, round(sum(CASE WHEN told OR mp > 2000 THEN p / 100 ELSE p END), 4) AS p, round(sum(CASE WHEN told OR mt < 100 THEN t + CAST(273.15 AS DOUBLE) ELSE t END), 4) AS t,
+round(sum(CASE WHEN told OR mh > 0.2 THEN h / 1000 ELSE h END), 6) AS h, round(sum(CASE WHEN told OR mz < 200 THEN z * 1000 ELSE z END), 4) AS z FROM m GROUP BY 1""")
 def units(spark, d):
-    p = src.levels(spark, d).select("profile_no", (F.col("pressure_hpa") * F.when(F.col("profile_no") % 2 == 0, 100).otherwise(1)).alias("p"))
-    middle = F.median("p").over(Window.partitionBy("profile_no"))
-    hpa = p.withColumn("hpa", F.when(middle > 2000, F.col("p") / 100).otherwise(F.col("p")))
-    return hpa.groupBy("profile_no").agg(r6(F.sum("hpa"), "pressure_sum"))
+    """A third of the profiles is in the right units and says so, a third in others and says so, a third in others and says nothing."""
+    k = F.col("profile_no") % 3
+    other = lambda a, b: F.when(k == 0, a).otherwise(b)
+    told = lambda right, wrong: F.when(k == 0, right).when(k == 1, wrong)
+    rows = src.levels(spark, d).select(
+        "profile_no", (F.col("pressure_hpa").cast("double") * other(1, 100)).alias("p"), (F.col("temperature_k") - other(0.0, 273.15)).alias("t"), (F.col("q") * other(1, 1000)).alias("h"), (F.col("height_m") / other(1.0, 1000.0)).alias("z"),
+        told("hPa", "Pa").alias("p_unit"), told("K", "deg C").alias("t_unit"), told("kg/kg", "g / kg").alias("h_unit"), told("m", "km").alias("z_unit"),
+    )
+    kinds = {"p": "pressure", "t": "temperature", "h": "humidity", "z": "height"}
+    right = rows.select("profile_no", *(protocols.converted(F.col(c), F.col(f"{c}_unit"), kind, ["profile_no"]).alias(c) for c, kind in kinds.items()))
+    return right.groupBy("profile_no").agg(*(F.round(F.sum(c), 6 if c == "h" else 4).alias(c) for c in kinds))
 
 
 @query("PF10", f"WITH {OBS} SELECT profile_no, count(*) FILTER (valid AND NOT below_ground) AS n_eval FROM obs GROUP BY 1")
@@ -59,15 +71,24 @@ def common_sample(spark, d):
     return c.groupBy("pressure_hpa", "common", "variants").agg(F.count("*").alias("n_rows"))
 
 
+#: Protocol, phase, role, first time, first time after it; the block of those that need one.
+_LICENCES = (
+    ("space", "fit", "train", "1995-01-01", DEV), ("space", "score", "test", "1995-01-01", DEV), ("time", "score", "train", CAL, "2003-01-01"),
+    ("block", "fit", "block_out", "1995-01-01", DEV), ("block", "calibrate", "block_out_calibration", DEV, CAL), ("block", "score", "block_in", CAL, "2003-01-01"),
+)
+_BLOCK = "lat3_lon1"
+_IN_BLOCK = "least(greatest(floor((latitude + 90) / 30), 0), 5) = 3 AND least(greatest(floor((longitude - 360 * floor(longitude / 360)) / 60), 0), 5) = 1"
+_LINES = ", ".join(f"('{p}', '{ph}', {'NULL' if protocols.BLOCK_ROLES.get(r, (r,))[0] is None else repr(protocols.BLOCK_ROLES.get(r, (r,))[0])}, {'NULL' if r not in protocols.BLOCK_ROLES else str(protocols.BLOCK_ROLES[r][1])}, TIMESTAMP '{a}', TIMESTAMP '{b}')" for p, ph, r, a, b in _LICENCES)
+
+
 @query("PF16", f"""WITH {src.STATIONS_SQL}, s AS (SELECT station_no, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.7) + floor(n * 0.1) THEN 'calibration' ELSE 'test' END AS role FROM (SELECT station_no, row_number() OVER (ORDER BY md5('42:' || station_no), station_no) - 1 AS i, count(*) OVER () AS n FROM stations)), {src.LEVELS_SQL},
-l AS (SELECT * FROM (VALUES ('space', 'fit', 'train', TIMESTAMP '1995-01-01', TIMESTAMP '{DEV}'), ('space', 'score', 'test', TIMESTAMP '1995-01-01', TIMESTAMP '{DEV}'), ('time', 'score', 'train', TIMESTAMP '{CAL}', TIMESTAMP '2003-01-01')) t(protocol, phase, role, lo, hi))
-SELECT protocol, phase, count(*) AS n, count(DISTINCT station_no) AS stations FROM lv JOIN s USING (station_no) JOIN l ON l.role = s.role AND time >= lo AND time < hi GROUP BY ALL""")
+l AS (SELECT * FROM (VALUES {_LINES}) t(protocol, phase, role, inside, lo, hi))
+SELECT protocol, phase, count(*) AS n, count(DISTINCT station_no) AS stations FROM lv JOIN s USING (station_no) JOIN l ON coalesce(l.role = s.role, true) AND coalesce(inside = ({_IN_BLOCK}), true) AND time >= lo AND time < hi GROUP BY ALL""")
 def licences(spark, d):
+    """Rows by the phases that license them, the block-in and block-out ones among them."""
     roles = resampling.split(src.stations(spark, d), "station_no", 42).select("station_no", "role")
-    rules = [("space", "fit", "train", "1995-01-01", DEV), ("space", "score", "test", "1995-01-01", DEV), ("time", "score", "train", CAL, "2003-01-01")]
-    matrix = spark.createDataFrame(rules, "protocol string, phase string, role string, lo string, hi string").withColumns({c: F.col(c).cast("timestamp") for c in ("lo", "hi")})
-    rows = src.levels(spark, d).join(F.broadcast(roles), "station_no").join(F.broadcast(matrix), "role").where("time >= lo AND time < hi")
-    return rows.groupBy("protocol", "phase").agg(F.count("*").alias("n"), F.count_distinct("station_no").alias("stations"))
+    found = protocols.licensed(src.levels(spark, d), roles, list(_LICENCES), _BLOCK)
+    return found.groupBy("protocol", "phase").agg(F.count("*").alias("n"), F.count_distinct("station_no").alias("stations"))
 
 
 @query("PF17", f"WITH {src.LEVELS_SQL} SELECT time >= TIMESTAMP '1997-03-01' AND time < TIMESTAMP '1997-09-01' AS blocked, count(*) AS n FROM lv GROUP BY 1")
@@ -76,12 +97,15 @@ def scenario(spark, d):
     return src.levels(spark, d).groupBy(((t >= _at("1997-03-01")) & (t < _at("1997-09-01"))).alias("blocked")).agg(F.count("*").alias("n"))
 
 
-@query("PF19", f"""WITH {src.STATIONS_SQL}, c AS (SELECT *, concat_ws(';', CASE WHEN abs(latitude) > 70 THEN 'latitude' END, CASE WHEN abs(longitude) > 170 THEN 'longitude' END) AS reasons FROM stations)
-SELECT station_no, reasons = '' AS kept, reasons, CASE WHEN elevation_m <= 3000 THEN round(elevation_m, 6) END AS elevation_m FROM c""")
+@query("PF19", f"""WITH {src.STATIONS_SQL}, m AS (SELECT station_no, latitude * CAST(1.3 AS DOUBLE) AS latitude, longitude * CAST(1.05 AS DOUBLE) AS longitude, CASE WHEN elevation_m < 3000 THEN elevation_m - 600 END AS elevation_m FROM stations),
+c AS (SELECT *, concat_ws(';', CASE WHEN abs(latitude) > 90 THEN 'invalid_latitude' END, CASE WHEN abs(longitude) > 180 THEN 'invalid_longitude' END) AS reason, CASE WHEN elevation_m BETWEEN -500 AND 9000 THEN '' ELSE 'missing_station_elevation' END AS issue FROM m)
+SELECT 'kept' AS "table", station_no, CASE WHEN issue = '' THEN round(elevation_m, 6) END AS elevation_m, issue AS note FROM c WHERE reason = '' UNION ALL SELECT 'excluded', station_no, round(elevation_m, 6), reason FROM c WHERE reason <> '' UNION ALL SELECT 'issues', station_no, round(elevation_m, 6), issue FROM c WHERE issue <> ''""")
 def metadata(spark, d):
-    reasons = F.concat_ws(";", F.when(F.abs("latitude") > 70, "latitude"), F.when(F.abs("longitude") > 170, "longitude"))
-    c = src.stations(spark, d).withColumn("reasons", reasons)
-    return c.select("station_no", (F.col("reasons") == "").alias("kept"), "reasons", F.when(F.col("elevation_m") <= 3000, F.round("elevation_m", 6)).alias("elevation_m"))
+    """Station lists whose coordinates are stretched, so that some are impossible: kept, excluded and issue rows."""
+    m = src.stations(spark, d).select("station_no", (F.col("latitude") * 1.3).alias("latitude"), (F.col("longitude") * 1.05).alias("longitude"), F.when(F.col("elevation_m") < 3000, F.col("elevation_m") - 600).alias("elevation_m"))
+    note = {"kept": "metadata_issue", "excluded": "exclusion_reason", "issues": "metadata_issue"}
+    parts = [t.select(F.lit(k).alias("table"), "station_no", F.round("elevation_m", 6).alias("elevation_m"), F.col(c).alias("note")) for (k, c), t in zip(note.items(), protocols.stations_by_use(m), strict=True)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("JN2", f"WITH {OBS}, {src.STATIONS_SQL} SELECT CASE WHEN s.latitude >= 30 THEN 'north' WHEN s.latitude <= -30 THEN 'south' ELSE 'tropics' END AS region, count(*) AS n, round(avg(s.elevation_m), 6) AS elevation FROM obs JOIN stations s USING (station_no) GROUP BY 1")
@@ -90,11 +114,20 @@ def dimension(spark, d):
     return rows.groupBy(geo.region(F.col("latitude")).alias("region")).agg(F.count("*").alias("n"), r6(F.avg("elevation_m"), "elevation"))
 
 
-@query("JN6", f"""WITH {src.STATIONS_SQL}, f AS (SELECT a, o, ((a * 13 + o * 29) % 101) * CAST(0.1 AS DOUBLE) AS v FROM range(7) y(a), range(12) z(o)) SELECT station_no, round(v, 6) AS value, v >= 5 AS land FROM stations JOIN f ON a = CAST(floor((90 - latitude) / 30 + 0.5) AS BIGINT) AND o = CAST(floor(((longitude % 360 + 360) % 360) / 30 + 0.5) AS BIGINT) % 12""")
-def nearest_cell(spark, d):
-    field = src.grid(spark).where("t = 0").select("a", "o", "v")
-    cell = src.stations(spark, d).select("station_no", F.floor((90 - F.col("latitude")) / 30 + 0.5).alias("a"), (F.floor(F.pmod("longitude", F.lit(360.0)) / 30 + 0.5) % 12).alias("o"))
-    return cell.join(F.broadcast(field), ["a", "o"]).select("station_no", r6("v", "value"), (F.col("v") >= 5).alias("land"))
+@query("JN6", f"""WITH {src.STATIONS_SQL}, {src.FIELD_SQL}, f AS (SELECT a, o, avg(v) AS v FROM field GROUP BY ALL), y AS (SELECT *, greatest(0, least(6, (90 - latitude) / 30)) AS y, (longitude - 360 * floor(longitude / 360)) / 30 AS x FROM stations),
+z AS (SELECT *, least(CAST(floor(y) AS BIGINT), 5) AS a0, CAST(floor(x) AS BIGINT) % 12 AS o0, y - least(floor(y), 5) AS fy, x - floor(x) AS fx FROM y),
+c AS (SELECT station_no, a0 AS a, o0 AS o, (1 - fy) * (1 - fx) AS w FROM z UNION ALL SELECT station_no, a0, (o0 + 1) % 12, (1 - fy) * fx FROM z UNION ALL SELECT station_no, a0 + 1, o0, fy * (1 - fx) FROM z UNION ALL SELECT station_no, a0 + 1, (o0 + 1) % 12, fy * fx FROM z),
+b AS (SELECT station_no, sum(w * v) / sum(w) AS height FROM c JOIN f USING (a, o) GROUP BY 1), n AS (SELECT station_no, v FROM stations JOIN f ON a = CAST(floor((90 - latitude) / 30 + 0.5) AS BIGINT) AND o = CAST(floor(((longitude % 360 + 360) % 360) / 30 + 0.5) AS BIGINT) % 12)
+SELECT station_no, round(height, 6) AS height, round(v, 6) AS nearest, CASE WHEN v >= 25.5 THEN 'land' ELSE 'sea' END AS surface FROM b JOIN n USING (station_no)""")
+def static_fields(spark, d):
+    """Surface height between four cells, land or sea by the nearest one. A static field is 84 cells here, a row each, and fits into a broadcast."""
+    field = src.field(spark, d).groupBy("a", "o").agg(F.avg("v").alias("v"))
+    s = src.stations(spark, d)
+    cells = s.select("station_no", F.explode(spatial.corners(F.col("latitude"), F.col("longitude"))).alias("c")).select("station_no", "c.*")
+    height = cells.join(F.broadcast(field), ["a", "o"]).groupBy("station_no").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("height"))
+    cell = s.select("station_no", F.floor((90 - F.col("latitude")) / 30 + 0.5).alias("a"), (F.floor(F.pmod("longitude", F.lit(360.0)) / 30 + 0.5) % 12).alias("o"))
+    near = cell.join(F.broadcast(field), ["a", "o"]).select("station_no", "v")
+    return height.join(near, "station_no").select("station_no", r6("height", "height"), r6("v", "nearest"), F.when(F.col("v") >= 25.5, "land").otherwise("sea").alias("surface"))
 
 
 @query("JN8", f"WITH {src.TARGETS_SQL}, l AS (SELECT unnest([1000, 925, 850, 700, 500, 300]) AS pressure_hpa) SELECT id, pressure_hpa FROM targets CROSS JOIN l")

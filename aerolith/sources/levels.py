@@ -83,6 +83,16 @@ GRID_SQL = """grid AS (SELECT t, a, o, ((t * 7 + a * 13 + o * 29) % 101) * CAST(
   FROM range(125) x(t), range(7) y(a), range(12) z(o))"""
 
 
+def field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """t, a, o, v: a gridded field made of a given table, the mean quantity of the lines that fall into each of 12 times and 84 cells."""
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity")
+    cell = F.col("l_partkey") % 84
+    return lines.groupBy((F.col("l_orderkey") % 12).alias("t"), F.floor(cell / 12).alias("a"), (cell % 12).alias("o")).agg(F.avg("l_quantity").cast("double").alias("v"))
+
+
+FIELD_SQL = "field AS (SELECT l_orderkey % 12 AS t, l_partkey % 84 // 12 AS a, l_partkey % 84 % 12 AS o, CAST(avg(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY ALL)"
+
+
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points in space and time that take values from the grid: id, lat, lon, tpos (slices since the first)."""
     return places(table(spark, sf_dir, "events", "event_id", "user_id", "ts"))
