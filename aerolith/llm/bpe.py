@@ -288,7 +288,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, at_spaces: bool = Fal
     index. Tasks that encode texts get their ids, and replay the words that are left for a block of texts at a time.
     at_spaces may be set if no match reaches over a space that comes after something other than white space.
 
-    A null text is empty and has no ids. Each row is encoded on its own, repeated rows alike, also where rows share a
+    A null text is empty and has no ids. An empty table gives an empty one. Each row is encoded on its own, repeated rows alike, also where rows share a
     doc_id or have none. A very long text is encoded piece by piece, so it needs memory for its ids but not for all its
     words. Other columns are not read.
     """

@@ -27,7 +27,8 @@ def formatted(conversations: DataFrame, learn_from: str = "assistant") -> DataFr
     """One row per conv_id: formatted (string), loss (array of structs: masked boolean, chars int, one per piece in order).
 
     Turns are ordered by turn, ties by role, then text; equal rows stay as turns of their own. A null text or role is
-    the empty string, a null turn comes first, a null conv_id is a conversation. Other columns are not read. Adjacent
+    the empty string, a null turn comes first, a null conv_id is a conversation. A text of any length, and a whole conversation, is one row; an empty table gives an
+    empty one. Other columns are not read. Adjacent
     turns of a role share one block; <|im_sep|> keeps their border, so that the turns can be read back.
     """
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

@@ -207,7 +207,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) ->
     order of distances, drop out at no loss. All that are left are aligned exactly, whatever stands before and after
     them. Items of fewer than plan.least bytes have to be there as they are; null and empty ones are left out. Null and empty texts match
     nothing; repeated rows and rows that share a doc_id give one row for each pair; a null item_id or doc_id stays null.
-    Other columns are not read. Items go to the tasks in blocks of plan.block bytes, documents pass once for each block,
+    Of places with as few edits the first counts; two items that match at one place are two rows. A text of any length is
+    read whole in one task. Empty tables give an empty one. Other columns are not read. Items go to the tasks in blocks of plan.block bytes, documents pass once for each block,
     and nothing is shuffled but the matches.
     """
     docs, out = keyed(documents), None

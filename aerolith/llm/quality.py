@@ -113,7 +113,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 20,
     """One row per row of docs: doc_id, the measures, base_failed, kept, and broken (the names of the rules it breaks).
 
     A null or empty text has no words and so fails. Repeated rows are judged alike, each on its own; columns other
-    than doc_id and text are not read. A text of any length is one row's work, in time n log n of its words.
+    than doc_id and text are not read. A text of any length is one row's work, in time n log n of its words. An empty table gives an empty one.
     """
     m = lambda k: F.col(f"m.{k}")
     failed = (m("n_words") < min_words) | (m("n_repeat_words") * 100 > m("n_words") * max_repeat_percent)

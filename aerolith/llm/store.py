@@ -116,7 +116,8 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> N
     """Encodes each row's whole text, appends end_id and stores the ids in ascending doc_id order.
 
     A null or empty text is end_id alone; a null doc_id comes first. Rows that share a doc_id are documents of their own,
-    ordered by digest; equal rows share a recipe with a count. Other columns are not read.
+    ordered by digest; equal rows share a recipe with a count. A text of any length is encoded in one task, with memory
+    in proportion to it; an empty table makes a store without documents. Other columns are not read.
     """
     spark = documents.sparkSession
     spark.sparkContext.addFile(tokenizer)
@@ -160,11 +161,11 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> N
 
     sizes = F.transform(F.sequence(F.lit(0), k - 1), size)
     ordered = plain.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), F.col("n").alias("n_tokens"), F.col("digest").alias("root"), names.alias("chunks"), sizes.alias("sizes"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root", "copy").withColumn("part", F.spark_partition_id())
+    ordered = ordered.repartitionByRange("doc_id", "root", "copy").sortWithinPartitions("doc_id", "root", "copy").withColumn("part", F.spark_partition_id())
     ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
 
     recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
-    _manifest(recipes).coalesce(1).write.parquet(f"{path}/manifest")
+    _manifest(recipes).write.parquet(f"{path}/manifest")
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:

@@ -75,6 +75,8 @@ def dedup(documents: DataFrame, length: int = 35) -> DataFrame:
     Occurrences with the same words all around (64 + 48 bits of hashes) are extended once. Seeds in over repeats.GROUP
     contexts are too many for a task: their windows meet in a shuffle, by 128-bit hashes.
 
+    A text of any length is cut in one task, with memory in proportion to it. An empty table gives an empty one.
+
     Every copy of a repeat goes, the first too. A null or empty text has no words. Repeated rows are one document read
     twice: they are treated alike and do not repeat each other; rows that share a
     doc_id, or have none, but not the text are documents of their own. Other columns

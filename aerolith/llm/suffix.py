@@ -30,6 +30,7 @@ def dedup(documents: DataFrame, length: int = 100, more: tuple[str, ...] = ()) -
     Cutting UTF-8 between bytes may leave parts of characters; they are left out of text. A null or empty text stays
     empty; a null doc_id comes before all others. Repeated rows count as one document: they are treated alike and
     neither is earlier than the other. Rows that share a doc_id but not the text are documents in order of a hash of it. Other columns are carried if named in more, else not read.
+    A text of any length is cut in one task, with memory in proportion to it; its repeats may lie anywhere in it or in others. An empty table gives an empty one.
     """
 
     def row(units, lo, hi):

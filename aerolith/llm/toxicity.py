@@ -195,8 +195,10 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = 1600, most_chars: int
 def score(docs: DataFrame, net: Net) -> DataFrame:
     """doc_id, lang, score and predicted for each row of docs, from its whole text alone.
 
-    A null or empty text has the score of a text without words; repeated rows score alike. Other columns are not read;
-    lang is carried only to be compared with the threshold of its language.
+    A null or empty text has the score of a text without words; repeated rows score alike, and rows that share a doc_id
+    or have none each on their own. A score that equals a threshold counts as toxic. A text of any length is read whole,
+    in one task, with memory in proportion to it; an empty table gives an empty one. Other columns are not read; lang is
+    carried only to be compared with the threshold of its language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

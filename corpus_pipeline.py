@@ -42,7 +42,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids (little-endian unsigned 32-bit integers)."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids (little-endian unsigned 32-bit integers), a row for each row.
+
+    A null or empty text has no ids. Repeated rows, rows that share a doc_id and rows without one are encoded each on its
+    own; a text of any length is one row's work. No rows give none. Other columns are not read.
+    """
     import public_tokenizers
 
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, at_spaces=True, ids=True)

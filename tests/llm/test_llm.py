@@ -194,7 +194,8 @@ def test_no_texts_at_all(spark):
     assert neardup.near_duplicates(empty).count() == suffix.digests(empty).count() == substring.digests(empty).count() == 0
 
 
-def brute_bytes(rows, length=100):
+def brute_bytes(rows, length=100, kept=False):
+    """By doc_id: counts and digest, or the bytes that are left."""
     seen, out = set(), {}
     for i, t in sorted(dict(rows).items(), key=lambda x: (x[0] is not None, x[0] or 0)):
         b = (t or "").encode()
@@ -205,7 +206,7 @@ def brute_bytes(rows, length=100):
                 gone[s : s + length] = b"\1" * length
             seen.add(g)
         left = bytes(c for c, x in zip(b, gone, strict=True) if not x)
-        out[i] = (len(b), len(b) - len(left), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(left).hexdigest())
+        out[i] = left if kept else (len(b), len(b) - len(left), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(left).hexdigest())
     return out
 
 
