@@ -11,7 +11,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aerolith.functions import geo
+from aerolith.functions import feature_sets, geo
 from aerolith.operators import spatial
 from aerolith.plans import fields, soundings
 from aerolith.plans.formulas import CHI, LEVEL
@@ -245,18 +245,65 @@ def nearest_profiles(spark, path):
     return profile_neighbours(spark, path).select("profile_no", "neighbour", "rank", r6("km", "km"), F.round("bearing", 5).alias("bearing"))
 
 
-@query("AR14", f"""WITH {_NEAR}, l AS (SELECT profile_no, avg(temperature_k) AS t, avg(q) AS q FROM lv GROUP BY 1), c AS (SELECT nb.profile_no, count(*) AS n, min(km) AS nearest_km, sum(rank * (km / 1000 + sin(radians(bearing)) + cos(radians(bearing)) + dlat / 10 + l.t / 100 + l.q)) AS checksum FROM nb JOIN l ON l.profile_no = nb.neighbour WHERE rank <= 3 GROUP BY 1)
-SELECT l.profile_no, coalesce(n, 0) AS n, round(coalesce(nearest_km, 1e6), 6) AS nearest_km, round(coalesce(checksum, 0), 4) AS checksum FROM l LEFT JOIN c USING (profile_no)""")
+#: Levels of the context tensor; neighbours that are looked at, and that stay.
+_TENSOR, _LOOKED, _SLOTS = (850, 700, 500), 6, 3
+_T = 2 * math.pi
+_WIDE = ", ".join(f"max({c}) FILTER ({LEVEL} = {p}) AS {k}_{p}" for p in _TENSOR for k, c in (("n", "bg_total"), ("h", "height_m / 1000.0"), ("r", "residual_total"), ("c", "correction")))
+_SCALE = ", ".join(f"avg({k}_{p}) AS m{k}_{p}, stddev_pop({k}_{p}) AS s{k}_{p}" for p in _TENSOR for k in "nhr")
+_PLACE_SQL = ("latitude / 90", "sin(radians(longitude))", "cos(radians(longitude))", f"sin(dayofyear(time) * {d(_T)} / 366)", f"cos(dayofyear(time) * {d(_T)} / 366)", f"sin(hour(time) * {d(_T)} / 24)", f"cos(hour(time) * {d(_T)} / 24)")
+_OWN_SQL = [
+    *(f"(n_{p} - mn_{p}) / sn_{p}" for p in _TENSOR), *(f"(h_{p} - mh_{p}) / sh_{p}" for p in _TENSOR), *(f"(c_{p} - mr_{p}) / sr_{p}" for p in _TENSOR), *_PLACE_SQL, *(f"(r_{p} - c_{p} - mr_{p}) / sr_{p}" for p in _TENSOR),
+]
+_PAIR_SQL = ["ln(1 + km / 100)", "sin(radians(bearing))", "cos(radians(bearing))", *(f"(b.n_{p} - a.n_{p}) / a.sn_{p}" for p in _TENSOR)]
+_BLOCK_SQL = "floor(({0}.latitude + 90) / 30) = floor(({1}.latitude + 90) / 30) AND floor(({0}.longitude - 360 * floor({0}.longitude / 360)) / 60) = floor(({1}.longitude - 360 * floor({1}.longitude / 360)) / 60)".format("a", "b")
+
+
+@query("AR14", f"""WITH {PRED}, {_REACH.removeprefix("WITH ")}, w AS (SELECT profile_no, station_no, time, latitude, longitude, {_WIDE} FROM pred WHERE {LEVEL} IN {_TENSOR} GROUP BY ALL HAVING count(*) = {len(_TENSOR)}),
+z AS (SELECT {_SCALE} FROM w WHERE time < TIMESTAMP '{DEV}'), f AS (SELECT w.*, z.*, {" + ".join(f"{i + 1} * ({x})" for i, x in enumerate(_OWN_SQL))} AS own FROM w, z),
+nb AS (SELECT a.profile_no, b.profile_no AS neighbour, km, x - 360 * floor(x / 360) AS bearing, row_number() OVER (PARTITION BY a.profile_no ORDER BY round(km, 6), b.profile_no) AS rank FROM f a JOIN reach USING (station_no) JOIN f b ON b.station_no = other AND b.time = a.time WHERE km <= 5000),
+k AS (SELECT nb.*, b.own + {" + ".join(f"{len(_OWN_SQL) + i + 1} * ({x})" for i, x in enumerate(_PAIR_SQL))} AS v, row_number() OVER (PARTITION BY nb.profile_no ORDER BY rank) AS slot FROM nb JOIN f a ON a.profile_no = nb.profile_no JOIN f b ON b.profile_no = nb.neighbour WHERE rank <= {_LOOKED}
+  AND CASE nb.profile_no % 3 WHEN 0 THEN CAST('0x' || substr(md5('14:' || nb.profile_no || ':' || neighbour), 1, 8) AS BIGINT) % 10 < 5 WHEN 1 THEN NOT ({_BLOCK_SQL}) ELSE km >= 500 END),
+c AS (SELECT profile_no, count(*) AS n, min(km) AS nearest_km, sum(slot * v) AS checksum FROM k WHERE slot <= {_SLOTS} GROUP BY 1) SELECT profile_no, coalesce(n, 0) AS n, round(coalesce(nearest_km, 1e6), 6) AS nearest_km, round(coalesce(checksum, 0), 4) AS checksum FROM f LEFT JOIN c USING (profile_no)""")
 def context_tensor(spark, path):
-    """Features of three neighbours in order of rank as arrays, with mask, count and nearest distance (1e6 if there is none); the checksum reads every entry."""
-    own = src.levels(spark, path).groupBy("profile_no").agg(F.avg("temperature_k").alias("t"), F.avg("q").alias("q"))
-    near = profile_neighbours(spark, path).join(own.withColumnRenamed("profile_no", "neighbour"), "neighbour")
+    """Checksums that read every entry of context(): the weight of an entry is its place, that of a slot its number."""
+    slot = lambda s: F.aggregate(F.concat(s["own"], s["pair"]), F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("i")), lambda a, x: F.struct((a["v"] + (a["i"] + 1) * x).alias("v"), (a["i"] + 1).alias("i")), lambda a: a["v"])
+    checksum = F.aggregate("slots", F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("i")), lambda a, s: F.struct((a["v"] + F.when(s["mask"], (a["i"] + 1) * slot(s)).otherwise(0.0)).alias("v"), (a["i"] + 1).alias("i")), lambda a: a["v"])
+    return context(spark, path).select("profile_no", "n", r6("nearest_km", "nearest_km"), F.round(checksum, 4).alias("checksum"))
+
+
+def context(spark, path, within_km: float = 5000.0) -> DataFrame:
+    """profile_no, slots (_SLOTS structs: mask, 19 own and 6 relative features; zeros where the mask is false), n, nearest_km (1e6 if there is none).
+
+    Own: standardised background refractivity and height, correction, place and calendar, standardised innovation, three
+    levels each. Relative: log distance, bearing, standardised differences to the target's refractivity. Of the nearest
+    profiles of other stations at the same time a policy by profile drops some: by chance, those of its own block, or
+    those nearer than 500 km. Profiles that lack one of the levels have no tensor and are no context.
+    """
+    rows = predicted(spark, path).where(F.col(LEVEL).isin(*_TENSOR))
+    values = {"n": F.col("bg_total"), "h": F.col("height_m") / 1000.0, "r": F.col("residual_total"), "c": F.col("correction"), "i": F.col("residual_total") - F.col("correction")}
+    wide = rows.groupBy("profile_no", "station_no", "time", "latitude", "longitude").agg(F.count("*").alias("k"), *(F.max(F.when(F.col(LEVEL) == p, v)).alias(f"{k}_{p}") for p in _TENSOR for k, v in values.items())).where(f"k = {len(_TENSOR)}")
+    scale = wide.where(F.col("time") < _at(DEV)).agg(*(f(f"{k}_{p}").alias(f"{a}{k}_{p}") for p in _TENSOR for k in "nhr" for f, a in ((F.avg, "m"), (F.stddev_pop, "s"))))
+    wide = text.staged(wide.join(F.broadcast(scale)), "wide")  # one row
+    scaled = lambda k, of: [(F.col(f"{k}_{p}") - F.col(f"m{of}_{p}")) / F.col(f"s{of}_{p}") for p in _TENSOR]
+    place = list((feature_sets.coordinates(F.col("latitude"), F.col("longitude")) | feature_sets.calendar(F.col("time"))).values())
+    own = F.array(*scaled("n", "n"), *scaled("h", "h"), *scaled("c", "r"), *place, *scaled("i", "r"))
+    near = spatial.nearest(wide, wide, "profile_no", _LOOKED, ("time",), "station_no", within_km)
+    chance = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("14"), F.col("target").cast("string"), F.col("neighbour").cast("string"))), 1, 8), 16, 10).cast("long") % 10 < 5
+    far = geo.block(F.col("latitude"), F.col("longitude")) != geo.block(F.col("lat_b"), F.col("lon_b"))
+    policy = F.col("target") % 3
+    kept = near.where(F.when(policy == 0, chance).when(policy == 1, far).otherwise(F.col("km") >= 500))
+    kept = kept.withColumn("slot", F.row_number().over(Window.partitionBy("target").orderBy("rank"))).where(F.col("slot") <= _SLOTS).select("target", "neighbour", "slot", "km", "bearing")
+    theirs = wide.select(F.col("profile_no").alias("neighbour"), own.alias("own"), *(F.col(f"n_{p}").alias(f"b_{p}") for p in _TENSOR))
+    mine = wide.select(F.col("profile_no").alias("target"), *(F.col(f"{k}_{p}") for p in _TENSOR for k in ("n", "sn")))
     o = F.radians("bearing")
-    slot = F.struct(F.col("rank"), F.col("km"), F.array(F.col("km") / 1000, F.sin(o), F.cos(o), F.col("dlat") / 10, F.col("t") / 100, F.col("q")).alias("x"))
-    tensors = near.groupBy("profile_no").agg(F.array_sort(F.collect_list(slot)).alias("slots"))  # three a profile
-    both = own.select("profile_no").join(tensors, "profile_no", "left").withColumn("slots", F.coalesce("slots", F.expr("array()")))
-    checksum = F.aggregate("slots", F.lit(0.0), lambda acc, s: acc + s["rank"] * F.aggregate(s["x"], F.lit(0.0), lambda a, v: a + v))
-    return both.select("profile_no", F.size("slots").cast("long").alias("n"), r6(F.when(F.size("slots") > 0, F.col("slots")[0]["km"]).otherwise(1e6), "nearest_km"), F.round(checksum, 4).alias("checksum"))
+    pair = F.array(F.log(1 + F.col("km") / 100), F.sin(o), F.cos(o), *((F.col(f"b_{p}") - F.col(f"n_{p}")) / F.col(f"sn_{p}") for p in _TENSOR))
+    full = kept.join(theirs, "neighbour").join(mine, "target").select("target", F.struct(F.col("slot"), F.col("km"), F.lit(True).alias("mask"), F.col("own"), pair.alias("pair")).alias("s"))
+    tensors = full.groupBy("target").agg(F.array_sort(F.collect_list("s")).alias("found"))  # _SLOTS a profile
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    empty = F.struct(F.lit(0).alias("slot"), F.lit(1e6).alias("km"), F.lit(False).alias("mask"), zeros(19).alias("own"), zeros(6).alias("pair"))
+    both = wide.select("profile_no").join(tensors, F.col("profile_no") == F.col("target"), "left").withColumn("n", F.when(F.col("found").isNull(), 0).otherwise(F.size("found")).cast("long"))
+    slots = F.slice(F.concat(F.coalesce("found", F.array().cast("array<struct<slot:int,km:double,mask:boolean,own:array<double>,pair:array<double>>>")), F.array_repeat(empty, _SLOTS)), 1, _SLOTS)
+    return both.select("profile_no", slots.alias("slots"), "n").withColumn("nearest_km", F.array_min(F.transform("slots", lambda s: s["km"])))
 
 
 @query("JN15", f"""WITH {fields._PAIRS}, {OBS}, c AS (SELECT station_no AS neighbour, month(time) AS m, hour(time) AS h, {LEVEL}, avg(residual_total) AS r FROM obs WHERE valid AND time < TIMESTAMP '{DEV}' GROUP BY ALL),

@@ -67,3 +67,18 @@ def test_neighbours_of_few_points(spark):
     assert spatial.nearest(df, df, "id", 3).count() == 0 == spatial.nearest(df.limit(0), df, "id", 3).count() == spatial.nearest(df, df.limit(0), "id", 3).count()
     two = df.union(spark.createDataFrame([(2, 0.0, 180.0), (3, None, 1.0)], "id long, latitude double, longitude double"))
     assert sorted((r.target, r.neighbour) for r in spatial.nearest(two, two, "id", 3).select("target", "neighbour", F.col("km")).collect()) == [(1, 2), (2, 1)]
+
+
+def test_context_tensors(spark, sf):
+    """Three slots a profile, 19 own and 6 relative features, zeros where nothing stands; policies leave out what they say."""
+    from aerolith.plans import suites
+
+    rows = suites.context(spark, sf.replace("sf0.001", "sf0.01")).collect()  # the smaller tables have no two such profiles at a time
+    assert rows and all(len(r.slots) == 3 for r in rows) and any(r.n for r in rows)
+    for r in rows:
+        assert [s.mask for s in r.slots] == [True] * r.n + [False] * (3 - r.n)
+        assert all(len(s.own) == 19 and len(s.pair) == 6 and (s.mask or not any(s.own) and not any(s.pair)) for s in r.slots)
+        assert r.nearest_km == min([1e6, *(s.km for s in r.slots if s.mask)])
+        assert r.profile_no % 3 != 2 or all(s.km >= 500 for s in r.slots)
+        for s in r.slots[: r.n]:
+            assert s.pair[0] == pytest.approx(math.log(1 + s.km / 100)) and s.pair[1] ** 2 + s.pair[2] ** 2 == pytest.approx(1)
