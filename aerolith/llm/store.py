@@ -30,7 +30,7 @@ DIGEST = 16
 ROLL, MEAN, MOST = 8, 512, 8192
 CACHE_WORDS = 600_000
 #: Bytes of text that are encoded together.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Leaves below a Merkle node.
 FAN = 1024
 
