@@ -112,9 +112,29 @@ def _close(x: str, y: str, plan: Plan) -> Column:
     return odd <= plan.most_odd_bits
 
 
-def _held(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """doc_id and z (packed text) of the named documents, as a table."""
-    return staged(packed(docs).join(named, "doc_id", "left_semi"), "texts")
+#: Bits at most of the filter that tells which documents may be named, in parts of PART bits: 8 MB at any size of the input.
+FILTER, PART = 1 << 26, 1 << 15
+
+
+def _likely(rows: DataFrame, named: DataFrame, n: int) -> DataFrame:
+    """The rows whose doc_id is in named (n rows at most), and a few others, without a shuffle of rows.
+
+    What a bit of a bitmap says of the id is all that tasks are handed: 16 bits for each named row, FILTER at most. Where
+    very many are named the bitmap is full and lets most rows pass; the join after it decides.
+    """
+    size = min(FILTER, max(PART, 1 << (16 * n).bit_length()))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    placed = named.select(F.floor(at / PART).cast("int").alias("__part"), (at % PART).alias("__bit"))
+    bits = placed.groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    both = rows.withColumns({"__part": F.floor(at / PART).cast("int"), "__bit": (at % PART).cast("int")}).join(F.broadcast(bits), "__part")
+    byte = F.conv(F.hex(F.substr(F.col("__bits"), F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return both.where(F.getbit(byte, F.col("__bit") % 8) == 1).select(*rows.columns)
+
+
+def _held(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id and z (packed text) of the documents that pairs, a table, names; as a table."""
+    named = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b"))
+    return staged(packed(_likely(docs, named, 2 * pairs.count())).join(named.distinct(), "doc_id", "left_semi"), "texts")
 
 
 def _sets(batch: pa.RecordBatch, column: int, plan: Plan, hashes: WordHashes) -> Iterator[np.ndarray]:
@@ -220,7 +240,7 @@ def _grouped(docs: DataFrame, plan: Plan) -> DataFrame:
         return staged(near.select("a", "b"), "pairs")
 
     def held(pairs: DataFrame) -> DataFrame:
-        return _held(docs, pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct())
+        return _held(docs, pairs)
 
     def joined(links: DataFrame) -> DataFrame:
         return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -240,6 +260,7 @@ def _grouped(docs: DataFrame, plan: Plan) -> DataFrame:
             break
         if final := k == plan.rounds or not gained:
             pairs = left.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "ca", F.col("c").alias("cb")).distinct()
+            pairs = staged(pairs, "compared")
             pairs = _between(pairs, held(pairs), plan)
         else:  # another star in each bucket, around a document that its hub did not draw in
             second = first(left.where("c <> ca")).join(left.select("key", F.col("doc_id").alias("hub"), F.col("c").alias("ch")), ["key", "hub"])
@@ -284,7 +305,7 @@ def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     A null or empty text has no shingles and no links; a null doc_id is a document whose id is below all others and
     whose component_id is null. Repeated rows give repeated results. Rows that share a doc_id, or have none, but not the
     text are documents of their own; kept says whether doc_id = component_id. Very long texts are whole sets in one
-    task. Other columns are not read, whatever their names.
+    task. An empty table gives an empty one. Other columns are not read, whatever their names.
     """
     rows, repeated = _numbered(documents.select("doc_id", "text"), "node", "whole")
     docs = rows.select(F.col("node").alias("doc_id"), F.col("whole").alias("text"))
