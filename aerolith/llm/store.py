@@ -75,11 +75,14 @@ class WordEncoder:
         marked = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=BEFORE_MARK, replacement=r"\1 \2")
         lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, marked))  # <| may start a special token
         coded = lists.flatten().dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.known) > CACHE_WORDS:
             self.known = {w: self.known[w] for w in words if w in self.known}
-        self._learn([w for w in words if w not in self.known])
-        found = [self.known[w] for w in words]
+        found = list(map(self.known.get, words))
+        new = [k for k, x in enumerate(found) if x is None]
+        self._learn([words[k] for k in new])
+        for k in new:
+            found[k] = self.known[words[k]]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         pool, first = np.frombuffer(b"".join(found), np.uint32), np.cumsum(sizes) - sizes
         n = sizes[index]
