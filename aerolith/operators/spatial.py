@@ -39,8 +39,10 @@ def spatiotemporal(points: DataFrame, field: DataFrame) -> DataFrame:
     return cells.join(field, ["t", "a", "o"]).groupBy("id").agg(F.sum(F.col("wt") * F.col("w") * F.col("v")).alias("value"), F.count("*").alias("n_cells"))
 
 
-#: Places of a group of on columns that are compared without cells; places of a cell, as a multiple of the neighbours asked for.
-SMALL_GROUP, CROWDED = 64, 50
+#: Places of a group of on columns that are compared without cells; points of a cell, as a multiple of the neighbours asked for.
+SMALL_GROUP, CROWDED = 1000, 50
+#: Kilometres: from half the earth's circumference down, each half as wide as the one before.
+RADII = tuple(math.pi * geo.EARTH_KM * 1.001 / 2**k for k in range(16))
 
 
 def _vector(lat: str = "latitude", lon: str = "longitude") -> dict[str, Column]:
@@ -66,8 +68,8 @@ def _reach(edge: float) -> float:
     return geo.EARTH_KM * 2 * math.asin(min(1.0, edge / 2)) - 1e-3
 
 
-def _crowd(points: DataFrame, on: list[str], edge: float) -> int:
-    return _cell(edge, points).groupBy(*on, "__cell").count().agg(F.max("count")).first()[0] or 0
+def _crowd(places: DataFrame, on: list[str], edge: float) -> int:
+    return _cell(edge, places).groupBy(*on, "__cell").agg(F.sum("__n").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
 def nearest(targets: DataFrame, points: DataFrame, key: str, most: int, on: tuple[str, ...] = (), apart: str | None = None, within_km: float | None = None) -> DataFrame:
@@ -77,61 +79,92 @@ def nearest(targets: DataFrame, points: DataFrame, key: str, most: int, on: tupl
     whose apart (else key) is the target's are left out; ties go by key; with within_km nothing farther is listed. Rows
     with a null in any of these columns, on either side, have no neighbours and are none.
 
-    Points meet by cells, never by distance. A round joins targets and points on (on, cell), 27 cells a target; targets
-    whose last neighbour is nearer than anything outside these cells can be are done, the others go on with cells three
-    times as wide. Cells start so narrow that none is crowded. What lies at one place is first cut to the few keys that
-    any target can need, so a crowded place is few points. Groups of few places are compared whole.
+    Places meet, not rows: targets of a group that share place and apart have the same neighbours, which are found once
+    and handed to all of them; points of one place are first cut to the few keys that any target can need. So the work on
+    pairs grows with the places of a group, and rows only take what was found. Groups of few places are compared whole;
+    of each place's pairs those stay that lie within a radius that holds enough points. In other groups places meet by
+    cells, never by distance. A round joins them on (on, cell), 27 cells a place; places whose last neighbour is nearer
+    than anything outside these cells can be are done, the others go on with cells three times as wide. Cells start so
+    narrow that none is crowded.
     """
-    apart, on = apart or key, list(on)
-    side = lambda df, *names: df.select(*on, *(F.col(c).alias(n) for c, n in zip((key, apart, "latitude", "longitude"), names, strict=True))).na.drop()
-    t, b = side(targets, "target", "__apart", "latitude", "longitude"), side(points, "neighbour", "__other", "lat_b", "lon_b")
+    # Without apart, a target leaves out itself alone: its place looks for one neighbour more.
+    itself, on = apart in (None, key), list(on)
+    side = lambda df, *names: df.select(*on, *(F.col(c).alias(n) for c, n in zip((key, *(() if itself else (apart,)), "latitude", "longitude"), names, strict=True))).na.drop()
+    t = staged(side(targets, "target", *(() if itself else ("__apart",)), "latitude", "longitude"), "targets")
+    b = t.withColumnsRenamed({"target": "neighbour", "__apart": "__other", "latitude": "lat_b", "longitude": "lon_b"}) if points is targets else side(points, "neighbour", *(() if itself else ("__other",)), "lat_b", "lon_b")
+    wanted, who = (most + 1, [*on, "latitude", "longitude"]) if itself else (most, [*on, "latitude", "longitude", "__apart"])
     first = lambda by, n: F.row_number().over(Window.partitionBy(*on, "lat_b", "lon_b", *by).orderBy("neighbour")) <= n
-    # A target leaves one apart out, which has most keys here at most: 2 x most keys hold the first most of any others.
-    b = b.withColumn("__few", first(["__other"], most)).where("__few").withColumn("__few", first([], 2 * most)).where("__few").drop("__few")
-    b = staged(b.withColumns(_vector("lat_b", "lon_b")), "points")
-    sizes = b.groupBy(*on).agg(F.count("*").alias("__size"))
-    t = t.withColumns(_vector())
-    t = t.join(sizes, on) if on else t.join(F.broadcast(sizes))  # without on, one row
-    t = staged(t, "targets")
+    if not itself:  # a target leaves one apart out, which has most keys here at most: 2 x most keys hold the first most of any others
+        b = b.withColumn("__few", first(["__other"], most)).where("__few")
+    b = b.withColumn("__few", first([], wanted if itself else 2 * most)).where("__few")
+    point = F.struct("neighbour", *(() if itself else ("__other",)))
+    # A place and its few points; __sole: the only apart that has any, if one has all of them.
+    sole = [] if itself else [F.when(F.min("__other") == F.max("__other"), F.min("__other")).alias("__sole")]
+    b = b.groupBy(*on, "lat_b", "lon_b").agg(F.collect_list(point).alias("__points"), F.count("*").alias("__n"), *sole).withColumns(_vector("lat_b", "lon_b"))
+    b = staged(b, "points")
+    # Points of a place that one who asks can use, at least: a place of several aparts has one of another.
+    usable = F.col("__n") if itself else F.when(F.col("__sole") == F.col("__apart"), F.lit(0)).when(F.col("__sole").isNull(), F.lit(1)).otherwise(F.col("__n"))
+    km = geo.distance(F.col("latitude"), F.col("longitude"), F.col("lat_b"), F.col("lon_b"))
+    rounded = F.round("km", 6)
 
     def ranked(pairs: DataFrame, reach: float) -> DataFrame:
-        """A row with its neighbours for each target that is done: nothing outside the cells can be nearer."""
-        km = geo.distance(F.col("latitude"), F.col("longitude"), F.col("lat_b"), F.col("lon_b"))
-        pairs = pairs.where(F.col("__apart") != F.col("__other")).withColumn("km", km)
-        pairs = pairs.where(F.col("km") <= within_km) if within_km is not None else pairs
-        by = Window.partitionBy(*on, "target").orderBy(F.round("km", 6), "neighbour")
-        pairs = pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
-        found = pairs.groupBy(*on, "target").agg(F.collect_list(F.struct("rank", "neighbour", "km", "latitude", "longitude", "lat_b", "lon_b")).alias("__found"))  # most a target
+        """A row with its neighbours for each who is done: nothing outside the cells can be nearer. pairs: who and places, with km."""
+        pairs = pairs.withColumn("__km", rounded).withColumn("__usable", usable).where("__usable > 0")
+        nearer = F.sum("__usable").over(Window.partitionBy(*who).orderBy("__km").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        level = F.sum("__usable").over(Window.partitionBy(*who, "__km"))
+        pairs = pairs.withColumn("__before", nearer - level).where(F.col("__before") < wanted)
+        rows = pairs.select(*who, "km", "__km", "lat_b", "lon_b", F.inline("__points"))
+        rows = rows if itself else rows.where(F.col("__apart") != F.col("__other"))
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*who).orderBy("__km", "neighbour"))).where(F.col("rank") <= wanted)
+        rows = rows.withColumn("bearing", geo.bearing(F.col("latitude"), F.col("longitude"), F.col("lat_b"), F.col("lon_b")))
+        found = rows.groupBy(*who).agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour", "km", "bearing", "lat_b", "lon_b"))).alias("__found"))  # wanted a place at most
         if reach >= (math.inf if within_km is None else within_km):
             return found
-        return found.where((F.size("__found") == most) & (F.array_max(F.transform("__found", lambda x: x["km"])) < reach))
+        return found.where((F.size("__found") == wanted) & (F.array_max(F.transform("__found", lambda x: x["km"])) < reach))
 
     def met(some: DataFrame, near: DataFrame, by: list[str]) -> DataFrame:
-        return some.join(near, by) if by else some.crossJoin(near)
-
-    few = F.col("__size") <= SMALL_GROUP
-    places = b.join(sizes, on) if on else b.join(F.broadcast(sizes))
-    done = [ranked(met(t.where(few).drop("__size"), places.where(few).drop("__size"), on), math.inf)] if on else []
-    left, b = (t.where(~few), places.where(~few).drop("__size")) if on else (t, b)
-    edge = 2.0
+        pairs = some.join(near, by).withColumn("km", km)
+        return pairs.where(F.col("km") <= within_km) if within_km is not None else pairs
+
+    def whole(some: DataFrame, near: DataFrame) -> DataFrame:
+        """Pairs of groups of few places within the least radius that holds enough points."""
+        held = met(some, near.drop("__points"), on).withColumn("__usable", usable)
+        sums = held.groupBy(*who).agg(*(F.sum(F.when(F.col("km") <= r, F.col("__usable")).otherwise(0)).alias(f"__r{k}") for k, r in enumerate(RADII)))
+        cut = F.lit(RADII[0])
+        for k, r in enumerate(RADII[1:], 1):
+            cut = F.when(F.col(f"__r{k}") >= wanted, F.lit(r)).otherwise(cut)
+        cuts = sums.select(*who, (cut + 1e-5).alias("__cut"))  # what rounds to the same distance may lie beyond
+        return met(cuts, near, on).where(F.col("km") <= F.col("__cut")).drop("__cut")
+
+    asking = t.select(*who).distinct()
+    done = []
     if on:
-        b = staged(b, "points")
-    while edge > 1e-6 and _crowd(b, on, edge) > CROWDED * most:
-        edge /= 3
-    while True:
-        last = edge >= 2
-        found = ranked(met(_around(edge, left.drop("__size")), _cell(edge, b).drop("__x", "__y", "__z"), [*on, "__cell"]), math.inf if last else _reach(edge))
-        found = found if last else staged(found, "nearest")
-        done.append(found)
-        if last:
-            break
-        left = staged(left.join(found, [*on, "target"], "left_anti"), "targets")
-        edge = min(2.0, edge * 3) if left.limit(1).count() else 2.0
+        sizes = b.groupBy(*on).agg(F.count("*").alias("__size"))
+        large = sizes.where(F.col("__size") > SMALL_GROUP).select(*on)
+        some_large = bool(large.limit(1).count())
+        few = (lambda df: df.join(large, on, "left_anti")) if some_large else (lambda df: df)
+        done.append(ranked(whole(few(asking), few(b)), math.inf))
+        if some_large:
+            asking, b = asking.join(large, on, "left_semi"), staged(b.join(large, on, "left_semi"), "points")
+    if not on or some_large:
+        left, edge = staged(asking.withColumns(_vector()), "targets"), 2.0
+        while edge > 1e-6 and _crowd(b, on, edge) > CROWDED * most:
+            edge /= 3
+        while True:
+            last = edge >= 2
+            found = ranked(met(_around(edge, left).drop("__x", "__y", "__z"), _cell(edge, b).drop("__x", "__y", "__z"), [*on, "__cell"]), math.inf if last else _reach(edge))
+            found = found if last else staged(found, "nearest")
+            done.append(found)
+            if last:
+                break
+            left = staged(left.join(found, who, "left_anti"), "targets")
+            edge = min(2.0, edge * 3) if left.limit(1).count() else 2.0
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    out = out.select(*on, "target", F.inline("__found"))
-    return out.withColumn("bearing", geo.bearing(F.col("latitude"), F.col("longitude"), F.col("lat_b"), F.col("lon_b")))
+    found = F.filter("__found", lambda x: x["neighbour"] != F.col("target")) if itself else F.col("__found")
+    out = t.join(out, who).select(*on, "target", "latitude", "longitude", F.posexplode(F.slice(found, 1, most)).alias("__k", "x"))
+    return out.select(*on, "target", (F.col("__k") + 1).alias("rank"), "x.neighbour", "x.km", "latitude", "longitude", "x.lat_b", "x.lon_b", "x.bearing")
 
 
 def neighbours(left: DataFrame, right: DataFrame, key: str, most: int) -> DataFrame:

@@ -82,3 +82,21 @@ def test_context_tensors(spark, sf):
         assert r.profile_no % 3 != 2 or all(s.km >= 500 for s in r.slots)
         for s in r.slots[: r.n]:
             assert s.pair[0] == pytest.approx(math.log(1 + s.km / 100)) and s.pair[1] ** 2 + s.pair[2] ** 2 == pytest.approx(1)
+
+
+def test_pairs_grow_with_places_not_rows(spark, monkeypatch):
+    """2,000 rows at 20 places: places are compared, rows take what was found for theirs."""
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(lat, lon, lat_b, lon_b):
+        met.add(1)
+        a, o, b, p = map(math.radians, (lat, lon, lat_b, lon_b))
+        return 2 * 6371.0088 * math.asin(min(1.0, math.sqrt(math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin((p - o) / 2) ** 2)))
+
+    monkeypatch.setattr(spatial.geo, "distance", counted)
+    rows = [(k, k % 2, f"s{k // 2 % 20}", float(k // 2 % 20 * 3), float(k // 2 % 20 * 7)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "id long, g long, station string, latitude double, longitude double")
+    got = [(r.target, r.neighbour, r["rank"], f"{round(r.km, 6):.5f}") for r in spatial.nearest(df, df, "id", 3, ("g",), "station").collect()]
+    assert len(got) == 6000 and set(got) == brute(rows, rows, 3, True, True)
+    assert met.value <= 20 * 20 * 2 * 10
