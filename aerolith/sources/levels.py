@@ -21,13 +21,26 @@ def lookup(index: Column, values: tuple) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), index)
 
 
+#: Rows of lineitem that a task of a join by order gets.
+TASK_ROWS = 250_000
+
+
+def by_order(spark: SparkSession, sf_dir: str, lines: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both dealt by order to as many tasks as the lines need (their number is in the file's footers), so that a task's share doesn't grow with the tables; few lines are left to Spark."""
+    tasks = -(-table(spark, sf_dir, "lineitem", "l_orderkey").count() // TASK_ROWS)
+    if tasks <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+        return lines, orders
+    return lines.repartition(tasks, "l_orderkey"), orders.repartition(tasks, "o_orderkey")
+
+
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per level report: a profile (station and time) has up to six levels, some reported twice."""
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     p, h = lookup(F.col("l_linenumber"), LEVELS), lookup(F.col("l_linenumber"), HEIGHTS)
     station = F.col("o_custkey") % 120
-    rows = lines.where("l_linenumber <= 6").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines, orders = by_order(spark, sf_dir, lines.where("l_linenumber <= 6"), orders)
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.select(
         F.col("l_orderkey").alias("profile_no"), station.alias("station_no"), F.col("l_linenumber").alias("line_no"), F.col("l_extendedprice").alias("line_value"),
         (F.col("o_orderdate") + F.make_interval(hours=(F.col("l_orderkey") % 2 * 12).cast("int"))).alias("time"),
