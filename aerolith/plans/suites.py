@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -110,15 +113,6 @@ def final_correlation(spark, path):
     return spark.createDataFrame([(a, b, float(r[i, j])) for a, i in at.items() for b, j in at.items()], "level_a int, level_b int, r double").withColumn("r", F.round("r", 5))
 
 
-def _uniform(digest: Column, start: int) -> Column:
-    return (F.conv(F.substring(digest, start, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-
-
-def normal(digest: Column) -> Column:
-    """A standard normal draw that is a function of an md5 digest."""
-    return F.sqrt(-2 * F.log(_uniform(digest, 1))) * F.cos(2 * math.pi * _uniform(digest, 9))
-
-
 def _normal_sql(key: str) -> str:
     u = lambda start: f"((CAST('0x' || substr(md5({key}), {start}, 8) AS BIGINT) + {d(0.5)}) / {d(4294967296.0)})"
     return f"sqrt(-2 * ln({u(1)})) * cos({d(2 * math.pi)} * {u(9)})"
@@ -134,18 +128,33 @@ p AS (SELECT profile_no, any_value(k) AS k, avg(off) - avg(apart) / 2 AS score F
 def energy_score(spark, path):
     """E|X - y| - E|X - X'| / 2 with draws that are hashes of profile, level and number; X' is the draw after X.
 
-    Rows are dealt by profile before they draw, so that both aggregations find their rows in place.
+    A profile's levels, six at most, come together in one row before it draws; draws are added up within that row, so
+    what is shuffled are levels, not draws.
     """
-    rows = predicted(spark, path).select("profile_no", LEVEL, "error", "sd").repartition("profile_no")
-    drawn = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
-    z = lambda x: F.col("sd") * normal(F.md5(F.concat_ws(":", F.col("profile_no").cast("string"), F.col(LEVEL).cast("string"), x.cast("string"))))
-    drawn = drawn.withColumn("z", z(F.col("x"))).withColumn("next", z((F.col("x") + 1) % DRAWS))
-    off, apart = F.col("error") + F.col("z"), F.col("z") - F.col("next")
-    each = drawn.groupBy("profile_no", "x").agg(F.count("*").alias("k"), F.sqrt(F.sum(off * off)).alias("off"), F.sqrt(F.sum(apart * apart)).alias("apart"))
-    scores = each.groupBy("profile_no").agg(F.first("k").alias("k"), (F.avg("off") - F.avg("apart") / 2).alias("score"))
+    ls = predicted(spark, path).groupBy("profile_no").agg(F.collect_list(F.struct(LEVEL, "error", "sd")).alias("ls"))
+    rows = ls.select("profile_no", *(F.col(f"ls.{c}").cast(f"array<{kind}>").alias(c) for c, kind in ((LEVEL, "string"), ("error", "double"), ("sd", "double"))))
+    scores = rows.mapInArrow(_energies, "k long, score double")
     return scores.groupBy("k").agg(F.count("*").alias("n"), r6(F.avg("score"), "energy"))
 
 
+def _energies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k, score of profiles with lists of their levels. A draw is the standard normal that _normal_sql makes of the md5 digest of profile, level and number; nulls add nothing."""
+    ends = [b":%d" % x for x in range(DRAWS)]
+    for whole in batches:
+        for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+            no, levels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys = [f"{n}:{p}".encode() for n, ps in zip(no, levels, strict=True) for p in ps]
+            digests = b"".join([hashlib.md5(k + x, usedforsecurity=False).digest() for k in keys for x in ends])
+            u = (np.frombuffer(digests, ">u4").reshape(len(keys), DRAWS, 4)[..., :2] + 0.5) / 4294967296.0
+            z = np.sqrt(-2 * np.log(u[..., 0])) * np.cos(2 * math.pi * u[..., 1])
+            error, sd = (batch.column(c).flatten().to_numpy(zero_copy_only=False)[:, None] for c in (2, 3))
+            k = np.array([len(ps) for ps in levels])
+            first = np.concatenate([[0], k.cumsum()[:-1]])
+            norm = lambda x: np.where(np.add.reduceat(~np.isnan(x), first, dtype=np.int64) > 0, np.sqrt(np.add.reduceat(np.nan_to_num(x) ** 2, first)), np.nan).mean(1)  # noqa: B023, E731
+            score = norm(error + sd * z) - norm(sd * (z - np.roll(z, -1, 1))) / 2
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(score, from_pandas=True)], ["k", "score"])
+
+
 @query("ML7", f"""WITH {PRED}, s AS (SELECT {LEVEL}, sqrt(avg(pow(correction_dry - residual_dry, 2))) AS sd_dry, sqrt(avg(pow(correction_wet - residual_wet, 2))) AS sd_wet, sqrt(avg(error * error)) AS sd_total FROM pred WHERE time >= TIMESTAMP '{DEV}' AND time < TIMESTAMP '{CAL}' GROUP BY 1),
 p AS (SELECT profile_no, bg_total + correction AS mean, sd_dry, sd_wet, sd_total, {_I} AS i FROM pred JOIN s USING ({LEVEL}) WHERE time >= TIMESTAMP '{CAL}'),
 v AS (SELECT a.profile_no, sum(a.sd_total * b.sd_total * pow({d(RHO)}, abs(a.i - b.i))) AS v FROM p a JOIN p b ON a.profile_no = b.profile_no GROUP BY 1)
