@@ -123,7 +123,8 @@ def edges(rows: DataFrame, features: list[str], bins: int) -> list[np.ndarray]:
 def fit(rows: DataFrame, features: list[str], targets: list[str], by: str | None = None, plan: Plan = Plan()) -> Boosted:
     """Squared-loss boosting for each group of by (null is a group) and each target; rows with a null target are left out, null features are missing.
 
-    Training rows become a table of one byte a feature. Each depth of a round is one pass: tasks add up counts and sums of
+    Training rows become a table of one byte a feature; rows of a group that agree in all bytes are one row there, with
+    their number and the sums of their targets, since trees can't tell them apart. Each depth of a round is one pass: tasks add up counts and sums of
     residuals by (group, target, node, feature, bin), Spark adds those of tasks up, and the driver, which gets a number of
     sums that depends on the plan alone, takes each node's best split. So the number of Spark jobs is rounds x depth,
     whatever the number of rows, groups or targets. Residuals are whole numbers of a small unit there, so sums don't depend
@@ -144,12 +145,10 @@ def fit(rows: DataFrame, features: list[str], targets: list[str], by: str | None
     unit = 2.0 ** min(30, math.floor(61 - math.log2(2 * largest * sum(r.n for r in stats))))
     model = Boosted(features, targets, by, [r.g for r in stats], edges(known, features, plan.bins), np.zeros((len(stats), len(targets))))
     shared = spark.sparkContext.broadcast(model)
-    binned = staged(_binned(known, key, shared), "binned")
-
-    def whole(t: int):
-        return F.sum(F.round(F.col(f"y{t}") * unit).cast("long"))
-
-    sums = {r.g: r for r in binned.groupBy("g").agg(F.count("*").alias("n"), *(whole(t).alias(f"s{t}") for t in range(len(targets)))).collect()}  # a row a group
+    whole = (F.sum(F.round(F.col(f"y{t}") * unit).cast("long")).alias(f"y{t}") for t in range(len(targets)))
+    alike = _binned(known, key, shared).groupBy("g", "b").agg(F.count("*").alias("n"), *whole)
+    binned = staged(alike.select("*", *(F.lit(0.0).alias(f"f{t}") for t in range(len(targets)))), "binned")
+    sums = {r.g: r for r in binned.groupBy("g").agg(F.sum("n").alias("n"), *(F.sum(f"y{t}").alias(f"s{t}") for t in range(len(targets)))).collect()}  # a row a group
     model.base = np.array([[sums[g][f"s{t}"] / unit / sums[g].n for t in range(len(targets))] for g in range(len(stats))])
     shape = (0, len(stats), len(targets))
     model.feature = model.cut = np.zeros((*shape, 2**plan.depth - 1), np.int64)
@@ -164,10 +163,10 @@ def fit(rows: DataFrame, features: list[str], targets: list[str], by: str | None
 
 
 def _binned(known: DataFrame, key, shared) -> DataFrame:
-    """g, b (a byte a feature), y0 .., f0 ..: targets and what has been predicted of them beyond the base."""
+    """g, b (a byte a feature), y0 ..: the targets."""
     n, m = len(shared.value.features), len(shared.value.targets)
     given = known.select(key.alias("g"), *(F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(shared.value.features)), *(F.col(f"__{t}").alias(f"y{k}") for k, t in enumerate(shared.value.targets)))
-    schema = ", ".join(["g int", "b binary", *(f"y{k} double" for k in range(m)), *(f"f{k} double" for k in range(m))])
+    schema = ", ".join(["g int", "b binary", *(f"y{k} double" for k in range(m))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -176,8 +175,7 @@ def _binned(known: DataFrame, key, shared) -> DataFrame:
             bins = model.bins(_matrix(batch, range(1, n + 1)))
             rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(n), len(bins), [None, pa.py_buffer(bins.tobytes())]).cast(pa.binary())
             group = pa.array([place[g] for g in batch.column(0).to_pylist()], pa.int32())
-            none = pa.array(np.zeros(len(bins)))
-            yield pa.RecordBatch.from_arrays([group, rows, *batch.columns[n + 1 :], *[none] * m], [x.split()[0] for x in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([group, rows, *batch.columns[n + 1 :]], [x.split()[0] for x in schema.split(", ")])
 
     return given.mapInArrow(run, schema)
 
@@ -188,14 +186,14 @@ def _read(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _moved(state: DataFrame, model: Boosted, done: int) -> DataFrame:
-    """state with f0 .. brought up to the last round."""
+    """state (g, b, n, y0 .., f0 ..) with f0 .., what has been predicted beyond the base, brought up to the last round."""
     shared, m, n = state.sparkSession.sparkContext.broadcast(model), len(model.targets), len(model.features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             group, bins = _read(batch, n)
-            new = [pa.array(batch.column(2 + m + t).to_numpy() + shared.value.leaves(bins, group, t, done, len(shared.value.feature))) for t in range(m)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: 2 + m], *new], batch.schema.names)
+            new = [pa.array(batch.column(3 + m + t).to_numpy() + shared.value.leaves(bins, group, t, done, len(shared.value.feature))) for t in range(m)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 3 + m], *new], batch.schema.names)
 
     return state.mapInArrow(run, state.schema)
 
@@ -254,15 +252,15 @@ def _histogram(state: DataFrame, model: Boosted, feature: np.ndarray, cut: np.nd
         count, total = (np.zeros(math.prod(size), np.int64) for _ in range(2))
         for batch in batches:
             group, bins = _read(batch, n_features)
-            row = np.arange(len(bins))
+            row, number = np.arange(len(bins)), batch.column(2).to_numpy()
             for t in range(targets):
-                guess = m.base[group, t] + batch.column(2 + targets + t).to_numpy() + m.leaves(bins, group, t, done, len(m.feature))
-                rest = np.rint((batch.column(2 + t).to_numpy() - guess) * unit).astype(np.int64)
+                guess = m.base[group, t] + batch.column(3 + targets + t).to_numpy() + m.leaves(bins, group, t, done, len(m.feature))
+                rest = batch.column(3 + t).to_numpy() - number * np.rint(guess * unit).astype(np.int64)
                 node = descend(bins, row, group, f[:, t], c[:, t], depth) - (nodes - 1)
                 at = ((group * targets + t) * nodes + node) * n_features
                 for k in range(n_features):
                     place = (at + k) * wide + bins[:, k]
-                    count += np.bincount(place, minlength=len(count))
+                    count += np.bincount(place, number, len(count)).astype(np.int64)
                     high = rest // HALF
                     total += np.bincount(place, high, len(total)).astype(np.int64) * HALF + np.bincount(place, rest - high * HALF, len(total)).astype(np.int64)
         some = np.flatnonzero(count)

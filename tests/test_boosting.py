@@ -106,3 +106,13 @@ def test_strange_groups_and_tables_raise(spark, table):
     # a feature without values, and targets that don't vary, make no splits
     flat = boosting.fit(df.selectExpr("level", "CAST(null AS double) AS a", "1.5D AS dry"), ["a"], ["dry"], "level", plan)
     assert (flat.feature == -1).all() and {r.boosted_dry for r in flat.transform(df.select("level", "a")).collect()} == {1.5}
+
+
+def test_rows_that_trees_cannot_tell_apart_are_one(spark, table, monkeypatch):
+    """Five copies of a table are as many training rows as one."""
+    df, *_ = table
+    many = df.union(df).union(df).union(df).union(df)
+    sizes, staged = [], boosting.staged
+    monkeypatch.setattr(boosting, "staged", lambda rows, name: (sizes.append((out := staged(rows, name)).count()), out)[1])
+    boosting.fit(many, ["a", "b", "c"], ["dry"], "level", boosting.Plan(rounds=1, depth=1, bins=8))
+    assert 0 < sizes[0] <= df.count() < many.count()
