@@ -13,6 +13,8 @@ from aerolith.operators.quantiles import quantiles
 
 #: Least scale, and bounds of its logarithm.
 FLOOR, LOW, HIGH = 0.05, -5.0, 4.0
+#: A row that lies on its bound is inside: bounds are wider by this factor than what sums in another order may change.
+ON_BOUND = 1 + 1e-9
 FOLDS = 5
 
 

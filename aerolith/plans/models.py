@@ -140,10 +140,10 @@ _Q90 = "greatest(quantile_cont(abs(error) / s, 0.9) / {}, CAST(1e-6 AS DOUBLE))"
 l AS (SELECT {LEVEL}, greatest(sqrt(avg(error * error)), {d(spread.FLOOR)}) AS s FROM pred WHERE time < TIMESTAMP '{DEV}' GROUP BY 1),
 r AS (SELECT 'global' AS variant, p.{LEVEL}, time, error, g.s FROM pred p, g UNION ALL SELECT 'level', p.{LEVEL}, time, error, coalesce(l.s, g.s) FROM pred p LEFT JOIN l ON l.{LEVEL} = p.{LEVEL}, g),
 c AS (SELECT variant, {LEVEL}, {_Q90} AS factor FROM r WHERE time >= TIMESTAMP '{DEV}' AND time < TIMESTAMP '{CAL}' GROUP BY ALL), a AS (SELECT variant, {_Q90} AS pooled FROM r WHERE time >= TIMESTAMP '{DEV}' AND time < TIMESTAMP '{CAL}' GROUP BY 1)
-SELECT r.variant, r.{LEVEL}, count(*) AS n, round(any_value(s), 6) AS raw_sd, round(any_value(coalesce(factor, pooled)), 6) AS factor, count(*) FILTER (abs(error) <= s * coalesce(factor, pooled) * {d(Z90)}) AS n_inside
+SELECT r.variant, r.{LEVEL}, count(*) AS n, round(any_value(s), 6) AS raw_sd, round(any_value(coalesce(factor, pooled)), 6) AS factor, count(*) FILTER (abs(error) <= s * coalesce(factor, pooled) * {d(Z90)} * {d(spread.ON_BOUND)}) AS n_inside
 FROM r LEFT JOIN c ON c.variant = r.variant AND c.{LEVEL} = r.{LEVEL} JOIN a ON a.variant = r.variant WHERE time >= TIMESTAMP '{CAL}' GROUP BY ALL""")
 def calibrated_spread(spark, path):
-    """One scale for all rows and one a level, calibrated by level on the months after training so that 90 % lie inside; counts are of still later rows."""
+    """One scale for all rows and one a level, calibrated by level on the months after training so that 90 % lie inside; counts are of still later rows, those on the bound included."""
     rows = staged(predicted(spark, path).select(LEVEL, "time", "error"), "errors")
     old = rows.where(F.col("time") < _at(DEV))
     least = lambda c: F.greatest(rmse(c), F.lit(spread.FLOOR))
@@ -160,7 +160,7 @@ def _inside(rows: DataFrame, variant: str, error: Column, scale: Column) -> Data
     some = rows.select(LEVEL, "time", error.alias("e"), scale.alias("s"))
     factors = spread.calibrated(some.where((t >= _at(DEV)) & (t < _at(CAL))), F.col("e"), F.col("s"), LEVEL, 0.9, Z90)
     late = spread.with_factor(some.where(t >= _at(CAL)), factors, LEVEL, "factor")
-    inside = F.abs("e") <= F.col("s") * F.col("factor") * Z90
+    inside = F.abs("e") <= F.col("s") * F.col("factor") * Z90 * spread.ON_BOUND
     return late.groupBy(LEVEL).agg(F.lit(variant).alias("variant"), F.count("*").alias("n"), r6(F.avg("s"), "raw_sd"), r6(F.max("factor"), "factor"), F.count_if(inside).alias("n_inside"))
 
 

@@ -2,8 +2,10 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
+from compare import of_duck, of_spark
 from pyspark.sql import functions as F
 from test_boosting import plain
 
@@ -181,3 +183,20 @@ def test_means_that_differ_raise(spark):
     for a, b in ((1.0, 1.1), (None, 1.0), (1.0, None)):
         with pytest.raises(Exception, match="boosted means differ"):
             models.agreed(df.union(spark.createDataFrame([(a, b)], "a double, b double")), F.col("a"), F.col("b")).count()
+
+
+def test_rows_on_the_bound_are_inside(spark, tmp_path):
+    """Profiles of one month of three years with the same levels: later errors are those that calibration has seen, so each lies on its bound. Query and SQL count all of them, whatever the order of sums."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    years = "SELECT k, CASE WHEN k < 400 THEN 1998 WHEN k < 430 THEN 1999 ELSE 2000 END AS y, k * 26 AS key FROM range(460) t(k)"
+    con.execute(f"COPY (SELECT key AS o_orderkey, k AS o_custkey, make_timestamp(y, 3, 1, 0, 0, 0.0) AS o_orderdate FROM ({years})) TO '{tmp_path}/orders.parquet'")
+    v = "CASE WHEN k < 400 THEN k % 7 ELSE 0 END"
+    con.execute(f"""COPY (SELECT key AS l_orderkey, 1 AS l_partkey, 1 AS l_suppkey, CAST(n AS INT) AS l_linenumber, CAST(20 + n + {v} AS DOUBLE) AS l_quantity, 100.0::DOUBLE AS l_extendedprice, CAST(0.01 * n AS DOUBLE) AS l_discount,
+      CAST(0.01 * ({v}) AS DOUBLE) AS l_tax, 'N' AS l_returnflag, 'F' AS l_linestatus FROM ({years}), range(1, 7) r(n)) TO '{tmp_path}/lineitem.parquet'""")
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = of_spark(models.Q["ML6"](spark, str(tmp_path)))
+    assert got == of_duck(con, models.SQL["ML6"])
+    at = {c: got[0].index(c) for c in ("n", "n_inside")}
+    assert len(got[1]) == 10 and all(r[at["n"]] == r[at["n_inside"]] == "30" for r in got[1])
