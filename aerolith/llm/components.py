@@ -21,7 +21,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round's edges are a table in the shared scratch folder. Nothing but a count and a checksum reaches the driver.
     """
-    now = staged(_ordered(edges), "edges")
+    now = staged(_ordered(edges), "edges", edges.count())
     before = _sum(now)
     for _ in range(most_rounds):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,7 +29,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = _ordered(both.where("v > u").unionAll(now.select("u", F.col("u").alias("v")).distinct()).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         smaller = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smaller, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(_ordered(small.unionAll(smaller.select("u", F.col("m").alias("v")))), "edges")
+        now = staged(_ordered(small.unionAll(smaller.select("u", F.col("m").alias("v")))), "edges", 2 * before[0])
         if (after := _sum(now)) == before:
             return now.select("u", F.col("v").alias("component"))
         before = after

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import NO_ID, free, packed, parts, staged, table, unkeyed
+from aerolith.llm.common import NO_ID, ROWS, free, gathered, packed, parts, staged, table, unkeyed
 from aerolith.llm.components import components
 from aerolith.llm.hashing import STEP, U64, WordHashes, mix, powers, signed
 
@@ -112,6 +112,8 @@ def _close(x: str, y: str, plan: Plan) -> Column:
     return odd <= plan.most_odd_bits
 
 
+#: Pairs of texts, or texts, that are worth a task.
+TEXTS = 2000
 #: Bits at most of the filter that tells which documents may be named, in parts of PART bits: 8 MB at any size of the input.
 FILTER, PART = 1 << 26, 1 << 15
 
@@ -134,7 +136,8 @@ def _likely(rows: DataFrame, named: DataFrame, n: int) -> DataFrame:
 def _held(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id and z (packed text) of the documents that pairs, a table, names; as a table."""
     named = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b"))
-    return staged(packed(_likely(docs, named, 2 * pairs.count())).join(named.distinct(), "doc_id", "left_semi"), "texts")
+    n = 2 * pairs.count()
+    return staged(packed(_likely(docs, named, n)).join(named.distinct(), "doc_id", "left_semi"), "texts", n, TEXTS)
 
 
 def _sets(batch: pa.RecordBatch, column: int, plan: Plan, hashes: WordHashes) -> Iterator[np.ndarray]:
@@ -143,7 +146,7 @@ def _sets(batch: pa.RecordBatch, column: int, plan: Plan, hashes: WordHashes) ->
 
 
 def confirmed(pairs: DataFrame, held: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. held has the packed text of each document that a pair names."""
+    """The pairs (a, b; a table) whose full sets are similar enough. held has the packed text of each document that a pair names."""
     side = lambda x: held.select(F.col("doc_id").alias(x), F.col("z").alias(f"z_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "z_a", "z_b")
 
@@ -158,7 +161,7 @@ def confirmed(pairs: DataFrame, held: DataFrame, plan: Plan) -> DataFrame:
                 keep.append(100 * same >= plan.percent * (len(known) + len(other) - same) and same > 0)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return gathered(both, pairs.count(), TEXTS).mapInArrow(run, "a long, b long")
 
 
 def _related(pairs: DataFrame, held: DataFrame, plan: Plan) -> DataFrame:
@@ -189,7 +192,7 @@ def _related(pairs: DataFrame, held: DataFrame, plan: Plan) -> DataFrame:
                 rows = part.select([0, 1, 4, 5]).take(pa.array(who, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(x, pa.int64()) for x in (n, i, keys, left))], ["hub", "x", "ca", "c", "n", "i", "key", "left"])
 
-    return both.mapInArrow(run, "hub long, x long, ca long, c long, n long, i long, key long, left long")
+    return gathered(both, pairs.count(), TEXTS).mapInArrow(run, "hub long, x long, ca long, c long, n long, i long, key long, left long")
 
 
 def _between(pairs: DataFrame, held: DataFrame, plan: Plan) -> DataFrame:
@@ -207,12 +210,13 @@ def _between(pairs: DataFrame, held: DataFrame, plan: Plan) -> DataFrame:
     side = lambda t, s, *more: t.select("hub", *more, *(F.col(c).alias(c + s if c != "x" else s) for c in ("x", "n", "i", "c", "left")))
 
     mixed = rows.where("key IS NOT NULL").groupBy("hub", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("hub", "key")
-    keyed_rows = staged(rows.join(mixed, ["hub", "key"]), "keys")
+    many = rows.count()
+    keyed_rows = staged(rows.join(mixed, ["hub", "key"]), "keys", many)
     x, y = side(keyed_rows, "x", "key"), side(keyed_rows, "y", "key")
     some = x.join(y, ["hub", "key"]).where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (need > common) & (F.least("leftx", "lefty") >= need - common))
 
     plain = rows.where("key IS NULL").withColumn("most", q * F.col("i") - p * F.col("n"))  # p times the length of what it may be linked with
-    reach = staged(plain.groupBy("hub").agg(F.max(F.when(F.col("c") != F.col("ca"), F.col("most"))).alias("far"), F.min("n").alias("short")), "reach")
+    reach = staged(plain.groupBy("hub").agg(F.max(F.when(F.col("c") != F.col("ca"), F.col("most"))).alias("far"), F.min("n").alias("short")), "reach", many)
     plain = plain.join(reach, "hub")
     x, y = side(plain.where((F.col("c") != F.col("ca")) & (F.col("most") >= p * F.col("short"))), "x"), side(plain.where(p * F.col("n") <= F.col("far")), "y")
     rest = x.join(y, "hub").where((F.col("cx") != F.col("cy")) & (need <= common))
@@ -222,22 +226,24 @@ def _between(pairs: DataFrame, held: DataFrame, plan: Plan) -> DataFrame:
 def _grouped(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc_id, n and top (the smallest doc_id reachable over links) for docs (doc_id, text), whose ids are all different."""
     sets = staged(signatures(docs, plan), "signatures")
+    n = sets.count()
     name = ["set_a", "set_b", "n"]
     classes = sets.where("n > 0").groupBy(*name).agg(F.min("doc_id").alias("rep"))
-    member = staged(sets.select("doc_id", *name).join(classes, name, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    member = staged(sets.select("doc_id", *name).join(classes, name, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members", n)
     reps = member.where("n > 0 AND doc_id = rep").select("doc_id")
-    stand = staged(sets.join(reps, "doc_id", "left_semi").select("doc_id", "bands", "sketch"), "representatives")
+    stand = staged(sets.join(reps, "doc_id", "left_semi").select("doc_id", "bands", "sketch"), "representatives", n, ROWS // 10)
     rows = stand.select("doc_id", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    sized = staged(rows.join(buckets, "key"), "buckets")
+    sized = staged(rows.join(buckets, "key"), "buckets", plan.bands * stand.count())
+    many = sized.count()
     known = sized.groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    weighed = staged(sized.join(known, "doc_id").select("key", "doc_id", "size", "weight"), "weighed")
+    weighed = staged(sized.join(known, "doc_id").select("key", "doc_id", "size", "weight"), "weighed", many)
     first = lambda t: t.groupBy("key").agg(F.max(F.struct("weight", F.bitwise_not("doc_id").alias("hub"))).alias("m")).select("key", F.bitwise_not(F.col("m.hub")).alias("hub"))
     sketch = lambda x: stand.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
 
-    def close(pairs: DataFrame) -> DataFrame:
+    def close(pairs: DataFrame, n_pairs: int | None) -> DataFrame:
         near = pairs.join(sketch("b"), "b").join(sketch("a"), "a").where(_close("sketch_a", "sketch_b", plan))
-        return staged(near.select("a", "b"), "pairs")
+        return staged(near.select("a", "b"), "pairs", n_pairs)
 
     def held(pairs: DataFrame) -> DataFrame:
         return _held(docs, pairs)
@@ -245,8 +251,8 @@ def _grouped(docs: DataFrame, plan: Plan) -> DataFrame:
     def joined(links: DataFrame) -> DataFrame:
         return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    shared = staged(weighed.join(first(weighed), "key"), "hubs")
-    stars = close(shared.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+    shared = staged(weighed.join(first(weighed), "key"), "hubs", many)
+    stars = close(shared.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), many)
     links = staged(confirmed(stars, held(stars), plan), "links")
     found = joined(links)
     gained = True
@@ -255,17 +261,17 @@ def _grouped(docs: DataFrame, plan: Plan) -> DataFrame:
         big = shared.where("size > 2").join(label("doc_id", "c"), "doc_id", "left").join(label("hub", "ca"), "hub", "left")
         big = big.select("key", "doc_id", "weight", "hub", F.coalesce("c", "doc_id").alias("c"), F.coalesce("ca", "hub").alias("ca"))
         mixed = big.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-        left = staged(big.join(mixed, "key", "left_semi"), "left")
+        left = staged(big.join(mixed, "key", "left_semi"), "left", many)
         if left.isEmpty():
             break
         if final := k == plan.rounds or not gained:
             pairs = left.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "ca", F.col("c").alias("cb")).distinct()
-            pairs = staged(pairs, "compared")
+            pairs = staged(pairs, "compared", many)
             pairs = _between(pairs, held(pairs), plan)
         else:  # another star in each bucket, around a document that its hub did not draw in
             second = first(left.where("c <> ca")).join(left.select("key", F.col("doc_id").alias("hub"), F.col("c").alias("ch")), ["key", "hub"])
             pairs = left.select("key", "doc_id", "c").join(second, "key").where("c <> ch").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-        pairs = close(pairs)
+        pairs = close(pairs, None if final else many)
         late = staged(confirmed(pairs, held(pairs), plan), "links")
         if gained := not late.isEmpty():
             links = links.unionAll(late)

@@ -12,7 +12,7 @@ import pytest
 from compare import of_duck, of_spark
 from pyspark.sql import functions as F
 
-from aerolith.llm import bpe, chat, decontam, lm, neardup, quality, registry, repeats, store, substring, suffix, toxicity
+from aerolith.llm import bpe, chat, common, components, decontam, lm, neardup, quality, registry, repeats, store, substring, suffix, toxicity
 
 public = pytest.importorskip("public_tokenizers")
 CLASH = "n long, rep long, z string, key long, spans string, lang string, source string"
@@ -494,3 +494,23 @@ def test_empty_tables(spark, tmp_path):
     store.write(empty, str(tmp_path / "s"), public.path("word_bpe_49k.json"))
     assert store.read(spark, str(tmp_path / "s")).count() == 0
     assert bpe.digests(empty, public.path("byte_bpe_50k.tiktoken"), public.PATTERN).count() == 0
+
+
+def test_few_rows_go_to_few_tasks(spark):
+    """However many shuffle partitions a session has, tables and Python tasks of op4 are as many as their rows are worth."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        edges = spark.createDataFrame([(k, k - 1) for k in range(1, 9)], "u long, v long")
+        found = components.components(edges)
+        assert len(found.inputFiles()) <= common.TASKS and {tuple(r) for r in found.collect()} == {(k, 0) for k in range(1, 9)}
+        texts = [(k, " ".join(f"w{j}" for j in range(30) if j != k)) for k in range(40)]
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        held = neardup._held(docs, pairs := common.staged(docs.selectExpr("0L AS a", "doc_id AS b").where("b > 0"), "pairs"))
+        assert len(held.inputFiles()) <= common.TASKS
+        links = neardup.confirmed(pairs, held, neardup.Plan())
+        assert links.rdd.getNumPartitions() <= common.TASKS
+        assert common.gathered(spark.range(0, 100, 1, 90), 100 * common.ROWS).rdd.getNumPartitions() == 90
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
