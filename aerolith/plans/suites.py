@@ -392,8 +392,12 @@ FEATURES = ("bg_temperature_k", "bg_q", "pressure_hpa", "latitude", "elevation_m
 
 
 def boosted(spark, path):
-    """Boosted trees for the dry and the wet part, fitted before DEV; no SQL twin. Errors by level on later rows, beside those without a correction."""
+    """Boosted trees for the dry and the wet part, fitted before DEV; no SQL twin. Errors by level on later rows, beside those without a correction.
+
+    Rows are written once: each fit reads its input several times before it keeps it, and would join lines and orders each time.
+    """
     rows = predicted(spark, path).withColumn("month", F.month("time"))
+    rows = text.staged(rows.select("time", *FEATURES, "residual_dry", "residual_wet", "residual_total"), "features")
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     old, new = rows.where(F.col("time") < _at(DEV)), rows.where(F.col("time") >= _at(DEV))
     for part in ("dry", "wet"):

@@ -31,6 +31,12 @@ def test_boosted_trees(spark, sf):
     assert sum(r.n * r.rmse**2 for r in rows) < 1.1 * sum(r.n * r.rmse_raw**2 for r in rows)
 
 
+def test_boosted_trees_read_written_rows(spark, sf):
+    """Fits and scores read the rows that were written once, not the join of lines and orders again."""
+    files = suites.boosted(spark, sf).inputFiles()
+    assert files and not any(sf in f for f in files)
+
+
 def test_eigenvalues_are_floored():
     r = suites.floored(np.full((6, 6), 1.0))
     assert np.allclose(np.diag(r), 1) and np.linalg.eigvalsh(r)[0] > 1e-8 and np.allclose(r, r.T)
