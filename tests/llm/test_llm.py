@@ -244,6 +244,43 @@ def test_substring_dedup_against_brute_force(spark, rows, group, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_words(rows)
 
 
+@pytest.mark.parametrize("group", [2000, 1])
+def test_frequent_triggers_in_pieces(spark, rows, group, monkeypatch):
+    """Every trigger with over a 30th of the phrases is dealt out, and what its pieces found is put together."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    monkeypatch.setattr(repeats, "SHARE", 30)
+    many = [*rows, *((10_000 + k, f"{k % 7} " + "the same line again " * 12) for k in range(60))]
+    docs, texts = many, table(spark, many)
+    assert repeats.frequent(common.keyed(texts).withColumn("__text", F.lit(0).cast("long")), suffix._cut(100)).count() > 1
+    got = suffix.digests(texts).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_bytes(docs)
+    got = substring.digests(texts).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_words(docs)
+
+
+def test_dedup_shuffles_phrases_and_texts_once(spark, monkeypatch):
+    """With no side small enough to be sent whole, shuffles carry phrases once, by trigger, and texts once for both of their joins."""
+    rng = random.Random(41)
+    parts = [words(rng, 60, 3000) for _ in range(150)]
+    docs = table(spark, [(k, " ".join(rng.choice(parts) if rng.random() < 0.5 else words(rng, 40, 3000) for _ in range(8))) for k in range(600)]).repartition(4)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, none, None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    before = shuffled()
+    suffix.digests(docs).collect()
+    wrote = sum(n for k, n in shuffled().items() if k not in before)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    phrases = repeats.phrases(docs.withColumn("__text", F.lit(0).cast("long")), suffix._cut(100)).count()
+    assert wrote < 2 * phrases
+
+
 @pytest.mark.parametrize("later", [True, False])
 def test_seeds_extended_both_ways(later):
     """Extension finds the windows that a comparison of all windows finds; few words, so contexts agree over all lengths."""
