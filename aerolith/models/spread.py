@@ -18,10 +18,17 @@ ON_BOUND = 1 + 1e-9
 FOLDS = 5
 
 
-def crossfitted(rows: DataFrame, features: list[str], targets: list[str], fold: str, plan: boosting.Plan, folds: int = FOLDS) -> DataFrame:
-    """rows with oof_ + target: predictions of trees that haven't seen the row's fold. The models of all folds grow together, each row in all but its own."""
-    others = rows.withColumn("__held", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col(fold))))
-    model = boosting.fit(others, features, targets, "__held", plan)
+def folds_table(rows: DataFrame, features: list[str], targets: list[str], fold: str, plan: boosting.Plan, folds: int = FOLDS, edges: list[np.ndarray] | None = None) -> boosting.Table:
+    """Training rows by fold, of which each counts in the models of all folds but its own."""
+    return boosting.table(rows.where(F.col(fold).between(0, folds - 1)), features, targets, fold, plan.bins, folds - 1, edges)
+
+
+def crossfitted(rows: DataFrame, features: list[str], targets: list[str], fold: str, plan: boosting.Plan, folds: int = FOLDS, of: boosting.Table | None = None) -> DataFrame:
+    """rows with oof_ + target: predictions of trees that haven't seen the row's fold. The models of all folds grow together of one table (of, if it is there), each row in all but its own; rows are not copied for it."""
+    of = folds_table(rows, features, targets, fold, plan, folds) if of is None else of
+    held = [k for k in range(folds) if any(g != k for g in of.groups)]
+    model = boosting.grown(of, plan, held, [[i for i, k in enumerate(held) if k != g] for g in of.groups])
+    model.by = "__held"
     return model.transform(rows.withColumn("__held", F.col(fold).cast("int")), "oof_").drop("__held")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,9 +172,14 @@ def probabilistic(rows: DataFrame, training: DataFrame, x: list[str], components
     """rows with mean_, log_ + component: boosted means, and boosted logs of the size of cross-fitted errors of training rows."""
     fold = F.pmod(F.crc32(F.col("station_no").cast("string").cast("binary")), F.lit(spread.FOLDS))
     marked = training.withColumn("fold", fold.cast("int"))
-    oof = staged(spread.crossfitted(marked, x, components, "fold", plan), "oof").withColumns({f"log_{c}": spread.log_error(F.col(c) - F.col(f"oof_{c}")) for c in components})
-    sizes = boosting.fit(oof, x, [f"log_{c}" for c in components], None, plan)
-    means = boosting.fit(training, x, components, None, plan)
+    alone, copied = boosting.edges_of(marked, x, components, plan.bins, (1, spread.FOLDS - 1))
+    by_fold = spread.folds_table(marked, x, components, "fold", plan, edges=copied)
+    errors = {f"log_{c}": spread.log_error(F.col(c) - F.col(f"oof_{c}")) for c in components}
+    oof = staged(spread.crossfitted(marked.select("fold", *components, *x), x, components, "fold", plan, of=by_fold).select(*x, *(v.alias(k) for k, v in errors.items())), "oof")
+    sizes = boosting.grown(boosting.table(oof, x, list(errors), None, plan.bins, edges=alone), plan)  # the same rows, so the same edges
+    same = all(np.array_equal(a, b) for a, b in zip(alone, copied, strict=True))  # as where values repeat
+    means = boosting.grown(by_fold if same else boosting.table(training, x, components, None, plan.bins, edges=alone), plan, [0], [[0]] * (len(by_fold.groups) if same else 1))
+    means.by = None
     return sizes.transform(means.transform(rows, "mean_"), "")
 
 

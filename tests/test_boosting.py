@@ -116,3 +116,41 @@ def test_rows_that_trees_cannot_tell_apart_are_one(spark, table, monkeypatch):
     monkeypatch.setattr(boosting, "staged", lambda rows, name: (sizes.append((out := staged(rows, name)).count()), out)[1])
     boosting.fit(many, ["a", "b", "c"], ["dry"], "level", boosting.Plan(rounds=1, depth=1, bins=8))
     assert 0 < sizes[0] <= df.count() < many.count()
+
+
+@pytest.mark.parametrize("copies", [1, 4])
+def test_edges_are_exact_quantiles(spark, copies):
+    """Values of all sizes and both signs, few different ones, none, one; each row once or four times."""
+    rng = np.random.default_rng(11)
+    n = 3000
+    x = [rng.normal(size=n) * 10.0 ** rng.integers(-8, 8, n), np.round(rng.normal(size=n), 1), np.where(rng.random(n) < 0.3, np.nan, rng.exponential(size=n) - 1), np.full(n, -0.0), np.full(n, np.nan), 1e9 + rng.random(n) * 1e-3]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in np.stack(x, 1)], ", ".join(f"x{k} double" for k in range(len(x)))).repartition(5)
+    found = boosting.edges(df, df.columns, 16, copies)
+    for have, v in zip(found, x, strict=True):
+        v = np.repeat(v[~np.isnan(v)], copies)
+        want = np.unique(np.quantile(v, np.arange(1, 16) / 16)) if len(v) else np.zeros(0)
+        assert len(have) == len(want) and np.allclose(have, want, rtol=1e-12, atol=0)
+        for e, w in zip(have, want, strict=True):
+            assert (v <= e).sum() == (v <= w).sum() or abs(e - w) <= 1e-12 * abs(w)
+    assert boosting.edges_of(df.withColumn("t", df.x1 * 0), df.columns, ["t"], 16, (copies, 2))[0][1].tolist() == found[1].tolist()
+
+
+def test_crossfit_does_not_copy_rows(spark):
+    """What is shuffled and written for the trees of all folds is a row a training row at most, not one for each fold that it isn't in, nor one a feature."""
+    from pyspark.sql import functions as F
+
+    from aerolith.models import spread
+
+    df = spark.range(8000).select((F.col("id") % 5).cast("int").alias("fold"), (F.col("id") * 7919 % 97 / 10).alias("a"), (F.col("id") * 104729 % 89 / 7).alias("b"), (F.col("id") * 31 % 83).cast("double").alias("c"), F.sin("id").alias("y"))
+    context, store = spark.sparkContext._jsc.sc(), spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def moved():
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, none, None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() + s.outputRecords() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    before = moved()
+    found = spread.crossfitted(df, ["a", "b", "c"], ["y"], "fold", boosting.Plan(rounds=2, depth=2, bins=16))
+    assert sum(n for k, n in moved().items() if k not in before) < 1.5 * df.count()
+    assert found.where("oof_y IS NOT NULL").count() == df.count()
