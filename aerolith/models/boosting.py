@@ -79,11 +79,11 @@ class Boosted:
             m = model.value
             place = {g: i for i, g in enumerate(m.groups)}
             for batch in batches:
-                keys = batch.column(width).to_pylist()
-                strange = set(keys) - set(place)
+                keys = batch.column(width).dictionary_encode(null_encoding="encode")
+                strange = set(keys.dictionary.to_pylist()) - set(place)
                 if strange:
                     raise ValueError(f"the model has no trees for {m.by} {sorted(map(str, strange))[:5]}")
-                group = np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))
+                group = _places(keys, place)
                 bins = m.bins(_columns(batch, range(width + 1, width + 1 + len(m.features))))
                 found = {(t, b): np.empty(len(keys)) for t in range(len(m.targets)) for b in marks}
                 for g in np.unique(group):
@@ -113,6 +113,10 @@ def descend(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int |
     return node
 
 
+def _places(keys: pa.DictionaryArray, place: dict) -> np.ndarray:
+    return np.array([place[g] for g in keys.dictionary.to_pylist()], np.int64)[keys.indices.to_numpy()]
+
+
 def _columns(batch: pa.RecordBatch, columns) -> list[np.ndarray]:
     return [batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64, copy=False) for k in columns]
 
@@ -326,7 +330,7 @@ def _binned(some: DataFrame, key, model: Boosted, unit: float) -> DataFrame:
             size = batch.num_rows
             bins = np.ascontiguousarray(model.bins(_columns(batch, range(1, n + 1))).T)
             rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(n), size, [None, pa.py_buffer(bins.tobytes())]).cast(pa.binary())
-            group = pa.array([place[g] for g in batch.column(0).to_pylist()], pa.int32())
+            group = pa.array(_places(batch.column(0).dictionary_encode(null_encoding="encode"), place), pa.int32())
             ys = [np.copysign(np.floor(np.abs(y) * unit + 0.5), y).astype(np.int64) for y in _columns(batch, range(n + 1, n + 1 + m))]
             yield pa.RecordBatch.from_arrays([group, rows, pa.array(np.ones(size, np.int64)), *map(pa.array, ys)], names)
 
